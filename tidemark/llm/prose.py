@@ -33,7 +33,7 @@ STATISTICS = (
 _HIDDEN = re.compile(r"<(script|style)\b[^<>]*>.*?</\1\s*>", re.DOTALL | re.IGNORECASE)
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?/?>|<!--.*?-->|<!\w[^<>]*>", re.DOTALL)
 _BLOCKS = frozenset("p br li ul ol div td th tr table h1 h2 h3 h4 h5 h6 blockquote section article header footer pre nav".split())
-_NEWLINE = re.compile("\r\n|[\n\r\v\f\x1c-\x1e\x85  ]")
+_NEWLINE = re.compile("\r\n|[\n\r\v\f\x1c-\x1e\x85" + chr(0x2028) + chr(0x2029) + "]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _NUMBER = re.compile(r"\d+(?:[.,:/\-]\d+)*")
 _MARKER = re.compile(
@@ -42,11 +42,22 @@ _MARKER = re.compile(
 _CUT = re.compile(r"\t+|\s*[|¦]+\s*|\s+[/\\→»«›‹~=:–—-]+\s+|;\s+|[{}<>]+|\s+[•·◦▪●]\s+|\s{4,}")
 _ENDED = re.compile(r"[.!?…。！？؟।]['\"”’»)\]」』]*\s*$")
 _SENTENCE_END = re.compile(r"(?<=[。！？])|(?<=[.!?…]['\"”’»)\]])\s+|(?<=[.!?…])\s+")
-_KANA = re.compile("[぀-ゟ]")
-_CJK = re.compile("[぀-ヿ㐀-䶿一-鿿]")
-_LATIN = re.compile("[A-Za-z\xaa\xba\xc0-ɏḀ-ỿ]")
+
+
+def _ranges(*bounds: tuple[int, int]) -> re.Pattern:
+    """A class of the code points between each pair of bounds."""
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in bounds) + "]")
+
+
+_KANA = _ranges((0x3040, 0x309F))
+_CJK = _ranges((0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF))
+_LATIN = _ranges((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF))
 _ODD = re.compile(r"[^\w\s.,!?'\"’‘“”„«»;:()¿¡…。、！？「」『』・\-–—&]|_")
-_INVISIBLE = re.compile("[\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f\xad؀-؅​-‏‪-‮⁠-⁯﻿]")
+# control and format characters that are no line ends
+_INVISIBLE = _ranges(
+    (0x00, 0x08), (0x0E, 0x1B), (0x7F, 0x84), (0x86, 0x9F), (0xAD, 0xAD), (0x600, 0x605),
+    (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFEFF, 0xFEFF),
+)
 
 
 def lines_of(text: str) -> list[str]:

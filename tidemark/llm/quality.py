@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.prose import STATISTICS, Reader
@@ -32,6 +32,7 @@ MAX_COMMON = 1_000_000  # common words read by the driver; a vocabulary, not dat
 ALL = "*"
 #: Least and greatest spread of each statistic by which its z-score is divided.
 SPREAD = {name: (1e-3, 1e9) for name in STATISTICS} | {"sentence_share": (0.02, 0.15)}
+GRID = [i / 100 for i in range(1, 101)]  # percentiles are read off the sketches at these
 TAIL = 2.5
 HALF = 0.5
 
@@ -85,7 +86,7 @@ def scores(measured: DataFrame, built: DataFrame) -> DataFrame:
     """``measured`` with ``p_`` (percentile) and ``z_`` (robust z-score) of each statistic."""
     quartiles = built.select(
         "language",
-        *(F.col(s).alias(f"k_{s}") for s in STATISTICS),
+        *(F.kll_sketch_get_quantile_double(s, F.lit(GRID)).alias(f"g_{s}") for s in STATISTICS),
         *(F.kll_sketch_get_quantile_double(s, F.lit(q)).alias(f"q{i}_{s}") for s in STATISTICS for i, q in ((1, 0.25), (2, 0.5), (3, 0.75))),
     )
     # a language stands for itself if its median text is prose, else for all
@@ -94,7 +95,11 @@ def scores(measured: DataFrame, built: DataFrame) -> DataFrame:
     known = F.broadcast(own.select(F.col("yardstick").alias("language"), F.col("yardstick").alias("own")))
     named = measured.join(known, "language", "left").withColumn("yardstick", F.coalesce("own", F.lit(ALL))).drop("own")
     joined = named.join(F.broadcast(own), "yardstick")
-    percentiles = [F.kll_sketch_get_rank_double(f"k_{s}", F.col(s)).alias(f"p_{s}") for s in STATISTICS]
+
+    def percentile(name: str) -> Column:
+        return F.size(F.filter(f"g_{name}", lambda g: g < F.col(name))) / len(GRID)
+
+    percentiles = [percentile(s).alias(f"p_{s}") for s in STATISTICS]
     z = []
     for s in STATISTICS:
         low, high = SPREAD[s]
