@@ -121,6 +121,8 @@ class ChangeTable:
         fs, mark = hadoop_fs(self.spark, f"{self.path}/commits/{now + 1}")
         if not fs.createNewFile(mark):
             raise RuntimeError(f"version {now + 1} of {self.path} was committed by another writer")
+        if now > 1:  # readers of the version before may still be running
+            fs.delete(hadoop_fs(self.spark, f"{self.path}/state/{now - 1}")[1], True)
         return now + 1
 
     def live(self) -> DataFrame:

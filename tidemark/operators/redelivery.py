@@ -126,9 +126,15 @@ class SeenStore:
             )
         return self._write(encoded, "dictionary", part)
 
-    def accept(self, rows: DataFrame) -> DataFrame:
-        """Take one batch in; returns (seq) of the rows that are redundant from now on."""
+    def accept(self, rows: DataFrame, batch: int | None = None) -> DataFrame:
+        """Take one batch in; returns (seq) of the rows that are redundant from now on.
+
+        ``batch`` (from 0, as streaming counts) makes a repeated call harmless: a
+        batch whose version is committed only has its result read again.
+        """
         now = self.version()
+        if batch is not None and batch < now:
+            return self._result(rows, batch + 1)
         encoded = self._encode(rows).select("code", "first", "is_marked", "is_new")
         bucket = F.bitmap_bucket_number("code").alias("bucket")
         old = self.bitmaps()
@@ -142,7 +148,11 @@ class SeenStore:
             new = encoded.where("is_new").withColumn("was_seen", F.lit(False)).withColumn("was_marked", F.lit(False))
             probed = met.select(*new.columns).unionByName(new)
         unseen = probed.where(~F.col("was_seen") & ~F.col("is_marked") & F.col("first").isNotNull())
-        accepted = self._write(unseen.select("code", F.col("first").alias("seq")), "accepted", now + 1)
+        self._write(unseen.select("code", F.col("first").alias("seq")), "accepted", now + 1)
+        if now:
+            late = probed.where("is_marked AND was_seen AND NOT was_marked").select("code")
+            before = self._read("accepted", list(range(1, now + 1)))
+            self._write(before.join(late, "code", "left_semi").select("seq"), "overtaken", now + 1)
 
         position = F.bitmap_bit_position("code")
         here = encoded.groupBy(bucket).agg(
@@ -150,20 +160,19 @@ class SeenStore:
             F.bitmap_construct_agg(F.when(F.col("is_marked"), position)).alias("marked"),
         )
         if old is not None:
-            here = (
-                old.unionByName(here).groupBy("bucket").agg(F.bitmap_or_agg("seen").alias("seen"), F.bitmap_or_agg("marked").alias("marked"))
+            here = old.unionByName(here).groupBy("bucket").agg(
+                F.bitmap_or_agg("seen").alias("seen"), F.bitmap_or_agg("marked").alias("marked")
             )
         self._write(here, "bitmaps", now + 1)
-
-        redundant = rows.select("seq").join(accepted.select("seq"), "seq", "left_anti")
-        if now:
-            overtaken = probed.where("is_marked AND was_seen AND NOT was_marked").select("code")
-            before = self._read("accepted", list(range(1, now + 1)))
-            redundant = redundant.unionByName(before.join(overtaken, "code", "left_semi").select("seq"))
         fs, mark = hadoop_fs(self.spark, f"{self.path}/commits/{now + 1}")
         if not fs.createNewFile(mark):
             raise RuntimeError(f"version {now + 1} of {self.path} was committed by another writer")
-        return redundant
+        return self._result(rows, now + 1)
+
+    def _result(self, rows: DataFrame, version: int) -> DataFrame:
+        """Redundant after a committed version: its batch but for the selected rows, and rows overtaken by it."""
+        redundant = rows.select("seq").join(self._read("accepted", [version]).select("seq"), "seq", "left_anti")
+        return redundant.unionByName(self._read("overtaken", [version])) if version > 1 else redundant
 
 
 def redundant_rows(rows: DataFrame, path: str | None = None) -> DataFrame:
