@@ -4,7 +4,7 @@ Only the histogram of lengths reaches the driver, at most ``capacity`` numbers
 whatever the corpus holds. Lengths are placed longest first, all items of a
 length at once: each goes to the packs with the most room left (the shortest
 packs), else opens a new one. Packs with equal contents are one pattern with a
-count, and one length splits at most one pattern, so there are at most twice as
+count, and one length splits at most one pattern, so there are at most thrice as
 many patterns as lengths. The patterns are a table of intervals: ranks ``from``
 to ``to`` of the items, sorted by length, belong to consecutive containers. Items get their rank without a
 global sort: counts per (length, hash bucket) give each bucket its offset, and
@@ -24,6 +24,7 @@ the partitioning; an empty corpus gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, Window
@@ -38,28 +39,51 @@ MAX_CAPACITY = 1 << 20  # bounds the histogram that the driver reads
 
 
 def pack_histogram(histogram: Mapping[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns ((lengths in a container...), number of such containers) for items by length."""
+    """Patterns ((lengths in a container...), number of such containers) for items by length.
+
+    Shortest pack first; where that leaves room for fewer containers (few short
+    items), fullest pack first is tried as well and the better of both is taken.
+    """
+    patterns = _patterns(histogram, capacity, shortest=True)
+    used = sum(count for _, count in patterns)
+    if used * capacity - sum(length * n for length, n in histogram.items()) >= capacity:
+        other = _patterns(histogram, capacity, shortest=False)
+        if sum(count for _, count in other) < used:
+            return other
+    return patterns
+
+
+def _patterns(histogram: Mapping[int, int], capacity: int, shortest: bool) -> list[tuple[tuple[int, ...], int]]:
     open_packs: dict[int, list[list]] = {}  # room left -> [content as a linked list, count]
-    room = 0  # no open pack has more room
+    rooms: list[int] = []  # the keys of open_packs, sorted
 
     def push(left: int, content, count: int) -> None:
-        nonlocal room
-        open_packs.setdefault(left, []).append([content, count])
-        room = max(room, left)
+        if left not in open_packs:
+            open_packs[left] = []
+            bisect.insort(rooms, left)
+        open_packs[left].append([content, count])
+
+    def pull(length: int):
+        """(room, content, count) of the pack to fill next, taken out; None if the length fits nowhere."""
+        at = len(rooms) - 1 if shortest else bisect.bisect_left(rooms, length)
+        if not rooms or at >= len(rooms) or rooms[at] < length:
+            return None
+        room = rooms[at]
+        content, count = open_packs[room].pop()
+        if not open_packs[room]:
+            del open_packs[room], rooms[at]
+        return room, content, count
 
     for length in sorted(histogram, reverse=True):
         todo = histogram[length]
         if not 0 < length <= capacity:
             raise ValueError(f"an item of length {length} does not fit a container of {capacity}")
         while todo > 0:
-            while room >= length and not open_packs.get(room):
-                open_packs.pop(room, None)
-                room -= 1
-            if room >= length:
-                content, count = open_packs[room].pop()
+            if (taken := pull(length)) is not None:
+                room, content, count = taken
                 used = min(todo, count)
                 if used < count:
-                    open_packs[room].append([content, count - used])
+                    push(room, content, count - used)
                 push(room - length, (length, content), used)
                 todo -= used
                 continue
