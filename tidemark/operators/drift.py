@@ -45,6 +45,7 @@ FORMATS = {
     "at-uri": r"at://[^\s/]+(/[^\s/]+(/[^\s/]+)?)?",
     "uri": r"[A-Za-z][A-Za-z0-9+.-]*:[^\s]+",
 }
+MAX_REMEMBERED = 50_000  # signatures whose departures a task keeps
 MAX_PUBLISHED = 100_000  # fields of the published schema; it is metadata, not data
 
 
@@ -331,6 +332,7 @@ def profile(rows: DataFrame, schema: dict[str, list[dict]]) -> DataFrame:
 
 
 def _signature(text: str) -> tuple[frozenset, tuple, tuple]:
+    """The signature in hashable form."""
     lacks, mistyped, unlisted = json.loads(text)
     return frozenset(lacks), tuple(map(tuple, mistyped)), tuple((n, k, frozenset(f)) for n, k, f in unlisted)
 
@@ -345,23 +347,38 @@ def stand_ins(signatures: list[tuple]) -> set[tuple[str, str]]:
     return {(f, g) for g, fs in fits.items() for f in fs}
 
 
-def batch_departures(fields: list[dict], signatures: list[tuple]) -> set[tuple[str, str, str]]:
-    """(kind, old, new) of one batch and collection, from the scripts of all its signatures."""
-    pairs = stand_ins(signatures)
-    base = Node("", children=tuple(Node(f["field_name"], frozenset(f["json_types"] or ()), bool(f["required"])) for f in fields))
-    optional = [n for n in base.children if not n.required]
-    found: set[tuple[str, str, str]] = set()
-    for lacks, mistyped, unlisted in signatures:
+class Comparer:
+    """Departures from the published fields of one collection; equal signatures are compared once per task."""
+
+    def __init__(self, fields: list[dict]):
+        self.base = Node("", children=tuple(Node(f["field_name"], frozenset(f["json_types"] or ()), bool(f["required"])) for f in fields))
+        self.known: dict[tuple, frozenset] = {}
+
+    def departures(self, signatures: list[tuple]) -> set[tuple[str, str, str]]:
+        """(kind, old, new) of one batch, from the scripts of all its signatures."""
+        pairs = stand_ins(signatures)
+        found: set[tuple[str, str, str]] = set()
+        for signature in signatures:
+            present = {n for n, _, _ in signature[2]}
+            key = (signature, frozenset(x for x in pairs if x[1] in present))
+            if (own := self.known.get(key)) is None:
+                if len(self.known) > MAX_REMEMBERED:
+                    self.known.clear()
+                own = self.known[key] = self._of_signature(*key)
+            found |= own
+        return found
+
+    def _of_signature(self, signature: tuple, pairs: frozenset) -> frozenset:
+        lacks, mistyped, unlisted = signature
         wrong = dict(mistyped)
-        seen = [Node(n.name, frozenset([wrong[n.name]]) if n.name in wrong else n.types) for n in base.children if n.required and n.name not in lacks]
-        seen += [Node(n.name, frozenset([wrong[n.name]])) for n in optional if n.name in wrong]
+        typed = lambda n: Node(n.name, frozenset([wrong[n.name]]) if n.name in wrong else n.types)
+        seen = [typed(n) for n in self.base.children if (n.name not in lacks if n.required else n.name in wrong)]
         shape = Node("", children=(*seen, *(Node(n, frozenset([k])) for n, k, _ in unlisted)))
-        # the type of a stand-in is that of the values that fitted, so only the pair decides
-        _, script = edit_script(base, shape, lambda a, b: (a.name, b.name) in pairs, moves=False)
-        present = {n for n, _, _ in unlisted}
+        # a stand-in fits by its values, so only the pair decides what may be renamed
+        _, script = edit_script(self.base, shape, lambda a, b: (a.name, b.name) in pairs, moves=False)
         # scripts of equal cost: a field may be taken for any it fits, and any fitting field may be taken
-        renamed = {(f, g) for f, g in pairs if g in present}
-        stood_for, standing = {f for f, _ in renamed}, {g for _, g in renamed}
+        stood_for, standing = {f for f, _ in pairs}, {g for _, g in pairs}
+        found = {("renamed", f, g) for f, g in pairs}
         for e in script:
             if e.kind == "retype" and e.old == e.new:
                 found.add(("type", e.old, e.new))
@@ -369,8 +386,7 @@ def batch_departures(fields: list[dict], signatures: list[tuple]) -> set[tuple[s
                 found.add(("added", "", e.new))
             elif e.kind == "delete" and e.old not in stood_for:
                 found.add(("removed", e.old, ""))
-        found |= {("renamed", f, g) for f, g in renamed}
-    return found
+        return frozenset(found)
 
 
 REPORT = "batch_no bigint, collection string, kind string, old_field string, new_field string"
@@ -379,14 +395,20 @@ REPORT = "batch_no bigint, collection string, kind string, old_field string, new
 def departures(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(batch_no, collection, kind, old_field, new_field) of each departure from the published schema."""
     schema = published(lexicon)
+    comparers: dict[str, Comparer] = {}
 
     def report(group: pd.DataFrame) -> pd.DataFrame:
         batch, collection = group["batch_no"].iloc[0], group["collection"].iloc[0]
-        found = batch_departures(schema[collection], [_signature(s) for s in group["signature"]])
+        if collection not in comparers:
+            comparers[collection] = Comparer(schema[collection])
+        found = comparers[collection].departures([_signature(s) for s in group["signature"]])
         data = [(batch, collection, *x) for x in sorted(found)]
         return pd.DataFrame(data, columns=["batch_no", "collection", "kind", "old_field", "new_field"])
 
-    return profile(rows, schema).groupBy("batch_no", "collection").applyInPandas(report, REPORT)
+    # few bytes but much work: a fixed number of partitions keeps AQE from putting all groups into one task
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = profile(rows, schema).repartition(tasks, "batch_no", "collection")
+    return groups.groupBy("batch_no", "collection").applyInPandas(report, REPORT)
 
 
 # --- one consistent table -----------------------------------------------------
