@@ -35,13 +35,14 @@ _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?/?>|<!--.*?-->|<!\w[
 _BLOCKS = frozenset("p br li ul ol div td th tr table h1 h2 h3 h4 h5 h6 blockquote section article header footer pre nav".split())
 _NEWLINE = re.compile("\r\n|[\n\r\v\f\x1c-\x1e\x85" + chr(0x2028) + chr(0x2029) + "]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+_DIGITS = re.compile(r"\d+")
 _NUMBER = re.compile(r"\d+(?:[.,:/\-]\d+)*")
 _MARKER = re.compile(
     r"\s*(?:[-*•·‣◦▪●○–—+>]+\s|\[[ xX✓✔]?\]\s|[☐☑☒✓✔✗]\s|\(?[0-9]{1,4}[.)\]:]\s|\([a-z0-9]{1,3}\)\s|[a-zA-Z][.)]\s|#[0-9]+\s)"
 )
-_CUT = re.compile(r"\t+|\s*[|¦]+\s*|\s+[/\\→»«›‹~=:–—-]+\s+|;\s+|[{}<>]+|\s+[•·◦▪●]\s+|\s{4,}")
+_CUT = re.compile(r"[\t|¦{}<>]+|\s[/\\→»«›‹~=:–—•·◦▪●-]+\s|;\s|\s{4}")
 _ENDED = re.compile(r"[.!?…。！？؟।]['\"”’»)\]」』]*\s*$")
-_SENTENCE_END = re.compile(r"(?<=[。！？])|(?<=[.!?…]['\"”’»)\]])\s+|(?<=[.!?…])\s+")
+_STOP = re.compile(r"[.!?…]['\"”’»)\]]?\s+|[。！？]")
 
 
 def _ranges(*bounds: tuple[int, int]) -> re.Pattern:
@@ -77,6 +78,11 @@ def _solid(text: str) -> int:
     return sum(map(len, text.split()))
 
 
+def _ended(text: str) -> bool:
+    """Whether a text ends as a sentence does."""
+    return _ENDED.search(text.rstrip()[-6:]) is not None
+
+
 class Reader:
     """Reads texts with the words that are common in each language."""
 
@@ -87,12 +93,15 @@ class Reader:
             for word in {w.casefold() for w in common[lang]}:
                 self.of_word.setdefault(word, []).append(lang)
 
-    def _is_common(self, folded: str) -> bool:
-        if folded in self.of_word:
-            return True
-        if "'" in folded or "’" in folded or "-" in folded:
-            return any(part in self.of_word for part in folded.replace("’", "'").replace("-", "'").split("'"))
-        return False
+    def _common(self, folded: list[str], joined: bool) -> int:
+        """How many of the words are common; ``joined`` says that some have parts."""
+        known = self.of_word
+        found = sum([w in known for w in folded])
+        if joined:
+            for w in folded:
+                if w not in known and not w.isalpha():
+                    found += any([part in known for part in w.replace("’", "'").replace("-", "'").split("'")])
+        return found
 
     def is_sentence(self, segment: str) -> bool:
         """Whether the segment reads like one or more running sentences."""
@@ -109,21 +118,20 @@ class Reader:
         numbers = len(_NUMBER.findall(segment))
         if numbers > 0.35 * (n + numbers) or len(_ODD.findall(segment)) > 0.1 * len(segment):
             return False
-        ended = _ENDED.search(segment) is not None
         if not latin:
-            return n >= 3 and ended
+            return n >= 3 and _ended(segment)
         folded = [w.casefold() for w in words]
-        if n >= 4 and max(Counter(folded).values()) > 0.6 * n:
+        # one word over and over leaves few different ones
+        if n >= 4 and len(set(folded)) < 0.4 * n + 1 and max(Counter(folded).values()) > 0.6 * n:
             return False
-        if n > 1:
-            capitals = sum(w[0].isupper() for w in words[1:])
-            shouted = n > 2 and sum(w.isupper() for w in words) > 0.7 * n
-            if not shouted and capitals >= 0.5 * (n - 1):
+        if n > 1 and sum([w[0].isupper() for w in words[1:]]) >= 0.5 * (n - 1):
+            shouted = n > 2 and sum(map(str.isupper, words)) > 0.7 * n
+            if not shouted:
                 return False
-        common = sum(map(self._is_common, folded))
+        common = self._common(folded, "'" in segment or "’" in segment or "-" in segment)
         if n >= 8:
             return common >= 0.14 * n
-        if ended:
+        if _ended(segment):
             return common >= 1 or n >= 3
         return n >= 5 and common >= 0.3 * n
 
@@ -134,7 +142,7 @@ class Reader:
         for line in [*lines, ""]:
             text = line.strip()
             marked = _MARKER.match(line) if text else None
-            if run and (not text or marked or _ENDED.search(run[-1]) or not self._continues(run[-1], text)):
+            if run and (not text or marked or _ended(run[-1]) or not self._continues(run[-1], text)):
                 total += self._running(" ".join(run))
                 run.clear()
             if marked:
@@ -154,7 +162,12 @@ class Reader:
         for segment in _CUT.split(text):
             if not segment or not segment.strip():
                 continue
-            parts = [p for p in _SENTENCE_END.split(segment) if p and p.strip()]
+            parts, at = [], 0
+            for stop in _STOP.finditer(segment):
+                parts.append(segment[at : stop.end()])
+                at = stop.end()
+            if segment[at:].strip():
+                parts.append(segment[at:])
             sizes = [_solid(p) for p in parts]
             mass = sum(s for s, p in zip(sizes, parts) if self.is_sentence(p))
             # a short clause between sentences belongs to them
@@ -181,27 +194,27 @@ class Reader:
         visible = [x for x in lines if x.strip()]
         joined = "\n".join(visible)
         words = _WORD.findall(joined)
-        folded = Counter(w.casefold() for w in words)
+        folded = Counter([w.casefold() for w in words])
         n = len(words)
         letters = sum(map(len, words))
         kana = 0 if joined.isascii() else len(_KANA.findall(joined))
         lang = self.language(folded, kana, letters)
-        digits = sum(map(str.isdigit, joined)) if _NUMBER.search(joined) else 0
+        digits = sum(map(len, _DIGITS.findall(joined)))
         count = max(1, len(visible))
         if lang == "ja":
             common = kana / max(1, letters)
         else:
-            common = sum(c for w, c in folded.items() if self._is_common(w)) / max(1, n)
+            common = sum([c for w, c in folded.items() if w in self.of_word]) / max(1, n)
         return (
             lang,
             float(n),
             letters / max(1, n),
             max(0, whole - letters - digits) / whole,
             digits / whole,
-            sum(_ENDED.search(x) is not None for x in visible) / count,
+            sum(map(_ended, visible)) / count,
             common,
-            sum(w[0].isupper() for w in words) / max(1, n),
-            -sum(c / n * math.log2(c / n) for c in folded.values()) if n else 0.0,
+            sum([w[0].isupper() for w in words]) / max(1, n),
+            math.log2(n) - sum([c * math.log2(c) for c in folded.values()]) / n if n else 0.0,
             n / count,
             sum(_MARKER.match(x) is not None for x in visible) / count,
             min(1.0, self.sentence_chars(lines) / whole),
