@@ -19,7 +19,7 @@ def test_html(spark):
     assert values(spark, ['<a href="javascript:x">y</a><a href="https://z">w</a>'], T.scrub_links(t)) == ['<a>y</a><a href="https://z">w</a>']
     assert values(spark, ["<p>a</p>\n <b>c</b>", None], T.description(t)) == ["a c", None]
     assert values(spark, ["x"], T.description(t, F.lit(True), F.lit(None).cast("string"))) == ["Sensitive content"]
-    assert values(spark, ["https://a.b/c/d", "https://a.b"], T.marked_url(t)) == ["https://a.b/~neodb~/c/d", "https://a.b/~neodb~"]
+    assert values(spark, ["https://a.b/c/d", "https://a.b"], T.marked_url(t)) == ["https://a.b/~work~/c/d", "https://a.b/~work~"]
     assert values(spark, ["9.0", "9.5", "10"], T.number_text(t)) == ["9", "9.5", "10"]
 
 

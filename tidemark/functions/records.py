@@ -107,11 +107,10 @@ def is_book(doc: Column) -> Column:
 
 def picked_identifier(ids: Column, work_type: Column) -> Column:
     """struct(key, id): the preferred identifier, else the first identifying one, else a season's compound."""
-    pair = lambda k, v: F.struct(k.alias("key"), v.alias("id"))
-    preferred = [F.when(ids[name].isNotNull(), pair(F.lit(name), ids[name])) for name in PREFERRED_IDS]
-    others = F.filter(F.map_entries(ids), lambda e: ~e["key"].isin(*POSITION_IDS))
-    other = F.get(others, F.lit(0))
-    return F.coalesce(*preferred, F.when(other.isNotNull(), pair(other["key"], other["value"])), season_compound(ids, work_type))
+    name = F.get(F.filter(F.array(*map(F.lit, PREFERRED_IDS)), lambda n: F.map_contains_key(ids, n)), F.lit(0))
+    other = F.get(F.filter(F.map_keys(ids), lambda k: ~k.isin(*POSITION_IDS)), F.lit(0))
+    key = F.coalesce(name, other)
+    return F.coalesce(F.when(key.isNotNull(), F.struct(key.alias("key"), ids[key].alias("id"))), season_compound(ids, work_type))
 
 
 def season_compound(ids: Column, work_type: Column) -> Column:
@@ -171,38 +170,38 @@ def with_work(rows: DataFrame) -> DataFrame:
     Books get their own shape; an episode on a list stands for its season if it
     can name it. ``work_key`` is null where no identifier names a work.
     """
-    doc = F.col("doc")
-    book = is_book(doc)
-    raw = identifier_map(doc["identifiers"])
-    hive = F.when(doc["hiveId"].isNotNull() & (doc["hiveId"] != "") & ~F.map_contains_key(raw, F.lit("hiveId")), F.create_map(F.lit("hiveId"), doc["hiveId"]))
-    book_ids = F.map_concat(raw, F.coalesce(hive, F.expr("map()").cast("map<string,string>")))
-    as_season = (
-        ~book
-        & (doc["creativeWorkType"] == "tv_episode")
-        & F.endswith(doc["$type"], F.lit("feed.listItem"))
-        & raw["tmdbTvSeriesId"].isNotNull()
-        & raw["seasonNumber"].isNotNull()
-    )
-    season_ids = F.map_filter(raw, lambda k, _: k.isin("tmdbTvSeriesId", "seasonNumber"))
-    ids = F.when(book, book_ids).when(as_season, season_ids).otherwise(raw)
-    kind = (
-        F.when(book, F.lit("book")).when(as_season, F.lit("tv_season")).otherwise(F.coalesce(F.nullif(doc["creativeWorkType"], F.lit("")), F.lit("unknown")))
+    doc, raw, book = F.col("doc"), F.col("_raw"), F.col("_book")
+    # step by step, so that no expression holds another one more than once
+    rows = rows.withColumn("_book", is_book(doc)).withColumn("_raw", identifier_map(doc["identifiers"]))
+    hive = (doc["hiveId"] != "") & ~F.map_contains_key(raw, F.lit("hiveId"))
+    rows = rows.withColumn("_season", season_of_episode(doc, raw, book))
+    ids = (
+        F.when(book & F.coalesce(hive, F.lit(False)), F.map_concat(raw, F.create_map(F.lit("hiveId"), doc["hiveId"])))
+        .when(F.col("_season"), F.map_filter(raw, lambda k, _: k.isin("tmdbTvSeriesId", "seasonNumber")))
+        .otherwise(raw)
     )
+    kind = F.when(book, "book").when(F.col("_season"), "tv_season").otherwise(F.coalesce(F.nullif(doc["creativeWorkType"], F.lit("")), F.lit("unknown")))
     rows = rows.withColumn("work_type", kind).withColumn("ids", ids)
+    rows = rows.withColumn("_compound", season_compound(F.col("ids"), F.col("work_type")))
+    identifying = F.filter(F.map_entries("ids"), lambda e: ~e["key"].isin(*POSITION_IDS))
+    rows = rows.withColumn("_own", F.transform(identifying, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("id"))))
     rows = rows.withColumn("picked", picked_identifier(F.col("ids"), F.col("work_type")))
-    identifying = F.transform(
-        F.filter(F.map_entries("ids"), lambda e: ~e["key"].isin(*POSITION_IDS)), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("id"))
-    )
-    compound = season_compound(F.col("ids"), F.col("work_type"))
-    aliases = F.array_distinct(F.array_compact(F.concat(identifying, F.array(compound))))
+    aliases = F.array_distinct(F.array_compact(F.concat("_own", F.array("_compound"))))
     return (
         rows.withColumn("work_key", F.concat(F.col("work_type"), F.lit(":"), F.col("picked.key"), F.lit("-"), F.col("picked.id")))
         .withColumn("work_title", normal_title(F.col("work_type"), doc["title"], F.col("ids")))
         .withColumn("poster", F.when(~book, doc["posterUrl"]))
         .withColumn("aliases", F.when(F.col("picked").isNotNull(), aliases))
+        .drop("_book", "_raw", "_season", "_compound", "_own")
     )
 
 
+def season_of_episode(doc: Column, ids: Column, book: Column) -> Column:
+    """Whether a record is an episode on a list that can name its season."""
+    named = ids["tmdbTvSeriesId"].isNotNull() & ids["seasonNumber"].isNotNull()
+    return F.coalesce(~book & (doc["creativeWorkType"] == "tv_episode") & F.endswith(doc["$type"], F.lit("feed.listItem")) & named, F.lit(False))
+
+
 def key_parts(work_key: Column) -> tuple[Column, Column]:
     """(type, id) of a work key."""
     kind = head(work_key, ":")

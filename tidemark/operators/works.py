@@ -70,6 +70,7 @@ def mint(rows: DataFrame) -> DataFrame:
     named = rows.where(F.col("work_key").isNotNull()).select(
         "seq", "work_key", F.transform("aliases", lambda a: F.to_json(F.array(F.col("work_type"), a["key"], a["id"]))).alias("aliases")
     )
+    named = stage_table(named, "named")
     distinct = stage_table(named.groupBy("work_key", "aliases").agg(F.min("seq").alias("seq")), "mint")
     parts = components(distinct.where("size(aliases) > 0").select(F.col("aliases").alias("nodes")).distinct())
     keyed = distinct.withColumn("node", F.coalesce(F.get("aliases", F.lit(0)), F.concat(F.lit("!"), "work_key")))

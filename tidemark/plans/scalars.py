@@ -11,9 +11,11 @@ from tidemark.functions import documents as D
 from tidemark.functions import records as R
 from tidemark.functions import text as T
 from tidemark.functions import timefn as M
+from tidemark.operators import archive as A
+from tidemark.operators import pairing as P
 from tidemark.operators import works as W
 from tidemark.plans.problems import commit_rows, table
-from tidemark.plans.reference import BASE, _A, _WORDS, _shelf_sql, archive
+from tidemark.plans.reference import _A, _C, _H, _WORDS, BASE, NOW, _shelf_sql, actors, archive, events, published
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,7 +83,7 @@ def href_scrub(spark, folder):
 
 
 @query(
-    f"""SELECT id, split_part(split_part(target_inbox, '://', 2), '/', 1) AS host, regexp_replace(target_inbox, '^([^:/]+://[^/]*)', '\\1/~neodb~') AS marked,
+    f"""SELECT id, split_part(split_part(target_inbox, '://', 2), '/', 1) AS host, regexp_replace(target_inbox, '^([^:/]+://[^/]*)', '\\1/{T.MARKER}') AS marked,
   split_part(record_uri, '/', -1) AS last, CASE WHEN record_uri LIKE 'at://did:%' THEN split_part(split_part(record_uri, '/', 3), ':', -1) || '.did' END AS fallback,
   regexp_full_match(record_uri, 'at://[^/]+/social\\.popfeed\\.feed\\.list/[^/]*') AS is_list, (id % 3 = 0) AS local,
   CASE WHEN id % 3 = 0 THEN split_part(record_uri, '/', -1) END AS ident FROM delivery_log"""
@@ -281,3 +283,41 @@ def facet_render(spark, folder):
     """Rich text of reviews as HTML; byte offsets, tested against examples."""
     rows = R.fields(archive(spark, folder).where(F.col("collection") == R.REVIEW))
     return rows.select("at_uri", T.render_facets(F.coalesce(F.col("doc.text"), F.lit("")), F.col("doc.facets")).alias("made"))
+
+
+# --- pairs and documents ------------------------------------------------------
+
+
+@query()
+def pair_activities(spark, folder):
+    """Every activity that reviews and list items cause; ordered fold, tested by scenarios."""
+    rows = R.with_work(R.fields(events(spark, folder).where(F.col("collection").isin(R.REVIEW, R.LIST_ITEM))))
+    return P.activities(rows, W.mint(rows.where(F.col("operation") != "delete")))
+
+
+def notes_of(spark, folder):
+    """Published live records with all that their notes need."""
+    rows = archive(spark, folder)
+    live = published(rows).where(F.col("is_published") & ~F.col("deleted")).withColumnsRenamed({"op": "operation"})
+    live = A.with_list_label(R.with_work(live), rows).join(actors(spark, folder).select("did", "handle"), "did")
+    live = live.withColumn("time_us", F.unix_micros(F.col("updated_at").cast("timestamp")))
+    return live.withColumn("text_html", T.render_facets(F.coalesce(F.col("doc.text"), F.lit("")), F.col("doc.facets")))
+
+
+@query()
+def note_documents(spark, folder):
+    """The note of each published record as JSON, and the activity around it."""
+    clock = F.lit(NOW)
+    rows = notes_of(spark, folder).withColumn("note", D.note(BASE, clock))
+    kind = F.when(F.col("operation") == "create", "create").otherwise("update")
+    wrapped = D.activity(kind, F.col("note"), F.col("note.id"), F.col("note.attributedTo"), F.col("note.published"), F.col("note.updated"))
+    return rows.select("at_uri", F.to_json("note").alias("note"), wrapped["id"].alias("activity_id"), wrapped["type"].alias("activity"))
+
+
+@query(
+    f"""WITH {_C}, {_H} SELECT did, '{BASE}/users/' || handle AS id, handle AS name, 'acct:' || handle || '@bridge.example' AS subject FROM actors"""
+)
+def actor_documents(spark, folder):
+    one = D.person(F.col("handle"), F.lit(None).cast("string"), F.lit(None).cast("string"), BASE)
+    found = D.discovery(F.col("handle"), "bridge.example", BASE)
+    return actors(spark, folder).select("did", one["id"].alias("id"), one["name"].alias("name"), found["subject"].alias("subject"))
