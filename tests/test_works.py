@@ -1,7 +1,5 @@
 import random
 
-import pandas as pd
-
 from tidemark.operators import works as W
 
 ROWS = "seq bigint, work_type string, work_key string, aliases array<struct<key string, id string>>, work_title string, poster string"
@@ -54,6 +52,19 @@ def test_empty_and_catalog(spark):
     assert (r.title, r.poster, r.records, r.first_seq) == ("T", None, 3, 1)
 
 
-def test_fold_orders_by_arrival():
-    frame = pd.DataFrame({"seq": [2, 1], "work_key": ["b", "a"], "aliases": [["x"], ["x"]]})
-    assert list(W.fold(frame)["minted_key"]) == ["a", "a"]
+def test_groups_are_streamed_in_order(spark):
+    from tidemark.operators.folding import fold_groups
+
+    def start():
+        seen = []
+
+        def step(seq, value):
+            seen.append(value)
+            return [(seq, "".join(seen))] if value != "skip" else []
+
+        return step
+
+    rows = spark.createDataFrame([(g, s, v) for g in ("a", "b", None) for s, v in ((2, "y"), (1, "x"), (3, "skip"))], "g string, seq bigint, v string")
+    got = sorted((r.seq, r.text) for r in fold_groups(rows.repartition(5), "g", ["seq"], ["seq", "v"], start, "seq bigint, text string").collect())
+    assert got == [(1, "x")] * 3 + [(2, "xy")] * 3
+    assert fold_groups(rows.limit(0), "g", ["seq"], ["seq", "v"], start, "seq bigint, text string").count() == 0

@@ -24,13 +24,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import records as R
 from tidemark.operators import works as W
-from tidemark.session import ship, stage_table
+from tidemark.operators.folding import fold_groups
+from tidemark.session import stage_table
 
 EMITTED = "did string, seq bigint, step int, kind string, anchor string, source string, shelf string, work_key string"
 
@@ -62,7 +62,7 @@ class Author:
         self.stranded = 0
 
     def emit(self, seq: int, kind: str, anchor: str, source: str | None = None, shelf: str | None = None, work: str | None = None) -> None:
-        step = sum(1 for x in reversed(self.out[-8:]) if x[0] == seq)
+        step = sum(1 for x in self.out[-8:] if x[0] == seq)
         self.out.append((seq, step, kind, anchor, source, shelf, work))
 
     def _members(self, work: str | None) -> list[Row]:
@@ -155,17 +155,20 @@ class Author:
             self.derive(seq, row.work, row)
 
 
-def fold(group: pd.DataFrame) -> pd.DataFrame:
-    """Activities of one group of events (did, seq, at_uri, is_review, operation, work_key, shelf)."""
+COLUMNS = ("did", "seq", "at_uri", "is_review", "operation", "work_key", "shelf")
+
+
+def pairing():
+    """The fold of one group: COLUMNS of an event to the activities it causes."""
     author = Author()
-    for did, seq, uri, is_review, operation, work, shelf in group.sort_values("seq").itertuples(index=False):
-        author.event(int(seq), uri, bool(is_review), operation, _text(work), _text(shelf))
-    did = group["did"].iloc[0]
-    return pd.DataFrame([(did, *x) for x in author.out], columns=["did", "seq", "step", "kind", "anchor", "source", "shelf", "work_key"])
 
+    def step(did, seq, uri, is_review, operation, work, shelf) -> list[tuple]:
+        author.event(seq, uri, is_review, operation, work, shelf)
+        out = [(did, *x) for x in author.out]
+        author.out.clear()
+        return out
 
-def _text(value) -> str | None:
-    return value if isinstance(value, str) else None
+    return step
 
 
 def activities(rows: DataFrame, minted: DataFrame) -> DataFrame:
@@ -173,7 +176,6 @@ def activities(rows: DataFrame, minted: DataFrame) -> DataFrame:
 
     ``rows`` are results of ``with_work``, ``minted`` tells the work each joined.
     """
-    ship(rows.sparkSession)
     uri = F.concat(F.lit("at://"), "did", F.lit("/"), "collection", F.lit("/"), "rkey")
     shelf = R.shelf_of_item(F.col("doc.listType"), F.col("doc.creativeWorkType"))
     upsert = F.col("operation") != "delete"
@@ -191,5 +193,4 @@ def activities(rows: DataFrame, minted: DataFrame) -> DataFrame:
     nodes = F.concat(F.array(F.col("at_uri")), F.transform("works", lambda w: F.concat(F.col("did"), F.lit("|"), w)))
     parts = W.components(groups.select(nodes.alias("nodes"))).where(F.startswith("node", F.lit("at://")))
     placed = events.join(parts, events["at_uri"] == parts["node"])
-    columns = ["did", "seq", "at_uri", "is_review", "operation", "work_key", "shelf"]
-    return placed.select("component", *columns).groupBy("component").applyInPandas(lambda g: fold(g[columns]), EMITTED)
+    return fold_groups(placed, "component", ["seq"], COLUMNS, pairing, EMITTED)

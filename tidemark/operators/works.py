@@ -10,11 +10,11 @@ neighbourhoods, in rounds that are written to the shared folder.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import ship, stage_table
+from tidemark.operators.folding import fold_groups
+from tidemark.session import stage_table
 
 MAX_ROUNDS = 40
 
@@ -46,16 +46,17 @@ def components(groups: DataFrame) -> DataFrame:
 MINTED = "seq bigint, minted_key string"
 
 
-def fold(group: pd.DataFrame) -> pd.DataFrame:
-    """Work of each record of one component: (seq, own key, alias names in the record's order), by seq."""
+def joining():
+    """The fold of one component: (seq, own key, alias names in the record's order) to (seq, key of the work it joins)."""
     owner: dict[str, str] = {}
-    out = []
-    for seq, own, aliases in group.sort_values("seq").itertuples(index=False):
+
+    def step(seq: int, own: str, aliases: list[str]) -> list[tuple[int, str]]:
         key = next((owner[a] for a in aliases if a in owner), own)
         for a in aliases:
             owner.setdefault(a, key)
-        out.append((seq, key))
-    return pd.DataFrame(out, columns=["seq", "minted_key"])
+        return [(seq, key)]
+
+    return step
 
 
 def mint(rows: DataFrame) -> DataFrame:
@@ -66,16 +67,14 @@ def mint(rows: DataFrame) -> DataFrame:
     those, and later ones take the result by a join. A work that a third of all
     records are about is therefore as small as its identifiers are few.
     """
-    ship(rows.sparkSession)
-    named = rows.where(F.col("work_key").isNotNull()).select(
-        "seq", "work_key", F.transform("aliases", lambda a: F.to_json(F.array(F.col("work_type"), a["key"], a["id"]))).alias("aliases")
-    )
-    named = stage_table(named, "named")
+    names = F.transform("aliases", lambda a: F.to_json(F.array(F.col("work_type"), a["key"], a["id"])))
+    # filtered only once written: a filter above would be pushed down with the whole derivation of the key inside
+    named = stage_table(rows.select("seq", "work_key", names.alias("aliases")), "named").where(F.col("work_key").isNotNull())
     distinct = stage_table(named.groupBy("work_key", "aliases").agg(F.min("seq").alias("seq")), "mint")
     parts = components(distinct.where("size(aliases) > 0").select(F.col("aliases").alias("nodes")).distinct())
     keyed = distinct.withColumn("node", F.coalesce(F.get("aliases", F.lit(0)), F.concat(F.lit("!"), "work_key")))
     placed = keyed.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    minted = placed.select("component", "seq", "work_key", "aliases").groupBy("component").applyInPandas(lambda g: fold(g[["seq", "work_key", "aliases"]]), MINTED)
+    minted = fold_groups(placed, "component", ["seq"], ["seq", "work_key", "aliases"], joining, MINTED)
     result = distinct.join(minted, "seq").select("work_key", "aliases", "minted_key")
     return named.join(result, ["work_key", "aliases"]).select("seq", "minted_key")
 

@@ -15,6 +15,7 @@ from tidemark.operators import archive as A
 from tidemark.operators import pairing as P
 from tidemark.operators import works as W
 from tidemark.plans.problems import commit_rows, table
+from tidemark.session import stage_table
 from tidemark.plans.reference import _A, _C, _H, _WORDS, BASE, NOW, _shelf_sql, actors, archive, events, published
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -255,8 +256,10 @@ aliases AS (SELECT DISTINCT kind, k, v FROM ids WHERE v <> '' AND k NOT IN ('epi
 
 @query(f"WITH {_W} SELECT kind AS work_type, k AS id_key, v AS id FROM aliases")
 def alias_register(spark, folder):
-    rows = works_of(spark, folder).where(F.col("aliases").isNotNull()).select("work_type", F.explode("aliases").alias("a"))
-    return rows.select("work_type", F.col("a.key").alias("id_key"), F.col("a.id").alias("id")).distinct()
+    # the outer form: the filter that explode implies would be pushed down with the whole derivation inside
+    rows = works_of(spark, folder).select("work_type", F.explode_outer("aliases").alias("a"))
+    found = rows.select("work_type", F.col("a.key").alias("id_key"), F.col("a.id").alias("id")).distinct()
+    return found.where(F.col("id_key").isNotNull())
 
 
 @query()
@@ -267,9 +270,8 @@ def work_mint(spark, folder):
 
 @query()
 def work_components(spark, folder):
-    rows = works_of(spark, folder).where(F.col("aliases").isNotNull())
-    named = rows.select(F.transform("aliases", lambda a: F.to_json(F.array(F.col("work_type"), a["key"], a["id"]))).alias("nodes"))
-    return W.components(named.where("size(nodes) > 0").distinct())
+    named = works_of(spark, folder).select(F.transform("aliases", lambda a: F.to_json(F.array(F.col("work_type"), a["key"], a["id"]))).alias("nodes"))
+    return W.components(stage_table(named.distinct(), "aliases").where("size(nodes) > 0"))
 
 
 @query()
