@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.jsontree import parse, type_name
-from tidemark.session import ship
+from tidemark.session import ship, spread
 
 #: Formats of texts by name, as regular expressions.
 FORMATS = {
@@ -328,7 +328,7 @@ def profile(rows: DataFrame, schema: dict[str, list[dict]]) -> DataFrame:
         yield flush()
 
     wanted = rows.where(F.col("record").isNotNull() & F.col("collection").isin(*schema)).select("batch_no", "collection", "record")
-    return wanted.mapInArrow(reduce, PROFILE).groupBy("batch_no", "collection", "signature").agg(F.sum("records").alias("records"))
+    return spread(wanted).mapInArrow(reduce, PROFILE).groupBy("batch_no", "collection", "signature").agg(F.sum("records").alias("records"))
 
 
 def _signature(text: str) -> tuple[frozenset, tuple, tuple]:

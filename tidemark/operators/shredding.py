@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tidemark.operators.jsontree import parse, scalar_text, type_name
-from tidemark.session import ship
+from tidemark.session import ship, spread
 
 ADJACENCY = (
     "node int, parent int, entity int, path string, label string, ordinal int, pos array<int>, kind string, scalar string"
@@ -93,7 +93,7 @@ def adjacency(documents: DataFrame, key: str, text: str, keep: Sequence[str] | N
         columns = [keys, *(zip(*rows) if rows else [[] for _ in range(len(arrow) - 1)])]
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return documents.select(key, text).mapInArrow(shred, schema)
+    return spread(documents.select(key, text)).mapInArrow(shred, schema)
 
 
 def entities(nodes: DataFrame, key: str, labels: Sequence[str]) -> DataFrame:

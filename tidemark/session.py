@@ -68,6 +68,20 @@ def stage_table(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+SPLIT = 4 << 20  # bytes below which Spark does not cut files for more tasks
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many tasks as there are cores, if it is too small to be cut so by its scan.
+
+    For work in Python that costs far more than moving a few megabytes; larger
+    tables come in enough splits and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if size < cores * SPLIT else df
+
+
 def ship(spark: SparkSession) -> None:
     """Give the Python workers this package, however the driver found it; once per session."""
     context = spark.sparkContext
