@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.session import ship
+from tidemark.session import ship, spread
 
 FOLDER = "/opt/tokenizers"
 
@@ -95,7 +95,7 @@ def encode(documents: DataFrame, tokenizer: str = "byte_bpe_50k", key: str = "do
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[key, "ids"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>")
+    return spread(documents.select(key, text)).mapInArrow(run, f"{key} {kind}, ids array<int>")
 
 
 def lengths(documents: DataFrame, tokenizers: Sequence[str], key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
@@ -117,4 +117,4 @@ def lengths(documents: DataFrame, tokenizers: Sequence[str], key: str = "doc_id"
                     )
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, text).mapInArrow(run, f"{key} {kind}, tokenizer string, tokens bigint")
+    return spread(documents.select(key, text)).mapInArrow(run, f"{key} {kind}, tokenizer string, tokens bigint")

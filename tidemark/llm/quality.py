@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.prose import STATISTICS, Reader
-from tidemark.session import ship, stage_table
+from tidemark.session import ship, spread, stage_table
 
 MAX_COMMON = 1_000_000  # common words read by the driver; a vocabulary, not data
 ALL = "*"
@@ -70,7 +70,7 @@ def statistics(documents: DataFrame, common_words: DataFrame, key: str = "doc_id
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     wanted = documents.where(F.col(text).isNotNull()).select(key, text)
-    return wanted.mapInArrow(run, f"{key} {kind}, language string, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return spread(wanted).mapInArrow(run, f"{key} {kind}, language string, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 def sketches(measured: DataFrame) -> DataFrame:
