@@ -79,3 +79,11 @@ def test_report(spark):
     log = [(1, uri("x"), None, ""), (2, uri("y"), None, "")]
     found = O.orphan_references(commits(frame(spark, [])), spark.createDataFrame(log, LOG), spark.createDataFrame([], DIDS))
     assert [tuple(r) for r in O.orphan_report(found).collect()] == [("delivery_log", None, 2)]
+
+
+def test_any_references_and_clashing_columns(spark):
+    references = spark.createDataFrame([("p1", "w", 1), ("p2", None, 2), (None, "x", 3), ("p2", None, 2)], "target string, word string, bits int")
+    parents = spark.createDataFrame([("p1", "w"), ("p1", "v"), (None, "u")], "k string, word string")
+    found = O.orphans(references, "target", parents, "k", 2)
+    assert sorted(map(tuple, found.collect()), key=str) == [("p2", None, 2), ("p2", None, 2), (None, "x", 3)]
+    assert found.columns == ["target", "word", "bits"]

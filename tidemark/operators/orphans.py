@@ -56,10 +56,10 @@ def bloom(keys: DataFrame, key: str, words: int) -> DataFrame:
 def orphans(references: DataFrame, target: str, parents: DataFrame, key: str, n_parents: int, max_words: int = MAX_WORDS) -> DataFrame:
     """Rows of ``references`` whose ``target`` is no ``key`` of ``parents``; null targets are orphans."""
     words = filter_words(n_parents, max_words)
-    sieve = F.broadcast(bloom(parents, key, words))
+    sieve = F.broadcast(bloom(parents, key, words).toDF("_word", "_bits"))
     at = F.col(target)
-    probed = references.withColumn("word", _word(at, words)).join(sieve, "word", "left")
-    hit = at.isNotNull() & F.coalesce(F.col("bits").bitwiseAND(_mask(at)) == _mask(at), F.lit(False))
+    probed = references.withColumn("_word", _word(at, words)).join(sieve, "_word", "left")
+    hit = at.isNotNull() & F.coalesce(F.col("_bits").bitwiseAND(_mask(at)) == _mask(at), F.lit(False))
     definite = probed.where(~hit).select(*references.columns)
     possible = probed.where(hit).select(*references.columns)
     verified = possible.join(parents.select(F.col(key).alias(target)), target, "left_anti").select(*references.columns)

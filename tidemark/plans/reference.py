@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import records as R
 from tidemark.functions import text as T
 from tidemark.functions import timefn as M
+from tidemark.operators import accounts as U
 from tidemark.operators import archive as A
 from tidemark.operators import backfill as B
 from tidemark.operators import fanout as O
@@ -519,3 +520,69 @@ def backfill_budget(spark, folder):
 def replay_order(spark, folder):
     rows = B.replay_order(imported(spark, folder), F.col("written"), F.col("collection") == R.LIST)
     return rows.select("did", "at_uri", F.col("turn").cast("bigint").alias("turn"))
+
+
+# --- accounts -----------------------------------------------------------------
+
+_CONTROLS = """controls AS (SELECT did, seq, CASE WHEN seq % 3 = 0 THEN 'opt_in' ELSE 'opt_out' END AS control FROM jetstream_sample WHERE kind = 'identity')"""
+
+
+def controls(spark, folder):
+    """Identity events as control events: every third one opts in, the others opt out."""
+    rows = table(spark, folder, "jetstream_sample").where(F.col("kind") == "identity")
+    return rows.select("did", "seq", F.when(F.col("seq") % 3 == 0, U.OPT_IN).otherwise(U.OPT_OUT).alias("control"))
+
+
+@query(
+    f"""WITH {_C}, {_CONTROLS} SELECT collection, count(*) AS n FROM wanted w
+WHERE coalesce((SELECT arg_max(control, c.seq) FROM controls c WHERE c.did = w.did AND c.seq < w.seq), 'opt_in') <> 'opt_out' GROUP BY collection"""
+)
+def accepted_events(spark, folder):
+    return U.accepted(A.wanted(commit_rows(spark, folder)), controls(spark, folder)).groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH {_A}, {_CONTROLS} SELECT at_uri FROM archive a WHERE NOT deleted
+AND EXISTS (SELECT 1 FROM controls c WHERE c.did = a.did AND c.seq > a.updated_seq AND c.control = 'opt_out')"""
+)
+def optout_purge(spark, folder):
+    return U.purged(archive(spark, folder), controls(spark, folder)).where("purged").select("at_uri")
+
+
+@query(
+    f"""WITH {_C}, p AS (SELECT did, seq, nullif(coalesce(nullif(json_extract_string(record, '$.displayName'), ''), json_extract_string(record, '$.name')), '') AS name,
+  coalesce(nullif(json_extract_string(record, '$.avatar.ref."$link"'), ''), nullif(json_extract_string(record, '$.avatar.cid'), '')) AS avatar
+  FROM events_in WHERE collection = 'social.popfeed.actor.profile' AND operation <> 'delete')
+SELECT did, arg_max(name, seq) FILTER (name IS NOT NULL) AS name, arg_max(avatar, seq) FILTER (avatar IS NOT NULL) AS avatar FROM p GROUP BY did"""
+)
+def profile_state(spark, folder):
+    rows = R.fields(events(spark, folder).where((F.col("collection") == R.PROFILE) & (F.col("operation") != "delete")))
+    name = F.coalesce(F.nullif(F.col("doc.displayName"), F.lit("")), F.col("doc.name"))
+    return U.profile_state(rows, name, R.avatar_cid(F.col("doc.avatar")))
+
+
+@query(
+    f"""WITH {_A} SELECT collection, op, deleted, count(*) AS n, sum(length(rkey)) AS key_chars FROM archive GROUP BY CUBE (collection, op, deleted)"""
+)
+def archive_cube(spark, folder):
+    return archive(spark, folder).cube("collection", "op", "deleted").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("rkey")).alias("key_chars"))
+
+
+@query(
+    "SELECT target_inbox, status, count(*) AS n, round(avg(attempts), 4) AS mean_attempts, min(created_at) AS first, max(last_attempt) AS last, count(DISTINCT record_uri) AS records FROM delivery_log GROUP BY ALL"
+)
+def delivery_summary(spark, folder):
+    return log(spark, folder).groupBy("target_inbox", "status").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.avg("attempts"), 4).alias("mean_attempts"),
+        F.min("created_at").alias("first"),
+        F.max("last_attempt").alias("last"),
+        F.count_distinct("record_uri").alias("records"),
+    )
+
+
+@query()
+def work_identifiers(spark, folder):
+    """Merged identifiers of each work; rests on the ordered fold, tested on a small stream."""
+    rows = R.with_work(R.fields(events(spark, folder).where((F.col("operation") != "delete") & F.col("collection").isin(R.REVIEW, R.LIST_ITEM, R.BOOK))))
+    return U.merged_identifiers(rows, W.mint(rows)).select("work_key", F.to_json("ids").alias("ids"))
