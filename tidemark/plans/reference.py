@@ -194,7 +194,22 @@ def seen_bounds(spark, folder):
     return actors(spark, folder)
 
 
-@query()
+@query(
+    f"""WITH {_P},
+docs AS (SELECT *, json_extract_string(record, '$."$type"') AS t, json_extract_string(record, '$.creativeWorkType') AS cw, json_extract_string(record, '$.hiveId') AS hive,
+  nullif(json_extract_string(record, '$.identifiers.tmdbTvSeriesId'), '') AS series, nullif(json_extract_string(record, '$.identifiers.seasonNumber'), '') AS season FROM events_in),
+identified AS (SELECT DISTINCT seq FROM docs, json_each(record, '$.identifiers') e WHERE json_type(record, '$.identifiers') = 'OBJECT' AND e.type <> 'NULL'
+  AND json_extract_string(e.value, '$') <> '' AND e.key NOT IN ('episodeNumber', 'seasonNumber', 'tmdbTvSeriesId')),
+kinds AS (SELECT d.*, i.seq IS NOT NULL AS has_id, coalesce(t = 'buzz.bookhive.book', hive IS NOT NULL) AS is_book, base,
+  coalesce(NOT coalesce(t = 'buzz.bookhive.book', hive IS NOT NULL) AND cw = 'tv_episode' AND t LIKE '%feed.listItem' AND series IS NOT NULL AND season IS NOT NULL, false) AS is_season
+  FROM docs d LEFT JOIN identified i USING (seq) LEFT JOIN shelves ON lt = lower(coalesce(json_extract_string(record, '$.listType'), ''))),
+works AS (SELECT *, CASE WHEN is_book THEN 'book' WHEN is_season THEN 'tv_season' ELSE coalesce(nullif(cw, ''), 'unknown') END AS kind,
+  is_season OR has_id OR (is_book AND coalesce(hive <> '', false)) OR (coalesce(cw = 'tv_season', false) AND series IS NOT NULL AND season IS NOT NULL) AS named,
+  collection = 'social.popfeed.feed.review' OR (collection = 'social.popfeed.feed.listItem' AND base IS NOT NULL) AS contributes FROM kinds)
+SELECT CASE WHEN collection = 'social.popfeed.actor.profile' THEN 'profile' WHEN collection = 'social.popfeed.feed.list' THEN 'archive' WHEN operation = 'delete' THEN 'delete'
+  WHEN kind = 'tv_episode' THEN 'episode' WHEN collection = 'social.popfeed.feed.listItem' AND NOT (named AND contributes) THEN 'membership'
+  WHEN named AND contributes THEN 'paired' ELSE 'standalone' END AS route, operation, count(*) AS n FROM works GROUP BY ALL"""
+)
 def route_mix(spark, folder):
     rows = R.with_work(R.fields(events(spark, folder)))
     return rows.groupBy(A.route(rows).alias("route"), "operation").agg(F.count(F.lit(1)).alias("n"))
