@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import records as R
@@ -283,15 +283,14 @@ def account_recent(spark, folder):
 
 
 @query(
-    f"""WITH {_P}, {_H} SELECT handle, rkey, '{BASE}/users/' || handle || '/posts/' || rkey AS url,
-row_number() OVER (PARTITION BY did ORDER BY created_at DESC, at_uri) AS place
+    f"""WITH {_P}, {_H} SELECT handle, rkey, '{BASE}/users/' || handle || '/posts/' || rkey AS url, created_at
 FROM posts JOIN actors USING (did) WHERE is_published AND NOT deleted"""
 )
 def outbox(spark, folder):
     rows = published(archive(spark, folder)).where(F.col("is_published") & ~F.col("deleted")).join(actors(spark, folder), "did")
-    place = F.row_number().over(Window.partitionBy("did").orderBy(F.col("created_at").desc(), "at_uri")).cast("bigint")
     url = F.concat(F.lit(f"{BASE}/users/"), "handle", F.lit("/posts/"), "rkey")
-    return rows.select("handle", "rkey", url.alias("url"), place.alias("place"))
+    # a range sort over all outboxes: an author with very many posts is cut like any other range
+    return rows.orderBy("did", F.col("created_at").desc(), "at_uri").select("handle", "rkey", url.alias("url"), "created_at")
 
 
 @query(
