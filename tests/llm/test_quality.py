@@ -71,6 +71,16 @@ def test_tails_are_found(spark):
     assert sorted(r.doc_id for r in Q.not_prose(docs, words).collect()) == list(range(first, first + len(OTHER)))
 
 
+@pytest.mark.parametrize("good, bad", [(1, 4), (1, 1), (2, 1)])
+def test_cases_are_found_in_any_mix(spark, good, bad):
+    """Mostly junk, or texts of very different shares: no case is hidden by the others."""
+    half = "It was a long night, and the lights went out. | 12 | 1999 | 44 | 3.50 | 17 | 2001 | 88 | 1034 | 2024 | 7781 | 90210 | 4455 |"
+    assert 0.2 < share(half) < 0.5
+    texts = [*PROSE * good, *OTHER * bad, *[half] * bad]
+    docs, words = frames(spark, texts)
+    assert sorted(r.doc_id for r in Q.not_prose(docs, words).collect()) == list(range(good * len(PROSE), len(texts)))
+
+
 def test_scores(spark):
     docs, words = frames(spark, [*PROSE * 4, *OTHER])
     rows = Q.quality(docs, words).collect()

@@ -5,8 +5,9 @@ sketch of each statistic per language; sketches are mergeable, so partial
 aggregation leaves a few kilobytes per language and task, and the sketch over
 all languages is the merge of theirs. ``scores`` converts values to percentiles
 and robust z-scores by a broadcast join with at most one row per language
-(languages come from the common words, a fixed vocabulary). ``not_prose`` flags
-the low tail of the share of running sentences and then checks that share.
+(languages come from the common words, a fixed vocabulary). ``not_prose`` takes
+the low tail of the share of running sentences as candidates, which reaches up
+to one half at least, so that no mix of texts hides a case, and checks that share.
 
 Texts without a known language, and languages whose own median text is no
 prose, are measured against the sketch over all languages.
@@ -82,8 +83,18 @@ def sketches(measured: DataFrame) -> DataFrame:
     return by.unionByName(whole.where("n > 0").withColumn("language", F.lit(ALL)))
 
 
-def scores(measured: DataFrame, built: DataFrame) -> DataFrame:
-    """``measured`` with ``p_`` (percentile) and ``z_`` (robust z-score) of each statistic."""
+def _median(name: str) -> Column:
+    return F.col(f"q2_{name}")
+
+
+def _spread(name: str) -> Column:
+    """Robust spread of a statistic in a yardstick, within its bounds."""
+    low, high = SPREAD[name]
+    return F.least(F.greatest((F.col(f"q3_{name}") - F.col(f"q1_{name}")) / 1.349, F.lit(low)), F.lit(high))
+
+
+def against(measured: DataFrame, built: DataFrame) -> DataFrame:
+    """``measured`` with its yardstick and that one's quantiles: grid ``g_`` and quartiles ``q1_`` to ``q3_``."""
     quartiles = built.select(
         "language",
         *(F.kll_sketch_get_quantile_double(s, F.lit(GRID)).alias(f"g_{s}") for s in STATISTICS),
@@ -94,27 +105,34 @@ def scores(measured: DataFrame, built: DataFrame) -> DataFrame:
     own = own.withColumnRenamed("language", "yardstick")
     known = F.broadcast(own.select(F.col("yardstick").alias("language"), F.col("yardstick").alias("own")))
     named = measured.join(known, "language", "left").withColumn("yardstick", F.coalesce("own", F.lit(ALL))).drop("own")
-    joined = named.join(F.broadcast(own), "yardstick")
+    return named.join(F.broadcast(own), "yardstick")
+
+
+def scores(measured: DataFrame, built: DataFrame) -> DataFrame:
+    """``measured`` with ``p_`` (percentile) and ``z_`` (robust z-score) of each statistic."""
 
     def percentile(name: str) -> Column:
         return F.size(F.filter(f"g_{name}", lambda g: g < F.col(name))) / len(GRID)
 
     percentiles = [percentile(s).alias(f"p_{s}") for s in STATISTICS]
-    z = []
-    for s in STATISTICS:
-        low, high = SPREAD[s]
-        spread = F.least(F.greatest((F.col(f"q3_{s}") - F.col(f"q1_{s}")) / 1.349, F.lit(low)), F.lit(high))
-        z.append(((F.col(s) - F.col(f"q2_{s}")) / spread).alias(f"z_{s}"))
-    return joined.select(*measured.columns, "yardstick", *percentiles, *z)
+    z = [((F.col(s) - _median(s)) / _spread(s)).alias(f"z_{s}") for s in STATISTICS]
+    return against(measured, built).select(*measured.columns, "yardstick", *percentiles, *z)
+
+
+def _measured(documents: DataFrame, common_words: DataFrame, key: str) -> DataFrame:
+    return stage_table(statistics(documents, common_words, key), "quality")
 
 
 def quality(documents: DataFrame, common_words: DataFrame, key: str = "doc_id") -> DataFrame:
     """Statistics, percentiles and z-scores of every document."""
-    measured = stage_table(statistics(documents, common_words, key), "quality")
+    measured = _measured(documents, common_words, key)
     return scores(measured, sketches(measured))
 
 
 def not_prose(documents: DataFrame, common_words: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key) of the documents of which less than half stands in running sentences."""
-    scored = quality(documents, common_words, key)
-    return scored.where((F.col("z_sentence_share") < -TAIL) & (F.col("sentence_share") < HALF)).select(key)
+    measured = _measured(documents, common_words, key)
+    share = F.col("sentence_share")
+    # where texts differ much or few are prose the tail ends below one half, and a case is no outlier
+    cut = F.greatest(_median("sentence_share") - TAIL * _spread("sentence_share"), F.lit(HALF))
+    return against(measured, sketches(measured)).where((share < cut) & (share < HALF)).select(key)
