@@ -83,6 +83,28 @@ def test_unify_puts_renamed_fields_back(spark):
     assert float(rows[2].f_n) == 2.5 and rows[1].f_n is None
 
 
+def test_unify_keeps_every_value(spark):
+    records = [
+        (1, "c", GOOD | {"x": [1, {"y": "z"}], "none": None, "empty": ""}),  # added
+        (2, "c", without("at", when="2022-01-10T00:00:00Z", then="2022-01-11T00:00:00Z")),  # two for one
+        (3, "c", without("kind", sort="movie")),
+        (3, "c", without("kind", sort="song")),  # does not fit, so that sort is added in the whole batch
+        (4, "e", {"any": 1, "title": "u"}),  # not published
+        (5, "c", without("kind", sort="movie", more="m")),  # renamed and added
+        (6, "c", None),
+        (7, "c", "broken"),
+    ]
+    df, lexicon = run(spark, records)
+    rows = {r.seq // 3: r for r in D.unify(df, lexicon, D.departures(df, lexicon)).collect()}
+    assert sorted(rows) == [0, 1, 2, 3, 4, 5, 7]
+    assert rows[0].added == {"x": '[1,{"y":"z"}]', "empty": ""} and rows[0].f_kind == "book"
+    assert rows[1].f_at == "2022-01-11T00:00:00Z" and rows[1].added == {"when": "2022-01-10T00:00:00Z"}
+    assert (rows[2].f_kind, rows[2].added, rows[3].added) == (None, {"sort": "movie"}, {"sort": "song"})
+    assert (rows[4].collection, rows[4].f_title, rows[4].added) == ("e", "u", {"any": "1"})
+    assert (rows[5].f_kind, rows[5].added) == ("movie", {"more": "m"})
+    assert rows[7].f_kind is None and not rows[7].added
+
+
 def test_assignment_is_optimal():
     rng = random.Random(1)
     for n in range(1, 6):

@@ -14,7 +14,8 @@
    batch. What a script may rename is decided over the whole batch: never beside
    the field it stands for, all values fit. Scripts that cost the same differ
    only in which fitting field they take, so all fitting fields are reported.
-4. ``unify`` compiles the scripts into one projection over all files.
+4. ``unify`` compiles the renames into one projection over all files, with all
+   fields that have no column in a map beside them, so that no value is lost.
 
 Defined results for odd input: a null, empty or malformed document, or one that
 is no object, has no fields and no departures; a null field counts as absent;
@@ -32,7 +33,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.jsontree import parse, type_name
@@ -415,27 +416,40 @@ def departures(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def unify(rows: DataFrame, lexicon: DataFrame, found: DataFrame) -> DataFrame:
-    """All records with the published fields as columns, renamed fields put back in their place.
+    """All records of all collections with the published fields as columns, renamed fields put back in their place.
 
     Every column is text: scalars plain, arrays and objects as JSON. A field
-    that the record has itself goes before one that stands for it.
+    that the record has itself goes before one that stands for it, and of
+    several that stand for it the first by name. ``added`` holds, by name, every
+    other field that is not null: the unlisted ones, a second one that stands
+    for the same field, and all without a column of collections that are not published.
     """
     schema = published(lexicon)
     names = sorted({f["field_name"] for fields in schema.values() for f in fields})
+    required = {f["field_name"] for fields in schema.values() for f in fields if f["required"]}
     scripts = (
         found.where(F.col("kind") == "renamed")
         .groupBy("batch_no", "collection")
         .agg(F.array_sort(F.collect_set(F.struct("old_field", "new_field"))).alias("renames"))
     )
-    doc = rows.where(F.col("record").isNotNull() & F.col("collection").isin(*schema)).select(
+    doc = rows.where(F.col("record").isNotNull()).select(
         "seq", "batch_no", "did", "collection", "rkey", F.from_json("record", "map<string,string>").alias("doc")
     )
     joined = doc.join(scripts, ["batch_no", "collection"], "left")
-
-    def column(name: str):
-        other = F.transform(F.filter("renames", lambda r: r["old_field"] == name), lambda r: F.col("doc")[r["new_field"]])
-        first = F.get(F.filter(other, lambda v: v.isNotNull()), F.lit(0))
-        return F.coalesce(F.col("doc")[name], first if any(name == f["field_name"] and f["required"] for x in schema.values() for f in x) else F.lit(None))
-
+    # the renames that the record needs and has a value for, then the first of each published field; sorted by it
+    value = F.col("doc")
+    needed = F.filter("renames", lambda r: value[r["old_field"]].isNull() & value[r["new_field"]].isNotNull())
+    first = F.filter("needed", lambda r, i: (i == 0) | (F.get("needed", i - 1)["old_field"] != r["old_field"]))
+    placed = joined.withColumn("needed", F.coalesce(needed, F.expr("array()").cast(joined.schema["renames"].dataType)))
+    placed = placed.withColumn("taken", first)
+
+    def column(name: str) -> Column:
+        if name not in required:
+            return value[name]
+        return F.coalesce(value[name], value[F.get(F.filter("taken", lambda r: r["old_field"] == name), F.lit(0))["new_field"]])
+
+    listed = F.array(*map(F.lit, names)).cast("array<string>")
+    elsewhere = F.array_union(listed, F.transform("taken", lambda r: r["new_field"]))
+    added = F.map_filter("doc", lambda k, v: v.isNotNull() & ~F.array_contains(elsewhere, k))
     plain = {n: n.replace("$", "") for n in names}
-    return joined.select("seq", "batch_no", "did", "collection", "rkey", *(column(n).alias(f"f_{plain[n]}") for n in names))
+    return placed.select("seq", "batch_no", "did", "collection", "rkey", *(column(n).alias(f"f_{plain[n]}") for n in names), added.alias("added"))
