@@ -344,13 +344,17 @@ def paired(spark, folder):
     return rows.withColumn("work", F.coalesce(ids["tmdbId"], ids["isbn13"])).where(F.col("work").isNotNull())
 
 
-@query(
-    f"""WITH {_PAIR} SELECT did, work, arg_max(at_uri, (created_at, at_uri)) FILTER (collection LIKE '%review') AS review,
-arg_max(at_uri, (created_at, at_uri)) FILTER (shelf IS NOT NULL) AS item, arg_max(shelf, (created_at, at_uri)) FILTER (shelf IS NOT NULL) AS shelf
-FROM paired WHERE work IS NOT NULL GROUP BY did, work"""
-)
-def pair_latest(spark, folder):
-    rows, order = paired(spark, folder), F.struct("created_at", "at_uri")
+def paired_works(spark, folder):
+    """All active reviews and list items that name a work, by any identifier, with the key of the work they joined."""
+    kept = events(spark, folder).where(F.col("collection").isin(R.REVIEW, R.LIST_ITEM))
+    minted = W.mint(R.with_work(R.fields(kept.where(F.col("operation") != "delete"))))
+    live = published(A.state(kept)).where(~F.col("deleted"))
+    # the last event of an active record is the one that its content is from
+    return live.join(minted.select(F.col("seq").alias("updated_seq"), F.col("minted_key").alias("work")), "updated_seq")
+
+
+def latest_of_pairs(rows):
+    order = F.struct("created_at", "at_uri")
     is_review, has_shelf = F.col("collection") == R.REVIEW, F.col("shelf").isNotNull()
     return rows.groupBy("did", "work").agg(
         F.max_by("at_uri", F.when(is_review, order)).alias("review"),
@@ -362,13 +366,32 @@ def pair_latest(spark, folder):
     })
 
 
+def holders_of_pairs(rows):
+    rows = rows.where("is_published")
+    return rows.groupBy("did", "work").agg(F.min_by("at_uri", F.struct("created_at", "at_uri")).alias("anchor"), F.count(F.lit(1)).alias("holders"))
+
+
+def with_other_holder(rows):
+    rows = rows.where("is_published")
+    count = rows.groupBy("did", "work").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    return rows.join(count, ["did", "work"], "left_semi").select("at_uri")
+
+
+@query(
+    f"""WITH {_PAIR} SELECT did, work, arg_max(at_uri, (created_at, at_uri)) FILTER (collection LIKE '%review') AS review,
+arg_max(at_uri, (created_at, at_uri)) FILTER (shelf IS NOT NULL) AS item, arg_max(shelf, (created_at, at_uri)) FILTER (shelf IS NOT NULL) AS shelf
+FROM paired WHERE work IS NOT NULL GROUP BY did, work"""
+)
+def pair_latest(spark, folder):
+    return latest_of_pairs(paired(spark, folder))
+
+
 @query(
     f"""WITH {_PAIR} SELECT did, work, arg_min(at_uri, (created_at, at_uri)) FILTER (is_published) AS anchor, count(*) FILTER (is_published) AS holders
 FROM paired WHERE work IS NOT NULL GROUP BY did, work HAVING count(*) FILTER (is_published) > 0"""
 )
 def pair_holder(spark, folder):
-    rows = paired(spark, folder).where("is_published")
-    return rows.groupBy("did", "work").agg(F.min_by("at_uri", F.struct("created_at", "at_uri")).alias("anchor"), F.count(F.lit(1)).alias("holders"))
+    return holders_of_pairs(paired(spark, folder))
 
 
 @query(
@@ -376,9 +399,25 @@ def pair_holder(spark, folder):
 AND q.is_published AND q.at_uri <> p.at_uri)"""
 )
 def other_holder(spark, folder):
-    rows = paired(spark, folder).where("is_published")
-    count = rows.groupBy("did", "work").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    return rows.join(count, ["did", "work"], "left_semi").select("at_uri")
+    return with_other_holder(paired(spark, folder))
+
+
+@query()
+def pair_latest_work(spark, folder):
+    """As ``pair_latest``, for works of any type and identifier; rests on the ordered fold, tested on a small stream."""
+    return latest_of_pairs(paired_works(spark, folder))
+
+
+@query()
+def pair_holder_work(spark, folder):
+    """As ``pair_holder``, for works of any type and identifier."""
+    return holders_of_pairs(paired_works(spark, folder))
+
+
+@query()
+def other_holder_work(spark, folder):
+    """As ``other_holder``, for works of any type and identifier."""
+    return with_other_holder(paired_works(spark, folder))
 
 
 # --- delivery -----------------------------------------------------------------
