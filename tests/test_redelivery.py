@@ -37,6 +37,17 @@ def test_whole_table(spark, rows):
     assert seqs(redundant_rows(commits(frame(spark, rows)))) == expected(rows)
 
 
+def test_whole_table_is_decided_by_bits(spark):
+    rows = stream(200, 5)
+    path = SeenStore(spark).path
+    assert seqs(redundant_rows(commits(frame(spark, rows)), path)) == expected(rows)
+    store = SeenStore(spark, path)
+    assert store.version() > 1
+    # later runs meet identities of earlier ones, and overtake some
+    assert store.dictionary().count() == len({x for r in rows for x in [(r[1], r[7], r[4], r[5], 0)] + [(r[1], r[2], r[4], r[5], 1)] * (r[2] is not None)})
+    assert sum(store._read("overtaken", [n]).count() for n in range(2, store.version() + 1)) > 0
+
+
 @pytest.mark.parametrize("cuts", [[20, 40, 41], [1, 2, 3], [0, 30]])
 def test_batches_give_the_same(spark, cuts):
     rows = stream(80, 2)

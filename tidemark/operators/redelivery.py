@@ -31,11 +31,14 @@ batch commits a version without new bits; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import fresh_path, hadoop_fs
 
+GROUPS = 4  # runs of arrivals in which a whole table is taken in
 IDENTITY = ("strong", "did", "mark", "collection", "rkey")
 
 
@@ -176,8 +179,18 @@ class SeenStore:
 
 
 def redundant_rows(rows: DataFrame, path: str | None = None) -> DataFrame:
-    """(seq) of every redundant row of a whole table, taken as one batch into a new store."""
-    return SeenStore(rows.sparkSession, path).accept(rows)
+    """(seq) of every redundant row of a whole table, taken into a new store in GROUPS runs of arrivals.
+
+    The runs are cut by arrival number, so that of all copies the first stays
+    also where batches overlap; from the second on the bits decide.
+    """
+    store = SeenStore(rows.sparkSession, path)
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    if low is None:
+        return store.accept(rows)
+    cuts = [low + (high - low + 1) * i // GROUPS for i in range(GROUPS)] + [high + 1]
+    runs = [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
+    return reduce(DataFrame.unionByName, [store.accept(rows.where(F.col("seq").between(a, b - 1))) for a, b in runs])
 
 
 def exactly_once(rows: DataFrame, path: str | None = None) -> DataFrame:
