@@ -58,6 +58,12 @@ def test_nothing_to_read():
     assert Reader({}).describe("Some words here.")[0] == "und"
 
 
+def test_parts_of_words_are_common():
+    reader = Reader({"fr": ["l", "qu", "il", "est"]})
+    ratio = lambda t: reader.describe(t)[1 + STATISTICS.index("common_ratio")]
+    assert ratio("L'homme qu'il aime") == 2 / 3 and ratio("L’homme est-il là") == 2 / 3 and ratio("aujourd'hui porte-clef") == 0
+
+
 def frames(spark, texts):
     docs = spark.createDataFrame([(i, t, "xx", 0.0) for i, t in enumerate(texts)], "doc_id bigint, text string, language string, words double")
     words = spark.createDataFrame([(k, w) for k, ws in COMMON.items() for w in ws] + [(None, "x"), ("en", None)], "lang string, word string")

@@ -100,9 +100,13 @@ class Reader:
         if joined:
             for w in folded:
                 if w not in known and not w.isalpha():
-                    found += any([part in known for part in w.replace("’", "'").replace("-", "'").split("'")])
+                    found += self._has_common_part(w)
         return found
 
+    def _has_common_part(self, folded: str) -> bool:
+        """Whether a part of an elided or hyphenated word is common."""
+        return any([part in self.of_word for part in folded.replace("’", "'").replace("-", "'").split("'")])
+
     def is_sentence(self, segment: str) -> bool:
         """Whether the segment reads like one or more running sentences."""
         words = _WORD.findall(segment)
@@ -204,7 +208,7 @@ class Reader:
         if lang == "ja":
             common = kana / max(1, letters)
         else:
-            common = sum([c for w, c in folded.items() if w in self.of_word]) / max(1, n)
+            common = sum([c for w, c in folded.items() if w in self.of_word or (not w.isalpha() and self._has_common_part(w))]) / max(1, n)
         return (
             lang,
             float(n),
