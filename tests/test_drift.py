@@ -97,12 +97,13 @@ def test_unify_keeps_every_value(spark):
     df, lexicon = run(spark, records)
     rows = {r.seq // 3: r for r in D.unify(df, lexicon, D.departures(df, lexicon)).collect()}
     assert sorted(rows) == [0, 1, 2, 3, 4, 5, 7]
-    assert rows[0].added == {"x": '[1,{"y":"z"}]', "empty": ""} and rows[0].f_kind == "book"
-    assert rows[1].f_at == "2022-01-11T00:00:00Z" and rows[1].added == {"when": "2022-01-10T00:00:00Z"}
-    assert (rows[2].f_kind, rows[2].added, rows[3].added) == (None, {"sort": "movie"}, {"sort": "song"})
-    assert (rows[4].collection, rows[4].f_title, rows[4].added) == ("e", "u", {"any": "1"})
-    assert (rows[5].f_kind, rows[5].added) == ("movie", {"more": "m"})
-    assert rows[7].f_kind is None and not rows[7].added
+    added = {i: json.loads(r.added or "{}") for i, r in rows.items()}
+    assert added[0] == {"x": '[1,{"y":"z"}]', "empty": ""} and rows[0].f_kind == "book"
+    assert rows[1].f_at == "2022-01-11T00:00:00Z" and added[1] == {"when": "2022-01-10T00:00:00Z"}
+    assert (rows[2].f_kind, added[2], added[3]) == (None, {"sort": "movie"}, {"sort": "song"})
+    assert (rows[4].collection, rows[4].f_title, added[4]) == ("e", "u", {"any": "1"})
+    assert (rows[5].f_kind, added[5]) == ("movie", {"more": "m"})
+    assert rows[7].f_kind is None and not added[7]
 
 
 def test_assignment_is_optimal():

@@ -15,7 +15,7 @@
    the field it stands for, all values fit. Scripts that cost the same differ
    only in which fitting field they take, so all fitting fields are reported.
 4. ``unify`` compiles the renames into one projection over all files, with all
-   fields that have no column in a map beside them, so that no value is lost.
+   fields that have no column in one JSON object beside them, so that no value is lost.
 
 Defined results for odd input: a null, empty or malformed document, or one that
 is no object, has no fields and no departures; a null field counts as absent;
@@ -420,7 +420,7 @@ def unify(rows: DataFrame, lexicon: DataFrame, found: DataFrame) -> DataFrame:
 
     Every column is text: scalars plain, arrays and objects as JSON. A field
     that the record has itself goes before one that stands for it, and of
-    several that stand for it the first by name. ``added`` holds, by name, every
+    several that stand for it the first by name. ``added`` is a JSON object of every
     other field that is not null: the unlisted ones, a second one that stands
     for the same field, and all without a column of collections that are not published.
     """
@@ -452,4 +452,4 @@ def unify(rows: DataFrame, lexicon: DataFrame, found: DataFrame) -> DataFrame:
     elsewhere = F.array_union(listed, F.transform("taken", lambda r: r["new_field"]))
     added = F.map_filter("doc", lambda k, v: v.isNotNull() & ~F.array_contains(elsewhere, k))
     plain = {n: n.replace("$", "") for n in names}
-    return placed.select("seq", "batch_no", "did", "collection", "rkey", *(column(n).alias(f"f_{plain[n]}") for n in names), added.alias("added"))
+    return placed.select("seq", "batch_no", "did", "collection", "rkey", *(column(n).alias(f"f_{plain[n]}") for n in names), F.to_json(added).alias("added"))
