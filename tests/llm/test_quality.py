@@ -1,19 +1,18 @@
 import os
+import random
+import re
+from collections import Counter
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from tidemark.llm import prose
 from tidemark.llm import quality as Q
-from tidemark.llm.prose import STATISTICS, Reader
+from tidemark.llm.prose import Reader, lines_of, runs_of
 
 COMMON = {"en": "the of and to in is that it was for i you this have at he she we all when there".split(), "ja": ["の", "は"], "de": "die der und ist das nicht ich es mit".split()}
-READER = Reader(COMMON)
-
-
-def share(text):
-    row = READER.describe(text)
-    return None if row is None else row[1 + STATISTICS.index("sentence_share")]
-
-
 PROSE = [
     "The harbour was quiet when we came back, and she told me that it had rained for days.",
     "the harbour was quiet when we came back and she told me that it had rained for days",
@@ -42,32 +41,87 @@ OTHER = [
 ]
 
 
-@pytest.mark.parametrize("text", PROSE)
-def test_prose(text):
-    assert share(text) > 0.5
+def frames(spark, texts):
+    docs = spark.createDataFrame([(i, t, "xx", 0.0) for i, t in enumerate(texts)], "doc_id bigint, text string, language string, words double")
+    words = spark.createDataFrame([(k, w) for k, ws in COMMON.items() for w in ws] + [(None, "x"), ("en", None)], "lang string, word string")
+    return docs, words
 
 
-@pytest.mark.parametrize("text", OTHER)
-def test_no_prose(text):
-    assert share(text) < 0.5
+def shares(spark, texts):
+    docs, words = frames(spark, texts)
+    found = {r.doc_id: r.sentence_share for r in Q.statistics(docs, words, names=()).collect()}
+    return [found.get(i) for i in range(len(texts))]
 
 
-def test_nothing_to_read():
-    assert [READER.describe(t) for t in (None, "", " \n\t　")] == [None] * 3
-    assert all(0 <= x < 1e9 for x in READER.describe("​")[1:])
-    assert Reader({}).describe("Some words here.")[0] == "und"
+def test_prose(spark):
+    assert [t for t, x in zip(PROSE, shares(spark, PROSE)) if not x > 0.5] == []
 
 
-def test_parts_of_words_are_common():
-    reader = Reader({"fr": ["l", "qu", "il", "est"]})
-    ratio = lambda t: reader.describe(t)[1 + STATISTICS.index("common_ratio")]
-    assert ratio("L'homme qu'il aime") == 2 / 3 and ratio("L’homme est-il là") == 2 / 3 and ratio("aujourd'hui porte-clef") == 0
+def test_no_prose(spark):
+    assert [t for t, x in zip(OTHER, shares(spark, OTHER)) if not x < 0.5] == []
 
 
-def frames(spark, texts):
-    docs = spark.createDataFrame([(i, t, "xx", 0.0) for i, t in enumerate(texts)], "doc_id bigint, text string, language string, words double")
-    words = spark.createDataFrame([(k, w) for k, ws in COMMON.items() for w in ws] + [(None, "x"), ("en", None)], "lang string, word string")
-    return docs, words
+def test_nothing_to_read(spark):
+    docs, words = frames(spark, [None, "", " \n\t　", "​", "\x01\x02\x03", "a\x03b c"])
+    rows = {r.doc_id: r for r in Q.statistics(docs, words).collect()}
+    assert set(rows) == {3, 4, 5} and all(0 <= rows[i][s] < 1e9 for i in rows for s in Q.STATISTICS)
+    assert rows[5].words == 2 and rows[4].words == 0 and rows[3].sentence_share == 0
+    assert Reader({}).segments([["Some words here."]]).language == ["und"]
+
+
+def test_parts_of_words_are_common():
+    reader = Reader({"fr": ["l", "qu", "il", "est"]})
+    common = lambda t: reader.segments([[t]]).common.tolist()
+    assert common("L'homme qu'il aime") == [2] and common("L’homme est-il là") == [2] and common("aujourd'hui porte-clef") == [0]
+
+
+@given(st.lists(st.lists(st.text("abZÉ 12'.-,\t<|;:!_の漢Я…\"’\u0307", max_size=40), max_size=4), min_size=1, max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_counts_equal_counting(lines):
+    """The counts over the whole batch are those of each segment read by itself."""
+    lines = [lines_of("\n".join(x)) for x in lines]
+    m = Reader(COMMON).segments(lines)
+    one = []
+    for i, text in enumerate(lines):
+        for run in runs_of(text):
+            for group in prose._CUT.split(run):
+                cuts = [0, *(x.end() for x in prose._STOP.finditer(group)), len(group)]
+                one += [(i, group[a:b]) for a, b in zip(cuts, cuts[1:]) if group[a:b].strip()]
+    assert m.text.tolist() == [i for i, _ in one]
+    for k, (_, t) in enumerate(one):
+        words = prose._WORD.findall(t)
+        folded = Counter(w.casefold() for w in words)
+        assert m.size[k] == prose.solid(t) and m.words[k] == len(words) and m.letters[k] == sum(map(len, words))
+        assert m.numbers[k] == len(re.findall(r"\d+(?:[.,:/\-]\d+)*", t)) and m.odd[k] == len(prose._ODD.findall(t))
+        assert m.capitals[k] == sum(w[0].isupper() for w in words[1:]) and m.shouted[k] == sum(map(str.isupper, words))
+        assert m.most[k] == max(folded.values(), default=0) and m.distinct[k] == len(folded)
+        assert m.ended[k] == (prose._ENDED.search(t) is not None)
+        assert m.kana[k] == len(prose._KANA.findall(t)) and m.latin[k] == len(prose._LATIN.findall(t))
+
+
+def test_wrapped_lines_are_joined():
+    assert runs_of(["x" * 60, "and more", "- entry", "next"]) == ["x" * 60 + " and more", "entry", "next"]
+    assert runs_of(["x" * 900 + " word", "and more", "", "short", "line"]) == ["x" * 900 + " word and more", "short", "line"]
+
+
+def test_sketches_decide(spark):
+    """A language in which most words have capitals: its own sentences say that this is no title."""
+    words = {**COMMON, "xx": ["vo", "ku", "sen", "tal"]}
+    names = ["Marok", "Tivel", "Surin", "Palek", "Gorat", "Lunif", "Besol", "Havir"]
+    rng = random.Random(4)
+    own = [" ".join([*(x for _ in range(4) for x in (rng.choice(["vo", "ku", "sen", "tal"]), *rng.sample(names, 2)))]) + "." for _ in range(600)]
+    case = "vo Marok Tivel ku Surin Palek sen Gorat Lunif tal Besol Havir."
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    common = spark.createDataFrame([(k, w) for k, ws in words.items() for w in ws], "lang string, word string")
+    measured = Q.read(frame([*own, case]), common)
+    share = lambda yards: Q.with_share(measured, yards).where(F.col("doc_id") == 600).first().sentence_share
+    learnt = Q.yardsticks(Q.segment_sketches(measured))
+    assert share(learnt) == 1 and share({"*": Q.PRIOR, "ja": Q.PRIOR_KANA}) == 0
+    # where the language's sentences hold many common words, one with few of them is none
+    many = ["vo ku sen tal vo ku sen tal marok tivel."] * 600
+    few = "vo marok tivel surin palek gorat lunif besol havir marin."
+    measured = Q.read(frame([*many, few]), common)
+    assert share(Q.yardsticks(Q.segment_sketches(measured))) == 0 and share({"*": Q.PRIOR | {"common": (0.2, 0.1, 0.1)}, "ja": Q.PRIOR_KANA}) == 1
 
 
 def test_tails_are_found(spark):
@@ -81,7 +135,7 @@ def test_tails_are_found(spark):
 def test_cases_are_found_in_any_mix(spark, good, bad):
     """Mostly junk, or texts of very different shares: no case is hidden by the others."""
     half = "It was a long night, and the lights went out. | 12 | 1999 | 44 | 3.50 | 17 | 2001 | 88 | 1034 | 2024 | 7781 | 90210 | 4455 |"
-    assert 0.2 < share(half) < 0.5
+    assert 0.2 < shares(spark, [half])[0] < 0.5
     texts = [*PROSE * good, *OTHER * bad, *[half] * bad]
     docs, words = frames(spark, texts)
     assert sorted(r.doc_id for r in Q.not_prose(docs, words).collect()) == list(range(good * len(PROSE), len(texts)))
@@ -91,7 +145,7 @@ def test_scores(spark):
     docs, words = frames(spark, [*PROSE * 4, *OTHER])
     rows = Q.quality(docs, words).collect()
     assert len(rows) == 4 * len(PROSE) + len(OTHER)
-    assert all(0 <= r[f"p_{s}"] <= 1 for r in rows for s in STATISTICS)
+    assert all(0 <= r[f"p_{s}"] <= 1 for r in rows for s in Q.STATISTICS)
     assert all((r.z_sentence_share < 0) == (r.sentence_share < 0.9) or r.sentence_share > 0.5 for r in rows)
 
 

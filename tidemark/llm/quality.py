@@ -1,16 +1,23 @@
 """Per-document text quality statistics (problem 8).
 
-``statistics`` reads each text once. ``sketches`` builds one KLL quantile
-sketch of each statistic per language; sketches are mergeable, so partial
-aggregation leaves a few kilobytes per language and task, and the sketch over
-all languages is the merge of theirs. ``scores`` converts values to percentiles
-and robust z-scores by a broadcast join with at most one row per language
-(languages come from the common words, a fixed vocabulary). ``not_prose`` takes
-the low tail of the share of running sentences as candidates, which reaches up
-to one half at least, so that no mix of texts hides a case, and checks that share.
-
-Texts without a known language, and languages whose own median text is no
-prose, are measured against the sketch over all languages.
+``read`` takes each text once: the segments of it that may be sentences with
+their counts, and the statistics asked for. Two kinds of KLL quantile sketches
+are built from it, one of each statistic per language; sketches are mergeable, so
+partial aggregation leaves a few kilobytes per language and task, and the sketch
+over all languages is the merge of theirs.
+
+* Sketches of *segments* say what sentences of a language are like: the share of
+  letters, numbers, odd characters, capitals, repeated and common words, and the
+  length. ``yardsticks`` turns them into a median and a spread of each tail, and
+  a segment is no running sentence if one of its robust z-scores lies in a tail.
+  ``not_prose`` flags the documents of which less than half is left.
+* Sketches of *documents* turn the statistics of each document into percentiles
+  and robust z-scores (``scores``).
+
+Sentences are learnt from segments that end like one and have eight words or
+more, at least one of them common. A language with few of these leans on all
+languages: its quantiles weigh its segments against ``PRIOR_WEIGHT`` of theirs,
+and those of all languages as many of ordinary prose (``PRIOR``).
 
 Defined results for odd input: null, empty and blank texts have no statistics
 and are never flagged; repeated texts each count; the columns ``lang`` and
@@ -20,22 +27,37 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from tidemark.llm.prose import STATISTICS, Reader
-from tidemark.session import ship, spread, stage_table
+from tidemark.llm.prose import Measured, Reader, ended_lines, entry_lines, lines_of, solid
+from tidemark.session import ship, stage_table
 
 MAX_COMMON = 1_000_000  # common words read by the driver; a vocabulary, not data
-ALL = "*"
-#: Least and greatest spread of each statistic by which its z-score is divided.
-SPREAD = {name: (1e-3, 1e9) for name in STATISTICS} | {"sentence_share": (0.02, 0.15)}
-GRID = [i / 100 for i in range(1, 101)]  # percentiles are read off the sketches at these
-TAIL = 2.5
+MAX_LANGUAGES = 10_000  # languages of that vocabulary
+ALL, JAPANESE = "*", "ja"
 HALF = 0.5
+BATCH = 1000  # texts read together
+
+#: Statistics of a text, read beside its segments.
+TEXT_STATISTICS = (
+    "words", "mean_word", "symbol_ratio", "digit_ratio", "ended_lines", "common_ratio", "capital_ratio", "word_entropy", "line_words", "entry_lines",
+)
+STATISTICS = (*TEXT_STATISTICS, "sentence_share")
+
+# --- reading --------------------------------------------------------------------
+
+PARTS = (
+    "array<struct<part:int, size:int, words:int, letters:int, numbers:int, odd:int, capitals:int, shouted:int, common:int, most:int, "
+    "kana:int, script:int, ended:boolean>>"
+)
+LATIN, KANA, OTHER = 0, 1, 2  # scripts of a segment: with common words, with kana as such, without a measure of them
 
 
 def common_by_language(common_words: DataFrame) -> dict[str, list[str]]:
@@ -48,30 +70,220 @@ def common_by_language(common_words: DataFrame) -> dict[str, list[str]]:
     return out
 
 
-def statistics(documents: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, language, statistics...) of every text that is not blank."""
+def _segments(m: Measured, texts: int, kind: pa.DataType) -> pa.ListArray:
+    """The segments of each text as structs."""
+    script = np.where(m.cjk > 0.5 * m.letters, KANA, np.where(m.latin >= 0.5 * m.letters, LATIN, OTHER))
+    columns = (m.group, m.size, m.words, m.letters, m.numbers, m.odd, m.capitals, m.shouted, m.common, m.most, m.kana, script, m.ended)
+    fields = [kind.value_type.field(i) for i in range(kind.value_type.num_fields)]
+    arrays = [pa.array(c.astype(bool if f.type == pa.bool_() else np.int32), f.type) for c, f in zip(columns, fields)]
+    offsets = np.searchsorted(m.text, np.arange(texts + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(arrays, fields=fields), type=kind)
+
+
+def _described(reader: Reader, lines: Sequence[list[str]], wholes: np.ndarray) -> dict[str, np.ndarray]:
+    """TEXT_STATISTICS of texts; texts of nothing but invisible characters have zeros."""
+    m = reader.whole(lines)
+    full = lambda counts: np.bincount(m.text, counts, len(lines))
+    words, letters, digits = full(m.words), full(m.letters), full(m.digits)
+    visible = np.maximum(1, [sum(not x.isspace() and x != "" for x in text) for text in lines])
+    is_ja = np.array([x == JAPANESE for x in m.language], bool)
+    return {
+        "words": words,
+        "mean_word": letters / np.maximum(1, words),
+        "symbol_ratio": np.maximum(0, wholes - letters - digits) / wholes,
+        "digit_ratio": digits / wholes,
+        "ended_lines": np.array([ended_lines(x) for x in lines]) / visible,
+        "common_ratio": np.where(is_ja, full(m.kana) / np.maximum(1, letters), full(m.common) / np.maximum(1, words)),
+        "capital_ratio": full(m.initials) / np.maximum(1, words),
+        "word_entropy": full(m.entropy),
+        "line_words": words / visible,
+        "entry_lines": np.array([entry_lines(x) for x in lines]) / visible,
+    }
+
+
+def read(documents: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", names: Sequence[str] = ()) -> DataFrame:
+    """(key, language, whole, statistics named..., parts) of every text that is not blank; nothing is shuffled."""
     ship(documents.sparkSession)
     common = common_by_language(common_words)
     kind = documents.schema[key].dataType.simpleString()
-    names = [key, "language", *STATISTICS]
+    schema = ", ".join([f"{key} {kind}", "language string", "whole bigint", *(f"{n} double" for n in names), f"parts {PARTS}"])
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(common)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                keys, rows = [], []
-                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    if (row := reader.describe(t)) is not None:
-                        keys.append(k)
-                        rows.append(row)
-                columns = list(zip(*rows)) if rows else [()] * (1 + len(STATISTICS))
-                arrays = [pa.array(keys, part.schema[0].type), pa.array(columns[0], pa.string())]
-                arrays += [pa.array(c, pa.float64()) for c in columns[1:]]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    wanted = documents.where(F.col(text).isNotNull()).select(key, text)
-    return spread(wanted).mapInArrow(run, f"{key} {kind}, language string, " + ", ".join(f"{s} double" for s in STATISTICS))
+            for start in range(0, batch.num_rows, BATCH):
+                part = batch.slice(start, BATCH)
+                texts = part.column(1).to_pylist()
+                wholes = [solid(t) if t else 0 for t in texts]
+                some = [i for i, n in enumerate(wholes) if n]
+                if not some:
+                    continue
+                lines = [lines_of(texts[i]) for i in some]
+                sizes = np.array([wholes[i] for i in some])
+                m = reader.segments(lines)
+                described = _described(reader, lines, sizes) if names else {}
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(pa.array(some)).cast(arrow[0].type),
+                        pa.array(m.language, pa.string()),
+                        pa.array(sizes, pa.int64()),
+                        *(pa.array(described[n], pa.float64()) for n in names),
+                        _segments(m, len(some), arrow[-1].type),
+                    ],
+                    schema=arrow,
+                )
+
+    return documents.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, schema)
+
+
+# --- what sentences are like ----------------------------------------------------
+
+TAILS = ("letters", "numbers", "odd", "capitals", "repeat", "common", "length")
+#: Median and spread of the low and of the high tail of each statistic in ordinary prose, and of those that differ in text with kana.
+PRIOR = {
+    "letters": (0.96, 0.05, 0.05), "numbers": (0.0, 0.05, 0.05), "odd": (0.0, 0.05, 0.05), "capitals": (0.05, 0.05, 0.1),
+    "repeat": (0.03, 0.05, 0.06), "common": (0.44, 0.1, 0.1), "length": (3.6, 0.9, 0.5),
+}
+PRIOR_KANA = PRIOR | {"common": (0.6, 0.1, 0.1), "length": (4.3, 0.75, 0.5)}
+PRIOR_WEIGHT = 100
+#: Least spread of a statistic: shares are multiples of one over the number of words.
+FLOOR = dict.fromkeys(TAILS, 0.05) | {"length": 0.3}
+LONG = 3  # length, in powers of two, of the segments that sentences are learnt from
+QUANTILES = (0.05, 0.5, 0.95)
+NORMAL = 1.645  # standard deviations from the median to the outer quantiles of a normal distribution
+#: Robust z-scores beyond which a segment lies in a tail.
+TAIL_COMMON, TAIL = 2.5, 4.5
+#: Bound of the z-scores of length and common words together, where a segment does not end like a sentence.
+TAIL_UNENDED = 2.0
+
+
+def _of_part(p: Column) -> dict[str, Column]:
+    """The statistics of a segment; a text of kana has letters for words and kana for common words."""
+    words = F.greatest(p["words"], F.lit(1))
+    kana = p["script"] == KANA
+    shouted = p["shouted"] > 0.7 * p["words"]
+    return {
+        "letters": p["letters"] / p["size"],
+        "numbers": p["numbers"] / F.greatest(p["words"] + p["numbers"], F.lit(1)),
+        "odd": p["odd"] / p["size"],
+        "capitals": F.when(shouted, F.lit(0.0)).otherwise(p["capitals"] / F.greatest(p["words"] - 1, F.lit(1))),
+        "repeat": F.greatest(p["most"] - 1, F.lit(0)) / words,
+        "common": F.when(kana, p["kana"] / F.greatest(p["letters"], F.lit(1))).otherwise(p["common"] / words),
+        "length": F.log2(F.when(kana, F.greatest(p["letters"], F.lit(1))).otherwise(words)),
+    }
+
+
+def segment_sketches(measured: DataFrame) -> DataFrame:
+    """(language, learnt, ended, sketch of each of TAILS): sentences of each language, kana as such counting as ja."""
+    p = F.col("p")
+    of = _of_part(p)
+    rows = measured.select("language", F.explode("parts").alias("p")).where(p["ended"] & (p["words"] > 0) & (p["script"] != OTHER))
+    name = F.when(p["script"] == KANA, F.lit(JAPANESE)).when(F.col("language") == JAPANESE, F.lit("und")).otherwise(F.col("language"))
+    rows = rows.select(name.alias("language"), *(c.cast("double").alias(n) for n, c in of.items()))
+    learnt = (F.col("length") >= LONG) & (F.col("common") > 0)
+    # few languages but many segments: partial sketches are a row per language and task
+    return rows.groupBy("language").agg(
+        F.count_if(learnt).alias("learnt"),
+        F.count(F.lit(1)).alias("ended"),
+        *(F.kll_sketch_agg_double(F.col(n) if n == "length" else F.when(learnt, F.col(n))).alias(n) for n in TAILS),
+    )
+
+
+def yardsticks(sketches: DataFrame) -> dict[str, dict[str, tuple[float, float, float]]]:
+    """(median, spread of the low tail, spread of the high tail) of each of TAILS, by language; ``*`` is all but ja."""
+    merged = sketches.where(F.col("language") != JAPANESE).agg(
+        F.lit(ALL).alias("language"), F.sum("learnt").alias("learnt"), F.sum("ended").alias("ended"), *(F.kll_merge_agg_double(n).alias(n) for n in TAILS)
+    )
+    known = sketches.where(F.col("language") != "und").unionByName(merged)
+    at = F.array(*map(F.lit, QUANTILES))
+    quantiles = [F.when(F.kll_sketch_get_n_double(n) > 0, F.kll_sketch_get_quantile_double(n, at)).alias(n) for n in TAILS]
+    rows = {r["language"]: r for r in known.select("language", "learnt", "ended", *quantiles).limit(MAX_LANGUAGES + 1).collect()}
+    if len(rows) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+
+    def leaning(language: str, on: Mapping[str, tuple[float, ...]]) -> dict[str, tuple[float, ...]]:
+        out, row = {}, rows.get(language)
+        for name in TAILS:
+            n = (row["ended" if name == "length" else "learnt"] or 0) if row else 0
+            if not n or row[name] is None:
+                out[name] = on[name]
+                continue
+            low, middle, high = row[name]
+            own = (middle, (middle - low) / NORMAL, (high - middle) / NORMAL)
+            out[name] = tuple((n * a + PRIOR_WEIGHT * b) / (n + PRIOR_WEIGHT) for a, b in zip(own, on[name]))
+        return out
+
+    every = leaning(ALL, PRIOR)
+    return {ALL: every, JAPANESE: leaning(JAPANESE, PRIOR_KANA)} | {k: leaning(k, every) for k in rows if k not in (ALL, JAPANESE)}
+
+
+def is_sentence(p: Column, own: Column, kana: Column) -> Column:
+    """Whether no robust z-score of a segment lies in a tail; ``own`` and ``kana`` are yardsticks as nested columns."""
+    of = _of_part(p)
+
+    def yard(name: str, what: str) -> Column:
+        return F.when(p["script"] == KANA, kana[name][what]).otherwise(own[name][what])
+
+    low = lambda name: (yard(name, "middle") - of[name]) / yard(name, "low")
+    high = lambda name: (of[name] - yard(name, "middle")) / yard(name, "high")
+    # the share of common words in n words varies by chance as well
+    middle, n = yard("common", "middle"), F.greatest(F.when(p["script"] == KANA, p["letters"]).otherwise(p["words"]), F.lit(1))
+    chance = F.sqrt(F.greatest(middle * (1 - middle), F.lit(0.0)) / n)
+    common = F.when(p["script"] == OTHER, F.lit(0.0)).otherwise((middle - of["common"]) / F.greatest(yard("common", "low"), chance))
+    unended = F.greatest(common, F.lit(0.0)) + F.greatest(low("length"), F.lit(0.0))
+    shape = F.greatest(low("letters"), high("numbers"), high("odd"), high("capitals"), high("repeat"), low("length")) <= TAIL
+    return (p["words"] > 0) & shape & (common <= TAIL_COMMON) & (p["ended"] | ((unended <= TAIL_UNENDED) & (p["script"] != OTHER)))
+
+
+def _literal(yard: Mapping[str, tuple[float, ...]]) -> Column:
+    of = lambda name: [max(FLOOR[name], float(x)) if i else float(x) for i, x in enumerate(yard[name])]
+    return F.struct(*(F.struct(*(F.lit(x).alias(w) for w, x in zip(("middle", "low", "high"), of(name)))).alias(name) for name in TAILS))
+
+
+def with_share(measured: DataFrame, yards: Mapping[str, Mapping[str, tuple[float, ...]]]) -> DataFrame:
+    """Adds ``sentence_share``, the share of characters in running sentences; inside the row, without a shuffle."""
+    own = _literal(yards[ALL])
+    for language, yard in yards.items():
+        if language not in (ALL, JAPANESE):
+            own = F.when(F.col("language") == language, _literal(yard)).otherwise(own)
+    judged = measured.withColumn("_own", own).withColumn("_kana", _literal(yards[JAPANESE]))
+    judged = judged.withColumn(
+        "_parts", F.transform("parts", lambda p: F.struct(p["part"].alias("part"), p["size"].alias("size"), is_sentence(p, F.col("_own"), F.col("_kana")).alias("ok")))
+    )
+    # sums per group, one after the other: a short clause between sentences belongs to them
+    zero = F.struct(F.lit(-1).alias("part"), F.lit(0).alias("mass"), F.lit(0).alias("size"), F.lit(0).alias("found"))
+    credit = lambda s: s["found"] + F.when(s["mass"] >= 0.7 * s["size"], s["size"]).otherwise(s["mass"])
+
+    def step(s: Column, p: Column) -> Column:
+        same, mass = s["part"] == p["part"], F.when(p["ok"], p["size"]).otherwise(0)
+        return F.struct(
+            p["part"].alias("part"),
+            F.when(same, s["mass"] + mass).otherwise(mass).alias("mass"),
+            F.when(same, s["size"] + p["size"]).otherwise(p["size"]).alias("size"),
+            F.when(same, s["found"]).otherwise(credit(s)).alias("found"),
+        )
+
+    share = F.least(F.lit(1.0), F.aggregate("_parts", zero, step, credit) / F.col("whole"))
+    return judged.withColumn("sentence_share", share).drop("_own", "_kana", "_parts")
+
+
+def statistics(documents: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", names: Sequence[str] = TEXT_STATISTICS) -> DataFrame:
+    """(key, language, statistics named..., sentence_share) of every text that is not blank."""
+    measured = stage_table(read(documents, common_words, key, text, names), "segments")
+    return with_share(measured, yardsticks(segment_sketches(measured))).select(key, "language", *names, "sentence_share")
+
+
+def not_prose(documents: DataFrame, common_words: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key) of the documents of which less than half stands in running sentences."""
+    return statistics(documents, common_words, key, names=()).where(F.col("sentence_share") < HALF).select(key)
+
+
+# --- what documents are like ----------------------------------------------------
+
+#: Least spread of each statistic by which its z-score is divided.
+SPREAD = dict.fromkeys(STATISTICS, 1e-3) | {"sentence_share": 0.02}
+GRID = [i / 100 for i in range(1, 101)]  # percentiles are read off the sketches at these
 
 
 def sketches(measured: DataFrame) -> DataFrame:
@@ -83,56 +295,26 @@ def sketches(measured: DataFrame) -> DataFrame:
     return by.unionByName(whole.where("n > 0").withColumn("language", F.lit(ALL)))
 
 
-def _median(name: str) -> Column:
-    return F.col(f"q2_{name}")
-
-
-def _spread(name: str) -> Column:
-    """Robust spread of a statistic in a yardstick, within its bounds."""
-    low, high = SPREAD[name]
-    return F.least(F.greatest((F.col(f"q3_{name}") - F.col(f"q1_{name}")) / 1.349, F.lit(low)), F.lit(high))
-
+def scores(measured: DataFrame, built: DataFrame) -> DataFrame:
+    """``measured`` with ``p_`` (percentile) and ``z_`` (robust z-score) of each statistic against its ``yardstick``.
 
-def against(measured: DataFrame, built: DataFrame) -> DataFrame:
-    """``measured`` with its yardstick and that one's quantiles: grid ``g_`` and quartiles ``q1_`` to ``q3_``."""
+    A language whose median text is prose stands for itself, else for all; the
+    broadcast side has one row for each language of the common words.
+    """
     quartiles = built.select(
-        "language",
+        F.col("language").alias("yardstick"),
         *(F.kll_sketch_get_quantile_double(s, F.lit(GRID)).alias(f"g_{s}") for s in STATISTICS),
         *(F.kll_sketch_get_quantile_double(s, F.lit(q)).alias(f"q{i}_{s}") for s in STATISTICS for i, q in ((1, 0.25), (2, 0.5), (3, 0.75))),
-    )
-    # a language stands for itself if its median text is prose, else for all
-    own = quartiles.where((F.col("language") != "und") & ((F.col("q2_sentence_share") >= HALF) | (F.col("language") == ALL)))
-    own = own.withColumnRenamed("language", "yardstick")
-    known = F.broadcast(own.select(F.col("yardstick").alias("language"), F.col("yardstick").alias("own")))
+    ).where((F.col("yardstick") != "und") & ((F.col("q2_sentence_share") >= HALF) | (F.col("yardstick") == ALL)))
+    known = F.broadcast(quartiles.select(F.col("yardstick").alias("language"), F.col("yardstick").alias("own")))
     named = measured.join(known, "language", "left").withColumn("yardstick", F.coalesce("own", F.lit(ALL))).drop("own")
-    return named.join(F.broadcast(own), "yardstick")
-
-
-def scores(measured: DataFrame, built: DataFrame) -> DataFrame:
-    """``measured`` with ``p_`` (percentile) and ``z_`` (robust z-score) of each statistic."""
-
-    def percentile(name: str) -> Column:
-        return F.size(F.filter(f"g_{name}", lambda g: g < F.col(name))) / len(GRID)
-
-    percentiles = [percentile(s).alias(f"p_{s}") for s in STATISTICS]
-    z = [((F.col(s) - _median(s)) / _spread(s)).alias(f"z_{s}") for s in STATISTICS]
-    return against(measured, built).select(*measured.columns, "yardstick", *percentiles, *z)
-
-
-def _measured(documents: DataFrame, common_words: DataFrame, key: str) -> DataFrame:
-    return stage_table(statistics(documents, common_words, key), "quality")
+    of: Callable[[str], Column] = lambda s: F.greatest((F.col(f"q3_{s}") - F.col(f"q1_{s}")) / 1.349, F.lit(SPREAD[s]))
+    percentiles = [(F.size(F.filter(f"g_{s}", lambda g: g < F.col(s))) / len(GRID)).alias(f"p_{s}") for s in STATISTICS]  # noqa: B023
+    z = [((F.col(s) - F.col(f"q2_{s}")) / of(s)).alias(f"z_{s}") for s in STATISTICS]
+    return named.join(F.broadcast(quartiles), "yardstick").select(*measured.columns, "yardstick", *percentiles, *z)
 
 
 def quality(documents: DataFrame, common_words: DataFrame, key: str = "doc_id") -> DataFrame:
     """Statistics, percentiles and z-scores of every document."""
-    measured = _measured(documents, common_words, key)
+    measured = stage_table(statistics(documents, common_words, key), "quality")
     return scores(measured, sketches(measured))
-
-
-def not_prose(documents: DataFrame, common_words: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key) of the documents of which less than half stands in running sentences."""
-    measured = _measured(documents, common_words, key)
-    share = F.col("sentence_share")
-    # where texts differ much or few are prose the tail ends below one half, and a case is no outlier
-    cut = F.greatest(_median("sentence_share") - TAIL * _spread("sentence_share"), F.lit(HALF))
-    return against(measured, sketches(measured)).where((share < cut) & (share < HALF)).select(key)
