@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm.encoding import rank_file, tokenizer_folder
-from tidemark.llm.vocabulary import WORDS, ByteBPE
+from tidemark.llm.vocabulary import WORDS, ByteBPE, WordPieces
 
 tiktoken = pytest.importorskip("tiktoken")
 
@@ -74,6 +74,28 @@ def test_batches_and_a_full_cache(pair, monkeypatch):
     for _ in range(3):
         ids, offsets = own.encode_batch(texts)
         assert [list(ids[offsets[i] : offsets[i + 1]]) for i in range(len(texts))] == [other.encode_ordinary(t) if t else [] for t in texts]
+        assert own.count_batch(texts).tolist() == [len(other.encode_ordinary(t)) if t else 0 for t in texts]
+
+
+PIECES = os.path.join(tokenizer_folder(), "piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    pytest.importorskip("sentencepiece")
+    return WordPieces(PIECES)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=40), st.text("ab  \n\t\u2581é日</s>", max_size=30)), max_size=6))
+def test_lengths_by_word_are_those_of_whole_texts(pieces, texts):
+    assert pieces.by_word
+    assert pieces.count_batch(texts).tolist() == [len(pieces.model.encode(t)) if t else 0 for t in texts]
+
+
+def test_models_of_other_kinds_are_counted_whole(pieces, monkeypatch):
+    monkeypatch.setattr(pieces, "by_word", False)
+    assert pieces.count_batch(["a  b", None, "", " "]).tolist() == [len(pieces.model.encode(t)) if t else 0 for t in ("a  b", None, "", " ")]
 
 
 def test_folder_is_a_parameter(monkeypatch, tmp_path):

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.session import ship, spread
+from tidemark.session import ship
 
 FOLDER = "/opt/tokenizers"
 
@@ -57,13 +57,11 @@ def counter(name: str, folder: str | None = None) -> Callable[[Sequence[str | No
     if os.path.exists(f"{path}.tiktoken"):
         from tidemark.llm.vocabulary import ByteBPE
 
-        bpe = _loaded(f"{path}.tiktoken", ByteBPE)
-        return lambda texts: np.diff(bpe.encode_batch(texts)[1])
+        return _loaded(f"{path}.tiktoken", ByteBPE).count_batch
     if os.path.exists(f"{path}.model"):
-        import sentencepiece
+        from tidemark.llm.vocabulary import WordPieces
 
-        pieces = _loaded(f"{path}.model", lambda p: sentencepiece.SentencePieceProcessor(model_file=p))
-        return lambda texts: np.array([len(pieces.encode(t, num_threads=1)) if t else 0 for t in texts], np.int64)
+        return _loaded(f"{path}.model", WordPieces).count_batch
     if os.path.exists(f"{path}.json"):
         from tokenizers import Tokenizer
 
@@ -90,12 +88,11 @@ def encode(documents: DataFrame, tokenizer: str = "byte_bpe_50k", key: str = "do
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 ids, offsets = bpe.encode_batch(part.column(1).to_pylist())
-                values = pa.array(np.frombuffer(ids, np.int32) if len(ids) else np.empty(0, np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[key, "ids"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return spread(documents.select(key, text)).mapInArrow(run, f"{key} {kind}, ids array<int>")
+    return documents.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>")
 
 
 def lengths(documents: DataFrame, tokenizers: Sequence[str], key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
@@ -117,4 +114,4 @@ def lengths(documents: DataFrame, tokenizers: Sequence[str], key: str = "doc_id"
                     )
 
     kind = documents.schema[key].dataType.simpleString()
-    return spread(documents.select(key, text)).mapInArrow(run, f"{key} {kind}, tokenizer string, tokens bigint")
+    return documents.select(key, text).mapInArrow(run, f"{key} {kind}, tokenizer string, tokens bigint")

@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import base64
 import heapq
-from array import array
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from itertools import chain
 
 import numpy as np
 import regex
@@ -36,7 +36,6 @@ class ByteBPE:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.split_words = regex.compile(pattern).findall
         self.size = max(self.ranks.values()) + 1
-        self.longest = max(map(len, self.ranks))
         self.left = np.full(self.size, -1, np.int64)
         self.right = np.full(self.size, -1, np.int64)
         self.born = np.full(self.size, -1, np.int64)
@@ -53,8 +52,19 @@ class ByteBPE:
         codes = self.left[made] * self.size + self.right[made]
         order = np.argsort(codes)
         self.pair_codes, self.pair_ids = codes[order], made[order]
-        self.cache: dict[str, array] = {}
+        # length of the longest token that begins with three bytes; other tokens have at most two
+        self.reach: dict[bytes, int] = {}
+        for token in self.proposed:
+            if len(token) > 2 and len(token) > self.reach.get(token[:3], 2):
+                self.reach[token[:3]] = len(token)
         self.words = self.exact_words = 0
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the cache: words by number, and the tokens of all of them one after the other."""
+        self.number: dict[str, int] = {}
+        self.begin = np.zeros(1, np.int64)
+        self.tokens = np.zeros(0, np.int32)
 
     def _parts(self, token: bytes, rank: int) -> list[int]:
         get = self.ranks.get
@@ -96,10 +106,10 @@ class ByteBPE:
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
-        get, longest, n = self.proposed.get, self.longest, len(word)
+        get, reach, n = self.proposed.get, self.reach.get, len(word)
         out, i = [], 0
         while i < n:
-            for j in range(min(n, i + longest), i, -1):
+            for j in range(min(n, i + reach(word[i : i + 3], 2)), i, -1):
                 if (token := get(word[i:j])) is not None:
                     out.append(token)
                     i = j
@@ -143,21 +153,87 @@ class ByteBPE:
             guesses[i] = self.merge(raw[i])
         self.words += len(words)
         self.exact_words += len(failing)
-        for word, ids in zip(words, guesses):
-            self.cache[word] = array("i", ids)
+        sizes = np.fromiter(map(len, guesses), np.int64, len(guesses))
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+        self.tokens = np.concatenate([self.tokens, np.fromiter(chain.from_iterable(guesses), np.int32, int(sizes.sum()))])
 
-    def encode_batch(self, texts: Sequence[str | None]) -> tuple[array, list[int]]:
-        """(ids of all texts, offsets): the ids of text i are ids[offsets[i]:offsets[i + 1]], none for null and empty."""
+    def _numbered(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the words of all texts, offsets of the texts in them); unknown words are learnt."""
         split = [self.split_words(t) if t else () for t in texts]
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        self._learn({w for words in split for w in words if w not in self.cache})
-        ids, offsets, cache = array("i"), [0], self.cache
-        for words in split:
-            for w in words:
-                ids += cache[w]
-            offsets.append(len(ids))
-        return ids, offsets
+        words = list(chain.from_iterable(split))
+        if len(self.number) > CACHED_WORDS:
+            self._forget()
+        self._learn(set(words).difference(self.number))
+        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)), offsets
+
+    def count_batch(self, texts: Sequence[str | None]) -> np.ndarray:
+        """Number of ids of each text."""
+        numbers, offsets = self._numbered(texts)
+        sums = np.concatenate([[0], np.cumsum(np.diff(self.begin)[numbers])])
+        return np.diff(sums[offsets])
+
+    def encode_batch(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets): the ids of text i are ids[offsets[i]:offsets[i + 1]], none for null and empty."""
+        numbers, offsets = self._numbered(texts)
+        ends = np.concatenate([[0], np.cumsum(np.diff(self.begin)[numbers])])
+        # where each id stands in the tokens of the cache: the begin of its word's, and its place among them
+        at = np.repeat(self.begin[numbers] - ends[:-1], np.diff(ends)) + np.arange(ends[-1])
+        return self.tokens[at], ends[offsets]
 
     def encode(self, text: str | None) -> list[int]:
-        return list(self.encode_batch([text])[0])
+        return self.encode_batch([text])[0].tolist()
+
+
+class WordPieces:
+    """Lengths in tokens of a SentencePiece model, counted once for each different word.
+
+    Where no piece reaches over the end of a word (it would hold a blank after
+    another character), merges on both sides do not touch each other, so the
+    tokens of a text are those of its words with the blanks before them. Models
+    of other kinds, and texts with the sign that stands for blanks, are counted whole.
+    """
+
+    BLANK = chr(0x2581)
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.by_word = self._is_by_word()
+        self.split_words: Callable[[str], list[str]] = regex.compile(" +[^ ]+| +").findall
+        self.size: dict[str, int] = {}
+
+    def _is_by_word(self) -> bool:
+        try:
+            from sentencepiece import sentencepiece_model_pb2
+        except ImportError:
+            return False
+        spec = sentencepiece_model_pb2.ModelProto.FromString(self.model.serialized_model_proto())
+        form, kind = spec.normalizer_spec, sentencepiece_model_pb2.ModelProto.SentencePiece
+        plain = form.name == "identity" and form.add_dummy_prefix and form.escape_whitespaces and not form.remove_extra_whitespaces
+        inside = any(self.BLANK in p.piece.lstrip(self.BLANK) or p.type == kind.USER_DEFINED for p in spec.pieces)
+        return plain and spec.trainer_spec.model_type == sentencepiece_model_pb2.TrainerSpec.BPE and not inside
+
+    def _whole(self, text: str) -> int:
+        return len(self.model.encode(text, num_threads=1))
+
+    def count_batch(self, texts: Sequence[str | None]) -> np.ndarray:
+        """Number of tokens of each text, 0 for null and empty ones."""
+        if not self.by_word:
+            return np.array([self._whole(t) if t else 0 for t in texts], np.int64)
+        # the model puts a blank before a text, here it stands before each first word
+        split = [self.split_words(f" {t}") if t and self.BLANK not in t else () for t in texts]
+        words = list(chain.from_iterable(split))
+        if len(self.size) > CACHED_WORDS:
+            self.size.clear()
+        new = list(set(words).difference(self.size))
+        self.size.update(zip(new, (len(x) for x in self.model.encode([w[1:] for w in new], num_threads=1))))
+        self.size[" "] = 1  # a blank of its own, where the model would see no text
+        sums = np.concatenate([[0], np.cumsum(np.fromiter(map(self.size.__getitem__, words), np.int64, len(words)))])
+        counts = np.diff(sums[np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])])
+        for i, t in enumerate(texts):
+            if t and self.BLANK in t:
+                counts[i] = self._whole(t)
+        return counts
