@@ -29,10 +29,9 @@ _MARKER = re.compile(
 # no cut reaches over the end of a line, as lines are cut in one string
 _CUT = re.compile(r"[\t|¦{}<>]+|[^\S\n](?:[/\\→»«›‹~=:–—•·◦▪●-]+[^\S\n]|[^\S\n]{3})|;[^\S\n]")
 _ENDED = re.compile(r"[.!?…。！？؟।]['\"”’»)\]」』\s]*$")
-_STOP = re.compile(r"[.!?…]['\"”’»)\]]?\s+|[。！？]")
 
 # separators inside the string of a batch: control characters, taken out of the texts before
-_CUT_MARK, _PART_MARK, _TEXT_MARK, _LINE_MARK = "\x01", "\x02", "\x03", "\n"
+_CUT_MARK, _TEXT_MARK, _LINE_MARK = "\x01", "\x03", "\n"
 _CONTROL = re.compile("[\x00-\x08\x0e-\x1b\x7f]")
 
 
@@ -52,10 +51,11 @@ _INVISIBLE = _ranges(
 )
 
 # classes of characters, as bits
-LETTER, DIGIT, UPPER, ODD, KANA, CJK, LATIN, SPACE, END, CLOSE, JOIN, POINT, KNOWN = (1 << i for i in range(13))
+LETTER, DIGIT, UPPER, ODD, KANA, CJK, LATIN, SPACE, END, CLOSE, JOIN, POINT, STOP, FULL_STOP, QUOTE, KNOWN = (1 << i for i in range(16))
 _CLASSES = (
     (ODD, _ODD), (KANA, _KANA), (CJK, _CJK), (LATIN, _LATIN), (END, re.compile("[.!?…。！？؟।]")),
     (CLOSE, re.compile(r"['\"”’»)\]」』]")), (JOIN, re.compile(r"['’\-]")), (POINT, re.compile(r"[.,:/\-]")),
+    (STOP, re.compile("[.!?…]")), (FULL_STOP, re.compile("[。！？]")), (QUOTE, re.compile(r"['\"”’»)\]]")),
 )
 _TABLE = np.zeros(0x110000, np.uint16)  # filled in as characters are met
 _MET_WORDS = 200_000  # words whose common languages are remembered; emptied beyond that
@@ -193,15 +193,29 @@ class Reader:
             self.is_common = np.concatenate([self.is_common, np.array(known, bool)])
         return out
 
-    def measure(self, joined: str, texts: int) -> Measured:
-        """Counts of the segments in a string of ``texts`` texts with separators."""
+    @staticmethod
+    def _stops(bits: np.ndarray) -> np.ndarray:
+        """Where a sentence may end inside a group: behind a full stop, and before a blank behind another one, maybe with a quote."""
+        at = np.flatnonzero(bits & STOP) + 1
+        at = at[at < len(bits)]
+        at += bits[at] & QUOTE != 0
+        at = at[at < len(bits)]
+        return np.concatenate([at[bits[at] & SPACE != 0], np.flatnonzero(bits & FULL_STOP) + 1])
+
+    def measure(self, joined: str, texts: int, stops: bool = True) -> Measured:
+        """Counts of the segments in a string of ``texts`` texts with separators, cut into sentences if ``stops``."""
         bits = classes(joined)
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         marks = np.flatnonzero((codes < 4) | (codes == 10))
-        starts, ends = np.concatenate([[0], marks + 1]), np.concatenate([marks, [len(codes)]])
-        kinds = codes[marks]
+        inner = self._stops(bits) if stops else marks[:0]
+        # a separator is no part of a segment, a stop is the end of one
+        ends, widths = np.concatenate([marks, inner]), np.repeat([1, 0], [len(marks), len(inner)])
+        order = np.argsort(ends, kind="stable")
+        ends, widths = ends[order], widths[order]
+        kinds = np.where(widths, codes[np.minimum(ends, len(codes) - 1)], 0) if len(ends) else ends
+        starts, ends = np.concatenate([[0], ends + widths]), np.concatenate([ends, [len(codes)]])
         text_of = np.concatenate([[0], np.cumsum(kinds == 3)])
-        group_of = np.concatenate([[0], np.cumsum(kinds != 2)])
+        group_of = np.concatenate([[0], np.cumsum(kinds != 0)])
         filled_at = np.flatnonzero((bits & SPACE == 0) & (codes > 3))
 
         def between(at: np.ndarray) -> np.ndarray:
@@ -210,7 +224,10 @@ class Reader:
         size = between(filled_at)
         keep = size > 0
         starts, ends, text_of, group_of, size = starts[keep], ends[keep], text_of[keep], group_of[keep], size[keep]
-        count = lambda bit: between(np.flatnonzero(bits & bit))
+        # one pass finds all characters of the classes that few belong to
+        seldom_at = np.flatnonzero(bits & (DIGIT | ODD | KANA | CJK))
+        seldom = bits[seldom_at]
+        count = lambda bit: between(seldom_at[seldom & bit != 0] if bit & (DIGIT | ODD | KANA | CJK) else np.flatnonzero(bits & bit))
 
         def runs(inside: int, link: int) -> tuple[np.ndarray, np.ndarray]:
             """Where runs of characters begin that single links may join, and where such links stand."""
@@ -269,11 +286,11 @@ class Reader:
     def segments(self, lines: Sequence[list[str]]) -> Measured:
         """The segments of texts, given as their lines."""
         joined = f"{_LINE_MARK}{_TEXT_MARK}{_LINE_MARK}".join(_LINE_MARK.join(runs_of(x)) for x in lines)
-        return self.measure(_STOP.sub(rf"\g<0>{_PART_MARK}", _CUT.sub(_CUT_MARK, joined)), len(lines))
+        return self.measure(_CUT.sub(_CUT_MARK, joined), len(lines))
 
     def whole(self, lines: Sequence[list[str]]) -> Measured:
         """The texts themselves, each as one segment; texts without a visible character have none."""
-        return self.measure(_TEXT_MARK.join(" ".join(x) for x in lines), len(lines))
+        return self.measure(_TEXT_MARK.join(" ".join(x) for x in lines), len(lines), stops=False)
 
 
 def entry_lines(lines: Iterable[str]) -> int:

@@ -27,11 +27,11 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -53,10 +53,9 @@ STATISTICS = (*TEXT_STATISTICS, "sentence_share")
 
 # --- reading --------------------------------------------------------------------
 
-PARTS = (
-    "array<struct<part:int, size:int, words:int, letters:int, numbers:int, odd:int, capitals:int, shouted:int, common:int, most:int, "
-    "kana:int, script:int, ended:boolean>>"
-)
+#: What is known of a segment: its group in the text, size without blanks, words, script, end, and the statistics of ``TAILS``.
+TAILS = ("letters", "numbers", "odd", "capitals", "repeat", "common", "length")
+PARTS = "array<struct<part:int, size:int, words:int, script:tinyint, ended:boolean, " + ", ".join(f"{n}:float" for n in TAILS) + ">>"
 LATIN, KANA, OTHER = 0, 1, 2  # scripts of a segment: with common words, with kana as such, without a measure of them
 
 
@@ -71,11 +70,25 @@ def common_by_language(common_words: DataFrame) -> dict[str, list[str]]:
 
 
 def _segments(m: Measured, texts: int, kind: pa.DataType) -> pa.ListArray:
-    """The segments of each text as structs."""
-    script = np.where(m.cjk > 0.5 * m.letters, KANA, np.where(m.latin >= 0.5 * m.letters, LATIN, OTHER))
-    columns = (m.group, m.size, m.words, m.letters, m.numbers, m.odd, m.capitals, m.shouted, m.common, m.most, m.kana, script, m.ended)
+    """The segments of each text as structs; in text with kana letters stand for words, and kana for common words."""
+    kana = m.cjk > 0.5 * m.letters
+    words = np.maximum(1, np.where(kana, m.letters, m.words))
+    columns = {
+        "part": m.group,
+        "size": m.size,
+        "words": np.where(kana & (m.words > 0), m.letters, m.words),
+        "script": np.where(kana, KANA, np.where(m.latin >= 0.5 * m.letters, LATIN, OTHER)),
+        "ended": m.ended,
+        "letters": m.letters / m.size,
+        "numbers": m.numbers / np.maximum(1, m.words + m.numbers),
+        "odd": m.odd / m.size,
+        "capitals": np.where(m.shouted > 0.7 * m.words, 0.0, m.capitals / np.maximum(1, m.words - 1)),  # a text all in capitals has none
+        "repeat": np.maximum(0, m.most - 1) / np.maximum(1, m.words),
+        "common": np.where(kana, m.kana, m.common) / words,
+        "length": np.log2(words),
+    }
     fields = [kind.value_type.field(i) for i in range(kind.value_type.num_fields)]
-    arrays = [pa.array(c.astype(bool if f.type == pa.bool_() else np.int32), f.type) for c, f in zip(columns, fields)]
+    arrays = [pa.array(columns[f.name].astype(f.type.to_pandas_dtype()), f.type) for f in fields]
     offsets = np.searchsorted(m.text, np.arange(texts + 1)).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(arrays, fields=fields), type=kind)
 
@@ -139,7 +152,6 @@ def read(documents: DataFrame, common_words: DataFrame, key: str = "doc_id", tex
 
 # --- what sentences are like ----------------------------------------------------
 
-TAILS = ("letters", "numbers", "odd", "capitals", "repeat", "common", "length")
 #: Median and spread of the low and of the high tail of each statistic in ordinary prose, and of those that differ in text with kana.
 PRIOR = {
     "letters": (0.96, 0.05, 0.05), "numbers": (0.0, 0.05, 0.05), "odd": (0.0, 0.05, 0.05), "capitals": (0.05, 0.05, 0.1),
@@ -158,35 +170,17 @@ TAIL_COMMON, TAIL = 2.5, 4.5
 TAIL_UNENDED = 2.0
 
 
-def _of_part(p: Column) -> dict[str, Column]:
-    """The statistics of a segment; a text of kana has letters for words and kana for common words."""
-    words = F.greatest(p["words"], F.lit(1))
-    kana = p["script"] == KANA
-    shouted = p["shouted"] > 0.7 * p["words"]
-    return {
-        "letters": p["letters"] / p["size"],
-        "numbers": p["numbers"] / F.greatest(p["words"] + p["numbers"], F.lit(1)),
-        "odd": p["odd"] / p["size"],
-        "capitals": F.when(shouted, F.lit(0.0)).otherwise(p["capitals"] / F.greatest(p["words"] - 1, F.lit(1))),
-        "repeat": F.greatest(p["most"] - 1, F.lit(0)) / words,
-        "common": F.when(kana, p["kana"] / F.greatest(p["letters"], F.lit(1))).otherwise(p["common"] / words),
-        "length": F.log2(F.when(kana, F.greatest(p["letters"], F.lit(1))).otherwise(words)),
-    }
-
-
 def segment_sketches(measured: DataFrame) -> DataFrame:
     """(language, learnt, ended, sketch of each of TAILS): sentences of each language, kana as such counting as ja."""
     p = F.col("p")
-    of = _of_part(p)
     rows = measured.select("language", F.explode("parts").alias("p")).where(p["ended"] & (p["words"] > 0) & (p["script"] != OTHER))
     name = F.when(p["script"] == KANA, F.lit(JAPANESE)).when(F.col("language") == JAPANESE, F.lit("und")).otherwise(F.col("language"))
-    rows = rows.select(name.alias("language"), *(c.cast("double").alias(n) for n, c in of.items()))
-    learnt = (F.col("length") >= LONG) & (F.col("common") > 0)
+    learnt = (p["length"] >= LONG) & (p["common"] > 0)
     # few languages but many segments: partial sketches are a row per language and task
-    return rows.groupBy("language").agg(
+    return rows.groupBy(name.alias("language")).agg(
         F.count_if(learnt).alias("learnt"),
         F.count(F.lit(1)).alias("ended"),
-        *(F.kll_sketch_agg_double(F.col(n) if n == "length" else F.when(learnt, F.col(n))).alias(n) for n in TAILS),
+        *(F.kll_sketch_agg_double((p[n] if n == "length" else F.when(learnt, p[n])).cast("double")).alias(n) for n in TAILS),
     )
 
 
@@ -218,60 +212,76 @@ def yardsticks(sketches: DataFrame) -> dict[str, dict[str, tuple[float, float, f
     return {ALL: every, JAPANESE: leaning(JAPANESE, PRIOR_KANA)} | {k: leaning(k, every) for k in rows if k not in (ALL, JAPANESE)}
 
 
-def is_sentence(p: Column, own: Column, kana: Column) -> Column:
-    """Whether no robust z-score of a segment lies in a tail; ``own`` and ``kana`` are yardsticks as nested columns."""
-    of = _of_part(p)
-
-    def yard(name: str, what: str) -> Column:
-        return F.when(p["script"] == KANA, kana[name][what]).otherwise(own[name][what])
-
-    low = lambda name: (yard(name, "middle") - of[name]) / yard(name, "low")
-    high = lambda name: (of[name] - yard(name, "middle")) / yard(name, "high")
-    # the share of common words in n words varies by chance as well
-    middle, n = yard("common", "middle"), F.greatest(F.when(p["script"] == KANA, p["letters"]).otherwise(p["words"]), F.lit(1))
-    chance = F.sqrt(F.greatest(middle * (1 - middle), F.lit(0.0)) / n)
-    common = F.when(p["script"] == OTHER, F.lit(0.0)).otherwise((middle - of["common"]) / F.greatest(yard("common", "low"), chance))
-    unended = F.greatest(common, F.lit(0.0)) + F.greatest(low("length"), F.lit(0.0))
-    shape = F.greatest(low("letters"), high("numbers"), high("odd"), high("capitals"), high("repeat"), low("length")) <= TAIL
-    return (p["words"] > 0) & shape & (common <= TAIL_COMMON) & (p["ended"] | ((unended <= TAIL_UNENDED) & (p["script"] != OTHER)))
-
-
-def _literal(yard: Mapping[str, tuple[float, ...]]) -> Column:
-    of = lambda name: [max(FLOOR[name], float(x)) if i else float(x) for i, x in enumerate(yard[name])]
-    return F.struct(*(F.struct(*(F.lit(x).alias(w) for w, x in zip(("middle", "low", "high"), of(name)))).alias(name) for name in TAILS))
-
-
-def with_share(measured: DataFrame, yards: Mapping[str, Mapping[str, tuple[float, ...]]]) -> DataFrame:
-    """Adds ``sentence_share``, the share of characters in running sentences; inside the row, without a shuffle."""
-    own = _literal(yards[ALL])
-    for language, yard in yards.items():
-        if language not in (ALL, JAPANESE):
-            own = F.when(F.col("language") == language, _literal(yard)).otherwise(own)
-    judged = measured.withColumn("_own", own).withColumn("_kana", _literal(yards[JAPANESE]))
-    judged = judged.withColumn(
-        "_parts", F.transform("parts", lambda p: F.struct(p["part"].alias("part"), p["size"].alias("size"), is_sentence(p, F.col("_own"), F.col("_kana")).alias("ok")))
-    )
-    # sums per group, one after the other: a short clause between sentences belongs to them
-    zero = F.struct(F.lit(-1).alias("part"), F.lit(0).alias("mass"), F.lit(0).alias("size"), F.lit(0).alias("found"))
-    credit = lambda s: s["found"] + F.when(s["mass"] >= 0.7 * s["size"], s["size"]).otherwise(s["mass"])
+class Judge:
+    """Tells running sentences by yardsticks."""
+
+    def __init__(self, yards: Mapping[str, Mapping[str, tuple[float, ...]]]):
+        self.of = {name: i for i, name in enumerate(yards)}
+        spread = lambda name, x: max(FLOOR[name], x)
+        # by statistic: median, spreads of the tails; one column for each yardstick
+        self.yard = {
+            n: np.array([(y[n][0], spread(n, y[n][1]), spread(n, y[n][2])) for y in yards.values()], float).T for n in TAILS
+        }
+
+    def sentences(self, parts: Mapping[str, np.ndarray], languages: Sequence[str]) -> np.ndarray:
+        """Whether no robust z-score of a segment lies in a tail; ``languages`` are those of the segments' texts."""
+        other = self.of[ALL]
+        own = np.array([self.of.get(x, other) if x != JAPANESE else other for x in languages], np.int64)
+        at = np.where(parts["script"] == KANA, self.of[JAPANESE], own) if len(own) else own
+
+        def z(name: str, low: bool) -> np.ndarray:
+            middle, below, above = self.yard[name]
+            away = middle[at] - parts[name] if low else parts[name] - middle[at]
+            return away / (below if low else above)[at]
+
+        measured = parts["script"] != OTHER
+        # the share of common words in n words varies by chance as well
+        middle, below, _ = self.yard["common"]
+        chance = np.sqrt(np.maximum(0, middle * (1 - middle))[at] / np.maximum(1, parts["words"]))
+        common = np.where(measured, (middle[at] - parts["common"]) / np.maximum(below[at], chance), 0.0)
+        length = z("length", True)
+        shape = np.maximum.reduce([z("letters", True), z("numbers", False), z("odd", False), z("capitals", False), z("repeat", False), length])
+        unended = np.maximum(0, common) + np.maximum(0, length)
+        running = parts["ended"] | (measured & (unended <= TAIL_UNENDED))
+        return (parts["words"] > 0) & (shape <= TAIL) & (common <= TAIL_COMMON) & running
+
+    def share(self, parts: pa.ListArray, languages: Sequence[str], wholes: np.ndarray) -> np.ndarray:
+        """Share of each text's characters that stand in running sentences."""
+        offsets = parts.offsets.to_numpy()
+        inner = parts.values.slice(offsets[0], offsets[-1] - offsets[0])
+        own = {f.name: inner.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(inner.type)}
+        text = np.repeat(np.arange(len(parts)), np.diff(offsets))
+        ok = self.sentences(own, np.asarray(languages, object)[text])
+        # groups follow each other, and so do the segments of one
+        new = np.concatenate([[True], (np.diff(own["part"]) != 0) | (np.diff(text) != 0)]) if len(text) else np.zeros(0, bool)
+        group = np.cumsum(new) - 1
+        size, mass = np.bincount(group, own["size"]), np.bincount(group, own["size"] * ok)
+        # a short clause between sentences belongs to them
+        found = np.bincount(text[new], np.where(mass >= 0.7 * size, size, mass), len(parts))
+        return np.minimum(1.0, found / wholes)
+
+
+def with_share(measured: DataFrame, yards: Mapping[str, Mapping[str, tuple[float, ...]]], key: str = "doc_id", names: Sequence[str] = ()) -> DataFrame:
+    """(key, language, statistics named..., sentence_share): the share of characters in running sentences; nothing is shuffled."""
+    ship(measured.sparkSession)
+    kept = measured.select(key, "language", *names, "whole", "parts")
+    schema = ", ".join([*(f"{n} {kept.schema[n].dataType.simpleString()}" for n in (key, "language", *names)), "sentence_share double"])
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-    def step(s: Column, p: Column) -> Column:
-        same, mass = s["part"] == p["part"], F.when(p["ok"], p["size"]).otherwise(0)
-        return F.struct(
-            p["part"].alias("part"),
-            F.when(same, s["mass"] + mass).otherwise(mass).alias("mass"),
-            F.when(same, s["size"] + p["size"]).otherwise(p["size"]).alias("size"),
-            F.when(same, s["found"]).otherwise(credit(s)).alias("found"),
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(yards)
+        for batch in batches:
+            *same, whole, parts = batch.columns
+            share = judge.share(parts, same[1].to_pylist(), whole.to_numpy())
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(same, arrow)), pa.array(share, pa.float64())], schema=arrow)
 
-    share = F.least(F.lit(1.0), F.aggregate("_parts", zero, step, credit) / F.col("whole"))
-    return judged.withColumn("sentence_share", share).drop("_own", "_kana", "_parts")
+    return kept.mapInArrow(run, schema)
 
 
 def statistics(documents: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", names: Sequence[str] = TEXT_STATISTICS) -> DataFrame:
     """(key, language, statistics named..., sentence_share) of every text that is not blank."""
     measured = stage_table(read(documents, common_words, key, text, names), "segments")
-    return with_share(measured, yardsticks(segment_sketches(measured))).select(key, "language", *names, "sentence_share")
+    return with_share(measured, yardsticks(stage_table(segment_sketches(measured), "sketches")), key, names)
 
 
 def not_prose(documents: DataFrame, common_words: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -308,7 +318,7 @@ def scores(measured: DataFrame, built: DataFrame) -> DataFrame:
     ).where((F.col("yardstick") != "und") & ((F.col("q2_sentence_share") >= HALF) | (F.col("yardstick") == ALL)))
     known = F.broadcast(quartiles.select(F.col("yardstick").alias("language"), F.col("yardstick").alias("own")))
     named = measured.join(known, "language", "left").withColumn("yardstick", F.coalesce("own", F.lit(ALL))).drop("own")
-    of: Callable[[str], Column] = lambda s: F.greatest((F.col(f"q3_{s}") - F.col(f"q1_{s}")) / 1.349, F.lit(SPREAD[s]))
+    of = lambda s: F.greatest((F.col(f"q3_{s}") - F.col(f"q1_{s}")) / 1.349, F.lit(SPREAD[s]))
     percentiles = [(F.size(F.filter(f"g_{s}", lambda g: g < F.col(s))) / len(GRID)).alias(f"p_{s}") for s in STATISTICS]  # noqa: B023
     z = [((F.col(s) - F.col(f"q2_{s}")) / of(s)).alias(f"z_{s}") for s in STATISTICS]
     return named.join(F.broadcast(quartiles), "yardstick").select(*measured.columns, "yardstick", *percentiles, *z)
