@@ -11,9 +11,9 @@ def check(histogram, capacity):
     patterns = P.pack_histogram(histogram, capacity)
     placed = Counter()
     for lengths, count in patterns:
-        assert sum(lengths) <= capacity and count > 0
-        for length in lengths:
-            placed[length] += count
+        assert sum(length * times for length, times in lengths) <= capacity and count > 0
+        for length, times in lengths:
+            placed[length] += count * times
     assert placed == Counter({k: v for k, v in histogram.items() if v})
     # an upper bound on patterns, so that the table stays small
     assert len(patterns) <= 3 * len(histogram) + 1
@@ -39,6 +39,14 @@ def test_small_cases():
         P.pack_histogram({11: 1}, 10)
 
 
+def test_contents_are_run_lengths():
+    """Many equal items in few containers are few numbers, also where they fill what longer ones left."""
+    assert P.pack_histogram({1 << 19: 1, 1: 1 << 19}, 1 << 20) == [(((1 << 19, 1), (1, 1 << 19)), 1)]
+    for capacity in (1 << 15, 1 << 20):
+        patterns = P.pack_histogram({capacity // 2: 3, 7: 5 * capacity // 7, 1: capacity}, capacity)
+        assert len(P.intervals(patterns, {capacity // 2: 3, 7: 5 * capacity // 7, 1: capacity})) < 40
+
+
 def packs(spark, sizes, capacities):
     items = spark.createDataFrame([(s, i, n) for s in capacities for i, n in enumerate(sizes)], "spec_id bigint, doc_id bigint, tokens bigint")
     return [tuple(r) for r in P.pack(items, capacities).select("spec_id", "doc_id", "part", "container", "tokens").collect()]
@@ -81,3 +89,33 @@ def test_documents(spark):
     assert {(r.spec_id, r.doc_id) for r in rows} == {(s, d) for s in (1, 2) for d in (1, 4, 5)}
     assert max(r.tokens for r in rows) == 16
     assert P.pack_documents(docs.limit(0), specs).count() == 0 and P.pack_documents(docs, specs.limit(0)).count() == 0
+
+
+def test_any_capacity(spark):
+    """Beyond EXACT lengths are rounded up: nothing is over its capacity, and hardly any room is lost."""
+    capacity, rng = 5 << 20, random.Random(6)
+    sizes = [rng.randint(1, 6 << 20) for _ in range(60)] + [1, 2, 3, capacity, capacity + 1] + [rng.randint(1, 1 << 14) for _ in range(300)]
+    rows, load, total = packs(spark, sizes, {1: capacity}), Counter(), Counter()
+    for _, doc, _, container, tokens in rows:
+        load[container] += tokens
+        total[doc] += tokens
+    assert dict(total) == dict(enumerate(sizes)) and max(load.values()) <= capacity
+    assert len(load) <= 1.02 * math.ceil(sum(sizes) / capacity) + 1
+
+
+def test_sums_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(P, "BUCKETS_TOGETHER", 3)
+    rows = spark.createDataFrame([(s, b, 1 + (b * 7 + s) % 5) for s in (1, 2) for b in range(0, 20, 1 + s)], "spec_id int, bucket bigint, n bigint")
+    data = rows.collect()
+    for r in P._sum_before(rows, ("spec_id",), "n").collect():
+        assert r.before == sum(x.n for x in data if x.spec_id == r.spec_id and x.bucket < r.bucket)
+
+
+def test_balance_tells_faults(spark):
+    specs = spark.createDataFrame([(1, "x", 10)], "spec_id bigint, tokenizer string, capacity bigint")
+    frame = lambda rows: spark.createDataFrame([(1, *r) for r in rows], "spec_id bigint, doc_id bigint, part bigint, container bigint, tokens bigint")
+    one = lambda rows: tuple(P.balance(frame(rows), specs).first())
+    assert one([(1, 0, 0, 6), (2, 0, 0, 4), (3, 0, 1, 5)]) == (1, 3, 0, 0, True)
+    assert one([(1, 0, 0, 6), (2, 0, 0, 5)]) == (1, 2, 1, 0, True)
+    assert one([(1, 0, 0, 3), (1, 1, 1, 3)]) == (1, 1, 0, 1, True)
+    assert one([(i, 0, i, 2) for i in range(10)]) == (1, 10, 0, 0, False)
