@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import changefeed, drift, orphans, redelivery, shredding
+from tidemark.session import fill_cores
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +18,11 @@ def commit_rows(spark: SparkSession, folder: str) -> DataFrame:
     return changefeed.commits(table(spark, folder, "jetstream_sample"))
 
 
+def read_commits(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for operators that parse records in Python."""
+    return changefeed.commits(fill_cores(table(spark, folder, "jetstream_sample")))
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return changefeed.live_records(commit_rows(spark, folder))
 
@@ -40,7 +46,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _departures(spark: SparkSession, folder: str) -> DataFrame:
-    return drift.departures(commit_rows(spark, folder), table(spark, folder, "lexicon_field"))
+    return drift.departures(read_commits(spark, folder), table(spark, folder, "lexicon_field"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,7 +58,7 @@ def p4_unified(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return shredding.children(commit_rows(spark, folder))
+    return shredding.children(read_commits(spark, folder))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

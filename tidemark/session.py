@@ -68,18 +68,16 @@ def stage_table(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
-SPLIT = 4 << 20  # bytes below which Spark does not cut files for more tasks
+def fill_cores(table: DataFrame) -> DataFrame:
+    """A scanned table for work in Python: dealt out where its files are too few and small to give each core a task.
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` in as many tasks as there are cores, if it is too small to be cut so by its scan.
-
-    For work in Python that costs far more than moving a few megabytes; larger
-    tables come in enough splits and stay as they are.
+    What counts are the tasks of the scan itself. Spark cuts files into one for
+    each core as soon as they hold 4 MB a core in more than a row group, and such
+    tables stay as their scan reads them: nothing is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if size < cores * SPLIT else df
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    tasks = table._jdf.queryExecution().toRdd().getNumPartitions()
+    return table.repartition(cores) if tasks < cores else table
 
 
 def ship(spark: SparkSession) -> None:
