@@ -7,19 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import encoding, packing, quality
-from tidemark.session import stage_table
+from tidemark.session import fill_cores, stage_table
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_cores(_table(spark, folder, "documents"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return encoding.encode(_table(spark, folder, "documents"))
+    return encoding.encode(_documents(spark, folder))
 
 
 def p7_packs(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, folder, "documents"), _table(spark, folder, "pack_spec"))
+    return packing.pack_documents(_documents(spark, folder), _table(spark, folder, "pack_spec"))
 
 
 def p7_balance(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,11 +32,11 @@ def p7_balance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.not_prose(_table(spark, folder, "documents"), _table(spark, folder, "common_words"))
+    return quality.not_prose(_documents(spark, folder), _table(spark, folder, "common_words"))
 
 
 def p8_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.quality(_table(spark, folder, "documents"), _table(spark, folder, "common_words"))
+    return quality.quality(_documents(spark, folder), _table(spark, folder, "common_words"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
