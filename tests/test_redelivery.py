@@ -79,6 +79,40 @@ def test_repeated_and_failed_batches(spark, monkeypatch):
     assert got | seqs(store.accept(second, 1)) == expected(rows)
 
 
+def test_no_bits_no_decision(spark, monkeypatch):
+    """Emptied between the runs, the bitmaps let copies in again."""
+    rows = stream(200, 5)
+    monkeypatch.setattr(SeenStore, "bitmaps", lambda self: None)
+    with pytest.raises(AssertionError):
+        assert seqs(redundant_rows(commits(frame(spark, rows)))) == expected(rows)
+
+
+def test_compaction_changes_nothing(spark):
+    rows = stream(120, 6)
+    part = lambda a, b: commits(frame(spark, rows[a:b]))
+    store = SeenStore(spark)
+    store.compact()  # nothing yet
+    got = seqs(store.accept(part(0, 40), 0)) | seqs(store.accept(part(40, 80), 1))
+    known = store.dictionary().count()
+    store.compact()
+    assert len(store._dictionary_parts()) == 1 and store.dictionary().count() == known and store.version() == 2
+    assert seqs(store.accept(part(40, 80), 1)) <= got  # a batch of before is still known
+    got |= seqs(store.accept(part(80, 100), 2))
+    store.compact()
+    got |= seqs(store.accept(part(100, 120), 3))
+    assert got == expected(rows)
+    codes = [r.code for r in store.dictionary().collect()]
+    assert len(codes) == len(set(codes))
+
+
+def test_codes_run_out_loudly(spark, monkeypatch):
+    store = SeenStore(spark)
+    store.accept(commits(frame(spark, stream(20))))
+    monkeypatch.setattr("tidemark.operators.redelivery.TASK_BITS", 0)
+    with pytest.raises(OverflowError):
+        store.accept(commits(frame(spark, stream(20, 9))))
+
+
 def test_bitmaps_hold_one_bit_per_identity(spark):
     rows = stream(120, 4)
     store = SeenStore(spark)

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from tidemark.session import fresh_path, hadoop_fs
 
 GROUPS = 4  # runs of arrivals in which a whole table is taken in
+TASK_BITS, ROW_BITS = 30, 33  # of a code
 IDENTITY = ("strong", "did", "mark", "collection", "rkey")
 
 
@@ -66,24 +67,31 @@ def _bit_is_set(bitmap: Column, code: Column) -> Column:
 class SeenStore:
     """Dictionary and seen-bitmaps in a folder that all executors share.
 
-    A code is dictionary part (13 bits), writing task (17 bits), row in the task
-    (33 bits): dense inside a task, so its bits fill whole buckets, and unique
-    without a global counter. The written dictionary is the only source of
-    codes, hence a task that runs again cannot give two codes to an identity.
-    ``seen`` bits say that an identity was accepted or marked, ``marked`` bits
-    that a row with a revision marked it.
+    A code is the number of the task that wrote it, counted over all batches (30
+    bits), and the row in the task (33 bits): dense inside a task, so its bits
+    fill whole buckets, and unique without a counter that tasks share. Each part of
+    the dictionary leaves the number at which the next one goes on. The written
+    dictionary is the only source of codes, hence a task that runs again cannot
+    give two codes to an identity. ``seen`` bits say that an identity was accepted
+    or marked, ``marked`` bits that a row with a revision marked it. ``compact``
+    makes one part of all parts of the dictionary and of the accepted rows.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
         self.path = (path or fresh_path(spark, "seen")).rstrip("/")
 
-    def _numbers(self, what: str, complete: str = "") -> list[int]:
+    def _numbers(self, what: str) -> list[int]:
+        """Numbers of the files or folders of a kind."""
         fs, folder = hadoop_fs(self.spark, f"{self.path}/{what}")
         if not fs.exists(folder):
             return []
-        found = [int(x.getPath().getName()) for x in fs.listStatus(folder)]
-        return sorted(n for n in found if not complete or fs.exists(hadoop_fs(self.spark, f"{self.path}/{what}/{n}/{complete}")[1]))
+        return sorted(int(x.getPath().getName()) for x in fs.listStatus(folder))
+
+    def _mark(self, what: str, number: int) -> bool:
+        """Creates an empty file, which either happens or does not; false where there is one."""
+        fs, file = hadoop_fs(self.spark, f"{self.path}/{what}/{number}")
+        return fs.createNewFile(file)
 
     def version(self) -> int:
         """The last committed version, 0 for an empty store."""
@@ -92,9 +100,34 @@ class SeenStore:
     def _read(self, what: str, numbers: list[int]) -> DataFrame | None:
         return self.spark.read.parquet(*(f"{self.path}/{what}/{n}" for n in numbers)) if numbers else None
 
+    def _dictionary_parts(self) -> list[int]:
+        """Complete parts of the dictionary, from the last one that holds all before it."""
+        whole = max(self._numbers("dictionary-whole"), default=0)
+        return [n for n in self._numbers("dictionary-next") if n >= whole]
+
+    def _accepted_before(self, version: int) -> DataFrame:
+        """(code, seq) of all rows accepted up to a version."""
+        whole = max((n for n in self._numbers("accepted-whole") if n <= version), default=0)
+        later = self._read("accepted", list(range(whole + 1, version + 1)))
+        if not whole:
+            return later
+        base = self._read("accepted-all", [whole])
+        return base if later is None else base.unionByName(later)
+
+    def _next_task(self) -> int:
+        """The number of the first task of the next part of the dictionary."""
+        done = self._numbers("dictionary-next")
+        return max((max(self._numbers(f"dictionary-next/{n}"), default=0) for n in done), default=0)
+
+    def _finish(self, part: int, next_task: int) -> None:
+        """Makes a part of the dictionary count."""
+        fs, folder = hadoop_fs(self.spark, f"{self.path}/dictionary-next/{part}")
+        fs.mkdirs(folder)
+        self._mark(f"dictionary-next/{part}", next_task)
+
     def dictionary(self) -> DataFrame | None:
         """(identity..., code), parts of batches that failed later included."""
-        parts = self._read("dictionary", self._numbers("dictionary", "_SUCCESS"))
+        parts = self._read("dictionary", self._dictionary_parts())
         return parts.where("is_new").select(*IDENTITY, "code") if parts is not None else None
 
     def bitmaps(self) -> DataFrame | None:
@@ -113,9 +146,7 @@ class SeenStore:
             F.min(F.when(F.col("own"), F.col("seq"))).alias("first"), F.max(~F.col("own")).alias("is_marked")
         )
         part = max(self._numbers("dictionary"), default=0) + 1
-        if part >= 1 << 13:
-            raise OverflowError("all 8,191 parts of the dictionary are in use: rebuild the store")
-        fresh = F.shiftleft(F.lit(part).cast("bigint"), 50) + F.monotonically_increasing_id()
+        fresh = F.shiftleft(F.lit(self._next_task()).cast("bigint"), ROW_BITS) + F.monotonically_increasing_id()
         known = self.dictionary()
         if known is None:
             encoded = arrivals.withColumn("code", fresh).withColumn("is_new", F.lit(True))
@@ -127,7 +158,12 @@ class SeenStore:
                 .withColumn("is_new", F.col("code").isNull())
                 .withColumn("code", F.coalesce("code", fresh))
             )
-        return self._write(encoded, "dictionary", part)
+        written = self._write(encoded, "dictionary", part)
+        last, least = written.where("is_new").agg(F.max(F.shiftright("code", ROW_BITS)), F.min("code")).first()
+        if last is not None and (last >= 1 << TASK_BITS or least < 0):
+            raise OverflowError(f"{self.path} has given out the codes of 2^{TASK_BITS} tasks")
+        self._finish(part, self._next_task() if last is None else last + 1)
+        return written
 
     def accept(self, rows: DataFrame, batch: int | None = None) -> DataFrame:
         """Take one batch in; returns (seq) of the rows that are redundant from now on.
@@ -154,7 +190,7 @@ class SeenStore:
         self._write(unseen.select("code", F.col("first").alias("seq")), "accepted", now + 1)
         if now:
             late = probed.where("is_marked AND was_seen AND NOT was_marked").select("code")
-            before = self._read("accepted", list(range(1, now + 1)))
+            before = self._accepted_before(now)
             self._write(before.join(late, "code", "left_semi").select("seq"), "overtaken", now + 1)
 
         position = F.bitmap_bit_position("code")
@@ -167,11 +203,25 @@ class SeenStore:
                 F.bitmap_or_agg("seen").alias("seen"), F.bitmap_or_agg("marked").alias("marked")
             )
         self._write(here, "bitmaps", now + 1)
-        fs, mark = hadoop_fs(self.spark, f"{self.path}/commits/{now + 1}")
-        if not fs.createNewFile(mark):
+        if not self._mark("commits", now + 1):
             raise RuntimeError(f"version {now + 1} of {self.path} was committed by another writer")
         return self._result(rows, now + 1)
 
+    def compact(self) -> None:
+        """One part instead of many for the dictionary and the accepted rows; codes, bits and the version stay as they are.
+
+        Call it between batches; readers of older parts may go on.
+        """
+        now, known = self.version(), self.dictionary()
+        if not now or known is None:
+            return
+        part = max(self._numbers("dictionary")) + 1
+        self._write(known.withColumn("is_new", F.lit(True)), "dictionary", part)
+        self._finish(part, self._next_task())
+        self._mark("dictionary-whole", part)
+        self._write(self._accepted_before(now), "accepted-all", now)
+        self._mark("accepted-whole", now)
+
     def _result(self, rows: DataFrame, version: int) -> DataFrame:
         """Redundant after a committed version: its batch but for the selected rows, and rows overtaken by it."""
         redundant = rows.select("seq").join(self._read("accepted", [version]).select("seq"), "seq", "left_anti")
