@@ -61,20 +61,38 @@ def test_empty_tables(spark):
     assert run(spark, [], [(1, uri("x"), None, "")]) == [("delivery_log", "1", uri("x"))]
 
 
-def test_full_filter_stays_exact(spark):
+def test_a_filter_too_large_to_broadcast(spark):
     rows = [alist(i, f"l{i}") for i in range(400)] + [item(1000 + i, f"i{i}", uri(f"l{i}")) for i in range(300, 500)]
     exact = sorted(("jetstream_sample", uri(f"i{i}", ITEM), uri(f"l{i}")) for i in range(400, 500))
     assert run(spark, rows) == exact
-    assert run(spark, rows, max_words=1) == exact  # one word: nearly every reference goes to the exact join
+    assert run(spark, rows, broadcast_words=1) == exact
 
 
-def test_filter_size_is_bounded(spark):
+def test_filter_grows_with_the_keys(spark):
     assert O.filter_words(1) == 1 << 10
-    assert O.filter_words(10**12) == O.MAX_WORDS
+    assert all(64 * O.filter_words(n) >= O.BITS_PER_KEY * n for n in (10**6, 10**9, 10**12))
     keys = spark.range(5000).selectExpr("cast(id as string) as k")
     assert O.bloom(keys, "k", 64).count() <= 64
 
 
+def test_filter_proves_nearly_all_orphans(spark):
+    """Less than one in a hundred references without a parent gets past the filter, whatever the number of keys."""
+    for n in (1000, 300_000):
+        parents = spark.range(n).selectExpr("concat('at://', id) AS k")
+        references = spark.range(n, n + 50_000).selectExpr("concat('at://', id) AS target")
+        for words in (O.BROADCAST_WORDS, 1):
+            past = O.probed(references, "target", parents, "k", n, words).where("_possible").count()
+            assert past < 500
+        assert O.probed(parents.withColumnRenamed("k", "target"), "target", parents, "k", n).where("NOT _possible").count() == 0
+
+
+def test_repeated_log_rows_and_reasons(spark):
+    rows = [alist(4, "gone"), alist(5, "gone", "2", "delete"), alist(6, "here")]
+    log = [(1, uri("gone"), None, ""), (1, uri("gone"), None, "x"), (2, uri("never"), None, ""), (3, "at://did:a/odd", None, ""), (4, uri("here"), None, "")]
+    found = O.orphan_references(commits(frame(spark, rows)), spark.createDataFrame(log, LOG), spark.createDataFrame([], DIDS))
+    assert sorted((r.src_key, r.reason) for r in found.collect()) == [("1", "deleted"), ("2", "never"), ("3", "unresolved")]
+
+
 def test_report(spark):
     log = [(1, uri("x"), None, ""), (2, uri("y"), None, "")]
     found = O.orphan_references(commits(frame(spark, [])), spark.createDataFrame(log, LOG), spark.createDataFrame([], DIDS))

@@ -41,6 +41,10 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, folder))
 
 
+def p2_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    return orphans.orphan_report(_orphans(spark, folder), "reason")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return redelivery.redundant_rows(commit_rows(spark, folder))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_report": p2_report,
+    "p2_reasons": p2_reasons,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_unified": p4_unified,
@@ -156,6 +161,10 @@ SQL: dict[str, str] = {
     "p1_found": f"WITH {_LIVE} SELECT at_uri, cid FROM live",
     "p2_found": f"WITH {_ORPHANS} SELECT src_table, src_key, target_uri FROM found",
     "p2_report": f"WITH {_ORPHANS} SELECT src_table, day, count(*) AS orphans FROM found GROUP BY ALL",
+    "p2_reasons": f"""WITH {_ORPHANS}
+SELECT src_table, day, CASE WHEN NOT regexp_full_match(target_uri, 'at://[^/]+/[^/]+/[^/]+') OR target IS NULL THEN 'unresolved' WHEN target IN (
+    SELECT 'at://' || did || '/' || collection || '/' || rkey FROM ranked WHERE place = 1 AND operation = 'delete') THEN 'deleted' ELSE 'never' END AS reason,
+  count(*) AS orphans FROM found GROUP BY ALL""",
     "p3_found": f"""WITH {_COMMITS},
 strong AS (SELECT seq, row_number() OVER (PARTITION BY did, rev, collection, rkey ORDER BY seq) AS place FROM commits WHERE rev IS NOT NULL),
 weak AS (
