@@ -72,6 +72,49 @@ def test_each_kind(spark):
     )
 
 
+def test_every_row_comes_from_a_script(spark, monkeypatch):
+    records = [(2, "c", without("kind", sort="book")), (3, "c", GOOD | {"sort": "book"}), (4, "c", without("title")), (5, "c", GOOD | {"n": "1"})]
+    assert len(found(spark, records)) == 4
+    comparer = D.Comparer([dict(zip(("field_name", "json_types", "required"), f[1:4])) for f in FIELDS[:4]])
+    signature = {"lacks": ["kind"], "mistyped": [], "unlisted": [{"name": "sort", "kind": "string", "fits": ["kind"]}]}
+    assert comparer.departures(signature, [("kind", "sort")]) == {("renamed", "kind", "sort")}
+    # a rename that costs as much as to delete and to add is none, and without scripts there is no row at all
+    script = D._children_script
+    dear = lambda *a: (lambda cost, edits: (cost + sum(e.kind == "rename" for e in edits), edits))(*script(*a))
+    monkeypatch.setattr(D, "_children_script", dear)
+    assert comparer.departures(signature, [("kind", "sort")]) == set()
+    monkeypatch.setattr(D, "_children_script", lambda *a: (0, []))
+    assert comparer.departures(signature, [("kind", "sort")]) == set()
+
+
+def test_fields_that_fit_several(spark):
+    """g1 fits one absent field and g2 both: each fitting pair is a rename, though one script cannot hold all."""
+    rows = [{"field_name": n, "json_types": ["string"], "required": True} for n in ("f1", "f2")]
+    unlisted = [{"name": "g1", "kind": "string", "fits": ["f1"]}, {"name": "g2", "kind": "string", "fits": ["f1", "f2"]}]
+    pairs = [("f1", "g1"), ("f1", "g2"), ("f2", "g2")]
+    assert D.Comparer(rows).departures({"lacks": ["f1", "f2"], "mistyped": [], "unlisted": unlisted}, pairs) == {("renamed", *p) for p in pairs}
+
+
+def test_nested_departures(spark):
+    usual = {"a": {"x": "t", "y": "t"}, "b": [{"k": 1}]}
+    records = [(1, "c", usual)] * 3 + [
+        (1, "c", {"a": {"y": "t"}, "b": [{"k": 1}], "x": "t"}),  # moved
+        (2, "c", {"a": {"x": "t", "z": "t"}, "b": [{"k": "1"}]}),  # renamed and of another type
+        (2, "c", {"a": {"x": "t", "z": "t"}, "b": [{"k": 1}, {"l": True}]}),
+        (3, "e", {"only": 1}),
+        (3, "e", None),
+        (3, "e", "broken"),
+    ]
+    df, _ = run(spark, records)
+    assert sorted(tuple(r) for r in D.nested_departures(df).collect()) == [
+        ("c", "add", "", "b.[].l", 1),
+        ("c", "move", "a.x", "x", 1),
+        ("c", "rename", "a.y", "a.z", 2),
+        ("c", "retype", "b.[].k", "b.[].k", 1),
+    ]
+    assert D.nested_departures(df.limit(0)).count() == 0
+
+
 def test_empty(spark):
     assert found(spark, []) == []
 

@@ -10,11 +10,16 @@
    the tree edit distance for unordered trees in which equal names stay
    together: add, delete, rename, move and retype. The other children of a node
    are matched by an optimal assignment.
-3. ``departures`` runs it between the published schema and every signature of a
-   batch. What a script may rename is decided over the whole batch: never beside
-   the field it stands for, all values fit. Scripts that cost the same differ
-   only in which fitting field they take, so all fitting fields are reported.
-4. ``unify`` compiles the renames into one projection over all files, with all
+3. ``departures`` takes every row of its report from scripts between the
+   published schema and the signatures. Which fields may be renamed at all is
+   decided over the whole batch, in the engine: never beside the field they
+   stand for, all values fit. A rename counts if a script with it is cheaper
+   than the best one that leaves both fields alone; fields no script renames are
+   added or deleted. Scripts are computed once for each distinct signature of
+   all batches and joined back.
+4. ``nested_departures`` compares whole trees, every field at any depth, with
+   the most frequent shape of their collection; here fields move as well.
+5. ``unify`` compiles the renames into one projection over all files, with all
    fields that have no column in one JSON object beside them, so that no value is lost.
 
 Defined results for odd input: a null, empty or malformed document, or one that
@@ -28,16 +33,17 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidemark.operators.jsontree import parse, type_name
-from tidemark.session import ship
+from tidemark.session import ship, stage_table
 
 #: Formats of texts by name, as regular expressions.
 FORMATS = {
@@ -46,7 +52,6 @@ FORMATS = {
     "at-uri": r"at://[^\s/]+(/[^\s/]+(/[^\s/]+)?)?",
     "uri": r"[A-Za-z][A-Za-z0-9+.-]*:[^\s]+",
 }
-MAX_REMEMBERED = 50_000  # signatures whose departures a task keeps
 MAX_PUBLISHED = 100_000  # fields of the published schema; it is metadata, not data
 
 
@@ -314,7 +319,7 @@ def profile(rows: DataFrame, schema: dict[str, list[dict]]) -> DataFrame:
         counts: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            data = [(b, c, json.dumps(s), n) for (b, c, s), n in counts.items()]
+            data = [(b, c, _written(s), n) for (b, c, s), n in counts.items()]
             counts.clear()
             columns = list(zip(*data)) if data else [[], [], [], []]
             return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(columns, arrow)], schema=arrow)
@@ -332,84 +337,172 @@ def profile(rows: DataFrame, schema: dict[str, list[dict]]) -> DataFrame:
     return wanted.mapInArrow(reduce, PROFILE).groupBy("batch_no", "collection", "signature").agg(F.sum("records").alias("records"))
 
 
-def _signature(text: str) -> tuple[frozenset, tuple, tuple]:
-    """The signature in hashable form."""
-    lacks, mistyped, unlisted = json.loads(text)
-    return frozenset(lacks), tuple(map(tuple, mistyped)), tuple((n, k, frozenset(f)) for n, k, f in unlisted)
+SIGNATURE = "struct<lacks:array<string>, mistyped:array<struct<name:string, kind:string>>, unlisted:array<struct<name:string, kind:string, fits:array<string>>>>"
 
 
-def stand_ins(signatures: list[tuple]) -> set[tuple[str, str]]:
-    """Pairs (required field, unlisted field standing for it) that hold over all signatures of a batch."""
-    fits: dict[str, frozenset] = {}
-    for lacks, _, unlisted in signatures:
-        for name, _, values in unlisted:
-            possible = values & lacks
-            fits[name] = fits[name] & possible if name in fits else possible
-    return {(f, g) for g, fs in fits.items() for f in fs}
+def _written(signature: tuple) -> str:
+    """The signature as JSON; equal ones are equal texts."""
+    lacks, mistyped, unlisted = signature
+    named = lambda rows, *names: [dict(zip(names, r)) for r in rows]
+    return json.dumps({"lacks": lacks, "mistyped": named(mistyped, "name", "kind"), "unlisted": named(unlisted, "name", "kind", "fits")})
+
+
+def stand_ins(signatures: DataFrame) -> DataFrame:
+    """(batch_no, collection, pairs): which unlisted fields may stand for which required ones in a batch.
+
+    A pair (required field, unlisted field) holds if it does in every signature
+    with the unlisted field, that is, if it occurs as often as that field.
+    """
+    one = signatures.select("batch_no", "collection", "s.lacks", F.explode("s.unlisted").alias("u"))
+    # the empty name counts the signatures with the field
+    fields = F.explode(F.concat(F.array(F.lit("")), F.array_intersect("u.fits", "lacks")))
+    counts = one.select("batch_no", "collection", F.col("u.name").alias("new"), fields.alias("old")).groupBy("batch_no", "collection", "new", "old").agg(F.count(F.lit(1)).alias("n"))
+    by_field = counts.groupBy("batch_no", "collection", "new").agg(
+        F.max(F.when(F.col("old") == "", F.col("n"))).alias("all"), F.collect_list(F.when(F.col("old") != "", F.struct("old", "n"))).alias("old")
+    )
+    held = by_field.select("batch_no", "collection", "new", F.explode(F.filter("old", lambda o: o["n"] == F.col("all"))).alias("o"))
+    return held.groupBy("batch_no", "collection").agg(F.array_sort(F.collect_set(F.struct(F.col("o.old").alias("old"), "new"))).alias("pairs"))
 
 
 class Comparer:
-    """Departures from the published fields of one collection; equal signatures are compared once per task."""
+    """Departures from the published fields of one collection."""
 
     def __init__(self, fields: list[dict]):
         self.base = Node("", children=tuple(Node(f["field_name"], frozenset(f["json_types"] or ()), bool(f["required"])) for f in fields))
-        self.known: dict[tuple, frozenset] = {}
-
-    def departures(self, signatures: list[tuple]) -> set[tuple[str, str, str]]:
-        """(kind, old, new) of one batch, from the scripts of all its signatures."""
-        pairs = stand_ins(signatures)
-        found: set[tuple[str, str, str]] = set()
-        for signature in signatures:
-            present = {n for n, _, _ in signature[2]}
-            key = (signature, frozenset(x for x in pairs if x[1] in present))
-            if (own := self.known.get(key)) is None:
-                if len(self.known) > MAX_REMEMBERED:
-                    self.known.clear()
-                own = self.known[key] = self._of_signature(*key)
-            found |= own
-        return found
 
-    def _of_signature(self, signature: tuple, pairs: frozenset) -> frozenset:
-        lacks, mistyped, unlisted = signature
-        wrong = dict(mistyped)
+    def _shape(self, signature: dict) -> Node:
+        wrong = {x["name"]: x["kind"] for x in signature["mistyped"]}
         typed = lambda n: Node(n.name, frozenset([wrong[n.name]]) if n.name in wrong else n.types)
+        lacks = frozenset(signature["lacks"])
         seen = [typed(n) for n in self.base.children if (n.name not in lacks if n.required else n.name in wrong)]
-        shape = Node("", children=(*seen, *(Node(n, frozenset([k])) for n, k, _ in unlisted)))
-        # a stand-in fits by its values, so only the pair decides what may be renamed
-        _, script = edit_script(self.base, shape, lambda a, b: (a.name, b.name) in pairs, moves=False)
+        return Node("", children=(*seen, *(Node(x["name"], frozenset([x["kind"]])) for x in signature["unlisted"])))
+
+    def departures(self, signature: dict, pairs: Iterable[tuple[str, str]]) -> set[tuple[str, str, str]]:
+        """(kind, old, new) of a signature, from scripts in which only ``pairs`` may be renamed."""
+        pairs = frozenset(pairs)
+        shape = self._shape(signature)
+
+        def script(old: Node, allowed: frozenset) -> tuple[int, list[Edit]]:
+            # a stand-in fits by its values, so only the pair decides what may be renamed
+            return edit_script(old, shape, lambda a, b: (a.name, b.name) in allowed, moves=False)
+
+        _, best = script(self.base, pairs)
+        renamed = set()
+        for f, g in sorted(pairs):
+            # nothing else may take f or g: with the pair, and with neither of them renamed
+            others = frozenset(x for x in pairs if x[0] != f and x[1] != g)
+            if script(self.base, others | {(f, g)})[0] < script(self.base, others)[0]:
+                renamed.add((f, g))
         # scripts of equal cost: a field may be taken for any it fits, and any fitting field may be taken
-        stood_for, standing = {f for f, _ in pairs}, {g for _, g in pairs}
-        found = {("renamed", f, g) for f, g in pairs}
-        for e in script:
+        stood_for, standing = {f for f, _ in renamed}, {g for _, g in renamed}
+        found = {("renamed", f, g) for f, g in renamed}
+        for e in best:
             if e.kind == "retype" and e.old == e.new:
                 found.add(("type", e.old, e.new))
             elif e.kind == "add" and e.new not in standing:
                 found.add(("added", "", e.new))
             elif e.kind == "delete" and e.old not in stood_for:
                 found.add(("removed", e.old, ""))
-        return frozenset(found)
+        return found
+
+
+STEPS = "array<struct<kind:string, old_field:string, new_field:string>>"
+
 
+def scripts(signatures: DataFrame, schema: dict[str, list[dict]]) -> DataFrame:
+    """(script, steps) of distinct rows (script, collection, signature, pairs)."""
+    ship(signatures.sparkSession)
+    arrow = to_arrow_schema(StructType.fromDDL(f"script string, steps {STEPS}"))
 
-REPORT = "batch_no bigint, collection string, kind string, old_field string, new_field string"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        comparers = {c: Comparer(f) for c, f in schema.items()}
+        for batch in batches:
+            steps = []
+            for _, collection, signature, pairs in zip(*(c.to_pylist() for c in batch.columns)):
+                found = comparers[collection].departures(json.loads(signature), [(p["old"], p["new"]) for p in pairs])
+                steps.append([dict(zip(("kind", "old_field", "new_field"), x)) for x in sorted(found)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(steps, arrow[1].type)], schema=arrow)
+
+    return signatures.select("script", "collection", "signature", "pairs").mapInArrow(run, f"script string, steps {STEPS}")
 
 
 def departures(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(batch_no, collection, kind, old_field, new_field) of each departure from the published schema."""
     schema = published(lexicon)
-    comparers: dict[str, Comparer] = {}
+    signed = stage_table(profile(rows, schema).withColumn("s", F.from_json("signature", SIGNATURE)), "signatures")
+    none = F.array().cast("array<struct<old:string,new:string>>")
+    allowed = F.filter(F.coalesce("pairs", none), lambda p: F.exists("s.unlisted", lambda u: u["name"] == p["new"]))
+    met = signed.join(stand_ins(signed), ["batch_no", "collection"], "left").withColumn("pairs", allowed)
+    met = met.withColumn("script", F.sha2(F.concat_ws("\n", "collection", "signature", F.to_json("pairs")), 256))
+    met = stage_table(met.select("batch_no", "collection", "signature", "pairs", "script"), "compared")
+    # few bytes but much work: a fixed number of partitions keeps AQE from putting all scripts into one task
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = stage_table(scripts(met.dropDuplicates(["script"]).repartition(tasks, "script"), schema), "scripts")
+    return met.join(known, "script").select("batch_no", "collection", F.explode("steps").alias("x")).select("batch_no", "collection", "x.*").distinct()
 
-    def report(group: pd.DataFrame) -> pd.DataFrame:
-        batch, collection = group["batch_no"].iloc[0], group["collection"].iloc[0]
-        if collection not in comparers:
-            comparers[collection] = Comparer(schema[collection])
-        found = comparers[collection].departures([_signature(s) for s in group["signature"]])
-        data = [(batch, collection, *x) for x in sorted(found)]
-        return pd.DataFrame(data, columns=["batch_no", "collection", "kind", "old_field", "new_field"])
 
-    # few bytes but much work: a fixed number of partitions keeps AQE from putting all groups into one task
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = profile(rows, schema).repartition(tasks, "batch_no", "collection")
-    return groups.groupBy("batch_no", "collection").applyInPandas(report, REPORT)
+# --- whole trees --------------------------------------------------------------
+
+
+def _as_text(node: Node) -> list:
+    return [node.name, sorted(node.types), node.required, [_as_text(c) for c in node.children]]
+
+
+def _as_node(text: list) -> Node:
+    return Node(text[0], frozenset(text[1]), text[2], tuple(_as_node(c) for c in text[3]))
+
+
+def shapes(rows: DataFrame) -> DataFrame:
+    """(collection, shape, records): the nested schemas of records, and how many records have each."""
+    ship(rows.sparkSession)
+    arrow = pa.schema([("collection", pa.string()), ("shape", pa.string()), ("records", pa.int64())])
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            data = [(c, s, n) for (c, s), n in counts.items()]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*data) if data else ((), (), ()), arrow)], schema=arrow)
+
+        for batch in batches:
+            for c, t in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                record = parse(t)
+                if isinstance(record, dict):
+                    counts[c, json.dumps(_as_text(schema_tree(record)))] += 1
+            if len(counts) > 20_000:
+                yield flush()
+        yield flush()
+
+    wanted = rows.where(F.col("record").isNotNull()).select("collection", "record")
+    counted = wanted.mapInArrow(reduce, "collection string, shape string, records bigint")
+    return counted.groupBy("collection", "shape").agg(F.sum("records").alias("records"))
+
+
+def nested_departures(rows: DataFrame) -> DataFrame:
+    """(collection, kind, old_field, new_field, records): edits from the most frequent shape of a collection, and how many records show each.
+
+    Paths are dotted, elements of arrays are named ``[]``; of equally frequent
+    shapes the first as text is taken.
+    """
+    found = stage_table(shapes(rows), "shapes")
+    base = found.groupBy("collection").agg(F.min_by("shape", F.struct(-F.col("records"), "shape")).alias("base"))
+    # one row for each collection, so the join adds nothing to the shapes but their base
+    pairs = found.join(base, "collection").select("collection", "base", "shape", "records")
+    schema = "collection string, records bigint, kind string, old_field string, new_field string"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bases: dict[str, Node] = {}
+        for batch in batches:
+            out = []
+            for c, base_text, shape, n in zip(*(x.to_pylist() for x in batch.columns)):
+                old = bases.get(base_text) or bases.setdefault(base_text, _as_node(json.loads(base_text)))
+                out += [(c, n, e.kind, e.old, e.new) for e in edit_script(old, _as_node(json.loads(shape)))[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*out) if out else [()] * 5, arrow)], schema=arrow)
+
+    edits = pairs.mapInArrow(compare, schema)
+    return edits.groupBy("collection", "kind", "old_field", "new_field").agg(F.sum("records").alias("records"))
 
 
 # --- one consistent table -----------------------------------------------------

@@ -57,6 +57,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return _departures(spark, folder).select("batch_no", "collection", "old_field", "new_field").distinct()
 
 
+def p4_nested(spark: SparkSession, folder: str) -> DataFrame:
+    """Edits of whole nested schemas; tree edit scripts, tested on small streams."""
+    return drift.nested_departures(read_commits(spark, folder))
+
+
 def p4_unified(spark: SparkSession, folder: str) -> DataFrame:
     return drift.unify(commit_rows(spark, folder), table(spark, folder, "lexicon_field"), _departures(spark, folder))
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_unified": p4_unified,
+    "p4_nested": p4_nested,
     "p5_found": p5_found,
 }
 
