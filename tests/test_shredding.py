@@ -4,7 +4,7 @@ from collections import Counter
 from tests.stream import frame
 from tidemark.operators.changefeed import commits
 from tidemark.operators.jsontree import parse, scalar_text
-from tidemark.operators.shredding import adjacency, children, walk
+from tidemark.operators.shredding import adjacency, children, entity_tables, walk
 
 
 def run(spark, records):
@@ -63,6 +63,17 @@ def test_empty(spark):
     assert run(spark, []) == Counter()
 
 
+def test_tables_are_linked(spark):
+    text = '{"facets": [{"features": [{"uri": "u"}, {"uri": "v"}]}, null, {"index": {"byteStart": 3}, "features": [{"tag": "t"}]}], "tags": ["x"]}'
+    df = spark.createDataFrame([("d", text), ("e", text)], "id string, t string")
+    tables = entity_tables(adjacency(df, "id", "t").withColumnRenamed("id", "doc"), "doc", {"facets": ["index.byteStart"], "facets.features": ["uri", "tag"], "tags": []})
+    joined = tables["facets.features"].alias("k").join(tables["facets"].alias("p"), ["doc"]).where("k.parent_id = p.id")
+    got = sorted((r.doc, r.up, r.at, r.uri or r.tag) for r in joined.selectExpr("doc", "p.pos1 AS up", "k.pos2 AS at", "uri", "tag").collect())
+    assert got == sorted((d, *x) for d in "de" for x in [(0, 0, "u"), (0, 1, "v"), (2, 0, "t")])
+    assert [(r.parent_id, r.value) for r in tables["tags"].where("doc = 'd'").collect()] == [(0, "x")]
+    assert {r["index.byteStart"] for r in tables["facets"].collect()} == {None, "3"}
+
+
 def rebuilt(rows):
     """The document again from its adjacency rows: the shredding loses nothing but nulls."""
     kids = {}
@@ -70,12 +81,12 @@ def rebuilt(rows):
         kids.setdefault(row[1], []).append(row)
 
     def build(row):
-        _, _, _, _, label, _, _, kind, scalar = row
+        _, _, _, _, _, label, _, _, kind, scalar = row
         inner = kids.get(row[0], [])
         if kind == "object":
-            return {r[4].removeprefix(f"{label}.") if label else r[4]: build(r) for r in inner}
+            return {r[5].removeprefix(f"{label}.") if label else r[5]: build(r) for r in inner}
         if kind == "array":
-            return [(r[5], build(r)) for r in inner]
+            return [(r[6], build(r)) for r in inner]
         return scalar
 
     return build(kids[-1][0])
