@@ -13,7 +13,7 @@ def notes(spark, *rows):
     data = [("did:a", c, f"k{i}", json.dumps(r), 5, op, label, shelf, "ann.test") for i, (c, r, op, label, shelf) in enumerate(rows)]
     df = R.with_work(R.fields(spark.createDataFrame(data, SCHEMA)))
     df = df.withColumn("text_html", T.render_facets(F.coalesce("doc.text", F.lit("")), F.col("doc.facets")))
-    made = df.select("rkey", F.to_json(D.note("https://b", F.lit("2022-01-01T00:00:00Z"))).alias("n")).orderBy("rkey").collect()
+    made = df.select("rkey", F.to_json(D.note("https://b", F.lit("2022-01-01T00:00:00Z"), "~neodb~")).alias("n")).orderBy("rkey").collect()
     return [json.loads(r.n) for r in made]
 
 
@@ -29,7 +29,7 @@ def test_notes(spark):
     )
     url = "https://b/catalog/movie/imdbId-tt1"
     assert a["id"] == a["url"] == "https://b/users/ann.test/posts/k0" and a["published"] == "2021-01-01T00:00:00Z"
-    assert a["content"] == '<p>Rated <a href="https://b/~work~/catalog/movie/imdbId-tt1">A &amp; B</a> 9/10</p><p>so &lt;good&gt;</p>'
+    assert a["content"] == '<p>Rated <a href="https://b/~neodb~/catalog/movie/imdbId-tt1">A &amp; B</a> 9/10</p><p>so &lt;good&gt;</p>'
     assert [x["type"] for x in a["relatedWith"]] == ["Rating", "Comment", "Status"] and a["relatedWith"][0]["value"] == 9.0
     assert a["tag"] == [{"type": "Hashtag", "name": "#x"}, {"type": "Movie", "href": url, "name": "A & B", "image": "https://p"}, {"type": "Hashtag", "name": "#movie"}]
     assert "updated" not in a and "sensitive" not in a

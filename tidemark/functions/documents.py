@@ -92,7 +92,7 @@ def work_tag(kind: Column, url: Column, name: Column, poster: Column) -> Column:
     return F.struct(item.alias("type"), url.alias("href"), name.alias("name"), F.nullif(poster, F.lit("")).alias("image"))
 
 
-def note(base: str, clock: Column) -> Column:
+def note(base: str, clock: Column, marker: str) -> Column:
     """The note of a row with: did, handle, collection, rkey, doc, value, time_us, operation, label, shelf,
     text_html (rendered rich text), and the work columns of ``with_work`` (work_key null where there is none).
     """
@@ -102,7 +102,7 @@ def note(base: str, clock: Column) -> Column:
     is_book, is_review = c("collection") == R.BOOK, c("collection") == R.REVIEW
     named = c("work_key").isNotNull()
     title = F.coalesce(F.nullif(c("work_title"), F.lit("")), F.nullif(doc["title"], F.lit("")), F.when(is_book, F.lit("a book")).otherwise("a work"))
-    shown = T.title_html(title, work_url)
+    shown = T.title_html(title, work_url, marker)
     rating = F.when(is_book, F.when(R.json_kind(value, "$.stars") == "BIGINT", F.try_variant_get(value, "$.stars", "double"))).when(is_review, number_at(value, "$.rating"))
     body = F.when(is_book, F.when(R.json_kind(value, "$.review") == "STRING", doc["review"])).when(is_review, doc["text"])
     body = F.nullif(body, F.lit(""))

@@ -205,4 +205,4 @@ def season_of_episode(doc: Column, ids: Column, book: Column) -> Column:
 def key_parts(work_key: Column) -> tuple[Column, Column]:
     """(type, id) of a work key."""
     kind = head(work_key, ":")
-    return kind, F.substring(work_key, F.length(kind) + 2, F.lit(1 << 20))
+    return kind, F.substr(work_key, F.length(kind) + 2)

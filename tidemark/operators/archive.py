@@ -7,6 +7,8 @@ later create or update revives it, a delete of a record never seen leaves no row
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,23 +54,24 @@ def contributes_expr() -> Column:
     return (F.col("collection") == R.REVIEW) | ((F.col("collection") == R.LIST_ITEM) & shelf.isNotNull())
 
 
-def state(rows: DataFrame) -> DataFrame:
-    """(did, collection, rkey, at_uri, cid, record, op, created_seq, updated_seq, created_at, updated_at, deleted).
+def state(rows: DataFrame, payload: Sequence[str] = ("cid", "record")) -> DataFrame:
+    """(did, collection, rkey, at_uri, payload..., op, created_seq, updated_seq, created_at, updated_at, deleted).
 
-    One aggregation of maxima and minima of structs: partial results go through
-    the shuffle, so a record changed very often costs one row per map task.
+    ``payload`` names the columns kept of the last content: nothing else of a row
+    is read or shuffled. One aggregation of maxima and minima of structs: partial
+    results go through the shuffle, so a record changed very often costs one row
+    per map task.
     """
     upsert = F.col("operation") != "delete"
     grouped = rows.groupBy(*RECORD).agg(
-        F.max(F.when(upsert, F.struct("seq", "received_at", "cid", "record"))).alias("last_up"),
+        F.max(F.when(upsert, F.struct("seq", "received_at", *payload))).alias("last_up"),
         F.min(F.when(upsert, F.struct("seq", "received_at"))).alias("first_up"),
         F.max(F.struct("seq", "received_at", "operation")).alias("last"),
     )
     return grouped.where(F.col("last_up").isNotNull()).select(
         *RECORD,
         at_uri().alias("at_uri"),
-        F.col("last_up.cid").alias("cid"),
-        F.col("last_up.record").alias("record"),
+        *(F.col(f"last_up.{c}").alias(c) for c in payload),
         F.col("last.operation").alias("op"),
         F.col("first_up.seq").alias("created_seq"),
         F.col("last.seq").alias("updated_seq"),
@@ -91,14 +94,17 @@ def actors(rows: DataFrame, did_dim: DataFrame) -> DataFrame:
     return joined.select("did", handle.alias("handle"), "first_seen", "last_seen")
 
 
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower case of A to Z only, as LIKE compares in SQLite."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(text, _CAPITALS, _SMALL)
 
 
 def search(archive: DataFrame, pattern: str, limit: int = 100) -> DataFrame:
     """Rows whose collection, key or content contains the text (``%`` and ``_`` are wild), newest first."""
-    like = f"%{pattern.lower()}%"
+    like = f"%{pattern.translate(str.maketrans(_CAPITALS, _SMALL))}%"
     hit = F.lit(False)
     for name in ("collection", "rkey", "record"):
         hit = hit | F.coalesce(ascii_lower(F.col(name)).like(like), F.lit(False))
@@ -111,12 +117,10 @@ def with_handle(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(known.select("did", F.col("handle").alias("_h")), "did", "left").withColumn("handle", F.coalesce("_h", "did")).drop("_h")
 
 
-def with_list_label(items: DataFrame, archive: DataFrame) -> DataFrame:
-    """Adds ``label``, what the list of an item is called; null where the list is unknown."""
-    lists = R.fields(archive.where(F.col("collection") == R.LIST)).select(
-        F.col("at_uri").alias("list_at"), R.list_label(F.col("doc.name"), F.col("doc.description")).alias("label")
-    )
-    return items.join(lists, F.col("doc.listUri") == F.col("list_at"), "left").drop("list_at")
+def with_list_label(items: DataFrame, lists: DataFrame, list_uri: Column) -> DataFrame:
+    """Adds ``label``, what the list of an item is called; null where the list (at_uri, label) is unknown."""
+    known = lists.select(F.col("at_uri").alias("list_at"), "label")
+    return items.join(known, list_uri == F.col("list_at"), "left").drop("list_at")
 
 
 def newest_of_author(archive: DataFrame, limit: int = 200) -> DataFrame:

@@ -22,12 +22,14 @@ from tidemark.operators import backfill as B
 from tidemark.operators import fanout as O
 from tidemark.operators import works as W
 from tidemark.plans.problems import commit_rows, table
+from tidemark.session import stage_table
 
 CONFIGURED_RELAYS = ("https://relay0.example/inbox", "https://relay2.example/inbox", "https://relay7.example/inbox")
 NOW = "2022-01-21 00:00:00"
 WINDOW_DAYS = 7
 BUDGET = 50
 BASE = "https://bridge.example"
+MARKER = "~neodb~"  # fixed value: what peers look for in links to works
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,8 +55,26 @@ def events(spark, folder):
     return A.without_opted_out(A.wanted(commit_rows(spark, folder)), A.opted_out(table(spark, folder, "did_dim")))
 
 
-def archive(spark, folder):
-    return A.state(events(spark, folder))
+def archive(spark, folder, *payload):
+    """The archive with the columns of the last content that are needed, by default cid and record."""
+    return A.state(events(spark, folder), payload or ("cid", "record"))
+
+
+def slim(spark, folder):
+    """The archive without contents."""
+    return A.state(events(spark, folder), ())
+
+
+def with_shelf(rows):
+    """Adds the shelf of list items, read off the record before anything is shuffled."""
+    doc = F.from_json("record", "struct<listType string, creativeWorkType string>")
+    return rows.withColumn("_doc", doc).withColumn("shelf", F.when(F.col("collection") == R.LIST_ITEM, R.shelf_of_item(F.col("_doc.listType"), F.col("_doc.creativeWorkType")))).drop("_doc")
+
+
+def posts(spark, folder, *payload):
+    """The archive with shelf and is_published in place of the records, and other columns of the last content."""
+    rows = A.state(with_shelf(events(spark, folder)), ("shelf", *payload))
+    return rows.withColumn("is_published", F.col("collection").isin(R.REVIEW, R.BOOK) | F.col("shelf").isNotNull())
 
 
 def actors(spark, folder):
@@ -186,7 +206,7 @@ def stream_kinds(spark, folder):
 
 @query(f"WITH {_A} SELECT at_uri, cid, op, created_seq, updated_seq, deleted FROM archive")
 def latest_state(spark, folder):
-    return archive(spark, folder).select("at_uri", "cid", "op", "created_seq", "updated_seq", "deleted")
+    return archive(spark, folder, "cid").select("at_uri", "cid", "op", "created_seq", "updated_seq", "deleted")
 
 
 @query(f"WITH {_C}, {_H} SELECT did, handle, first_seen, last_seen FROM actors")
@@ -219,33 +239,37 @@ def route_mix(spark, folder):
 
 
 @query(
-    f"""WITH {_P}, {_H}, {_RELAYS}
+    f"""WITH {_P}, {_H}, {_RELAYS}, {_FOLLOWS}
 SELECT (SELECT count(*) FROM actors WHERE did <> '{A.SERVICE_DID}') AS bridged_actors, count(*) AS records_total,
   count(*) FILTER (NOT deleted) AS records_active, count(*) FILTER (is_published AND NOT deleted) AS posts_published,
   (SELECT count(*) FROM relays WHERE state = 'accepted') AS relays_accepted, {len(CONFIGURED_RELAYS)} AS relays_configured,
-  (SELECT count(*) FROM work_catalog) AS works, (SELECT count(*) FROM delivery_log) AS deliveries FROM posts"""
+  (SELECT count(*) FROM work_catalog) AS works, (SELECT count(*) FROM delivery_log) AS deliveries,
+  (SELECT count(*) FROM (SELECT did FROM follows GROUP BY did, follower HAVING NOT arg_max(undo, seq))) AS follows,
+  (SELECT count(DISTINCT cid) FROM commits WHERE collection = 'app.bsky.feed.like' AND operation <> 'delete') + (SELECT count(*) > 0 FROM commits WHERE collection = 'app.bsky.feed.like' AND operation <> 'delete' AND cid IS NULL)::INT AS likes FROM posts"""
 )
 def stats_totals(spark, folder):
-    rows = published(archive(spark, folder))
-    one = rows.agg(
+    one = posts(spark, folder).agg(
         F.count(F.lit(1)).alias("records_total"),
         F.count_if(~F.col("deleted")).alias("records_active"),
         F.count_if(F.col("is_published") & ~F.col("deleted")).alias("posts_published"),
     )
-    people = actors(spark, folder).where(F.col("did") != A.SERVICE_DID).agg(F.count(F.lit(1)).alias("bridged_actors"))
+    seen = events(spark, folder).where((F.col("collection") != R.PROFILE) & (F.col("did") != A.SERVICE_DID))
+    people = seen.agg(F.count_distinct("did").alias("bridged_actors"))
     accepted = relays_stored(spark, folder).agg(F.count_if(F.col("state") == "accepted").alias("relays_accepted"))
     works = table(spark, folder, "work_catalog").agg(F.count(F.lit(1)).alias("works"))
     sent = log(spark, folder).agg(F.count(F.lit(1)).alias("deliveries"))
+    following = followers(spark, folder).agg(F.count(F.lit(1)).alias("follows"))
+    liked = O.likes(like_events(spark, folder)).agg(F.count(F.lit(1)).alias("likes"))
     # each side is one row, joined on a constant key
     out = one.withColumn("k", F.lit(1))
-    for other in (people, accepted, works, sent):
+    for other in (people, accepted, works, sent, following, liked):
         out = out.join(other.withColumn("k", F.lit(1)), "k")
     return out.drop("k").withColumn("relays_configured", F.lit(len(CONFIGURED_RELAYS)))
 
 
 @query(f"WITH {_A} SELECT collection, count(*) AS n, count(*) FILTER (deleted) AS tombstones FROM archive GROUP BY collection")
 def records_by_collection(spark, folder):
-    return archive(spark, folder).groupBy("collection").agg(F.count(F.lit(1)).alias("n"), F.count_if("deleted").alias("tombstones"))
+    return slim(spark, folder).groupBy("collection").agg(F.count(F.lit(1)).alias("n"), F.count_if("deleted").alias("tombstones"))
 
 
 @query("SELECT status, count(*) AS n FROM delivery_log GROUP BY status")
@@ -255,8 +279,7 @@ def deliveries_by_status(spark, folder):
 
 @query(f"WITH {_P} SELECT did, count(*) FILTER (NOT deleted) AS active, count(*) FILTER (is_published AND NOT deleted) AS published, count(*) FILTER (is_published AND deleted) AS retracted FROM posts GROUP BY did")
 def author_counts(spark, folder):
-    rows = published(archive(spark, folder))
-    return rows.groupBy("did").agg(
+    return posts(spark, folder).groupBy("did").agg(
         F.count_if(~F.col("deleted")).alias("active"),
         F.count_if(F.col("is_published") & ~F.col("deleted")).alias("published"),
         F.count_if(F.col("is_published") & F.col("deleted")).alias("retracted"),
@@ -279,7 +302,7 @@ def archive_search(spark, folder):
 FROM archive WHERE NOT deleted) WHERE place <= 200"""
 )
 def account_recent(spark, folder):
-    return A.newest_of_author(archive(spark, folder)).select("did", "at_uri", F.col("place").cast("bigint").alias("place"))
+    return A.newest_of_author(slim(spark, folder)).select("did", "at_uri", F.col("place").cast("bigint").alias("place"))
 
 
 @query(
@@ -287,7 +310,9 @@ def account_recent(spark, folder):
 FROM posts JOIN actors USING (did) WHERE is_published AND NOT deleted"""
 )
 def outbox(spark, folder):
-    rows = published(archive(spark, folder)).where(F.col("is_published") & ~F.col("deleted")).join(actors(spark, folder), "did")
+    rows = posts(spark, folder).where(F.col("is_published") & ~F.col("deleted")).join(actors(spark, folder), "did")
+    # written first, as a range sort reads its input twice
+    rows = stage_table(rows.select("did", "handle", "rkey", "at_uri", "created_at"), "outbox")
     url = F.concat(F.lit(f"{BASE}/users/"), "handle", F.lit("/posts/"), "rkey")
     # a range sort over all outboxes: an author with very many posts is cut like any other range
     return rows.orderBy("did", F.col("created_at").desc(), "at_uri").select("handle", "rkey", url.alias("url"), "created_at")
@@ -298,7 +323,7 @@ def outbox(spark, folder):
 FROM posts GROUP BY did, rkey"""
 )
 def post_lookup_state(spark, folder):
-    rows = published(archive(spark, folder))
+    rows = posts(spark, folder)
     shown = A.post_state(F.lit(True), F.col("is_published"), F.col("deleted"))
     return rows.groupBy("did", "rkey").agg(F.min_by(shown, "at_uri").alias("shown"))
 
@@ -309,22 +334,28 @@ FROM archive i LEFT JOIN archive l ON l.at_uri = json_extract_string(i.record, '
 WHERE i.collection = 'social.popfeed.feed.listItem'"""
 )
 def list_label_join(spark, folder):
-    rows = archive(spark, folder)
-    items = R.fields(rows.where(F.col("collection") == R.LIST_ITEM))
-    return A.with_list_label(items, rows).select("at_uri", "label")
+    doc = F.from_json("record", "struct<listUri string, name string, description string>")
+    kept = events(spark, folder).where(F.col("collection").isin(R.LIST, R.LIST_ITEM)).withColumn("doc", doc)
+    named = kept.withColumn("list_uri", F.when(F.col("collection") == R.LIST_ITEM, F.col("doc.listUri")))
+    named = named.withColumn("label", F.when(F.col("collection") == R.LIST, R.list_label(F.col("doc.name"), F.col("doc.description"))))
+    rows = stage_table(A.state(named, ("list_uri", "label")).select("at_uri", "collection", "list_uri", "label"), "listed")
+    items = rows.where(F.col("collection") == R.LIST_ITEM).drop("label")
+    return A.with_list_label(items, rows.where(F.col("collection") == R.LIST), F.col("list_uri")).select("at_uri", "label")
 
 
 @query(
     f"""WITH {_P}, {_H}, {_RELAYS} SELECT (SELECT count(*) FROM actors) AS users_total, count(*) FILTER (NOT deleted) AS local_posts,
-(SELECT count(*) FROM relays WHERE state = 'accepted') AS relays FROM posts"""
+(SELECT count(*) FROM relays WHERE state = 'accepted') AS relays, (SELECT count(*) FROM work_catalog) AS works FROM posts"""
 )
 def node_info(spark, folder):
-    return stats_totals(spark, folder).select(F.col("bridged_actors").alias("users_total"), F.col("records_active").alias("local_posts"), F.col("relays_accepted").alias("relays"))
+    # the columns that are not asked for cost nothing: their sides of the join are pruned to one row each
+    names = {"users_total": "bridged_actors", "local_posts": "records_active", "relays": "relays_accepted", "works": "works"}
+    return stats_totals(spark, folder).select(*(F.col(c).alias(n) for n, c in names.items()))
 
 
 @query(f"WITH {_A} SELECT date_trunc('day', updated_at) AS day, collection, count(*) AS n FROM archive WHERE NOT deleted GROUP BY ALL")
 def activity_by_day(spark, folder):
-    return archive(spark, folder).where(~F.col("deleted")).groupBy(F.date_trunc("day", "updated_at").cast("timestamp_ntz").alias("day"), "collection").agg(F.count(F.lit(1)).alias("n"))
+    return slim(spark, folder).where(~F.col("deleted")).groupBy(F.date_trunc("day", "updated_at").cast("timestamp_ntz").alias("day"), "collection").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- pairs --------------------------------------------------------------------
@@ -372,7 +403,7 @@ def holders_of_pairs(rows):
 
 
 def with_other_holder(rows):
-    rows = rows.where("is_published")
+    rows = stage_table(rows.where("is_published").select("did", "work", "at_uri"), "holders")
     count = rows.groupBy("did", "work").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
     return rows.join(count, ["did", "work"], "left_semi").select("at_uri")
 
@@ -472,11 +503,15 @@ def relay_intersection(spark, folder):
     return stored.intersect(spark.createDataFrame([(x,) for x in CONFIGURED_RELAYS], "inbox string"))
 
 
+def followers(spark, folder):
+    return O.follow_state(follows(spark, folder).withColumnRenamed("did", "local_did"))
+
+
 @query(
     f"""WITH {_FOLLOWS} SELECT did AS local_did, follower, arg_max(inbox, seq) AS inbox FROM follows GROUP BY did, follower HAVING NOT arg_max(undo, seq)"""
 )
 def follow_state(spark, folder):
-    return O.follow_state(follows(spark, folder).withColumnRenamed("did", "local_did")).select("local_did", "follower", "inbox")
+    return followers(spark, folder).select("local_did", "follower", "inbox")
 
 
 _LIKES = (
@@ -520,7 +555,7 @@ _TID = "(SELECT sum((instr('234567abcdefghijklmnopqrstuvwxyz', rkey[i]) - 1)::HU
 THEN CAST({_TID} // 1024 AS BIGINT) END AS micros FROM archive"""
 )
 def tid_micros(spark, folder):
-    return archive(spark, folder).select("at_uri", M.tid_micros(F.col("rkey")).alias("micros"))
+    return slim(spark, folder).select("at_uri", M.tid_micros(F.col("rkey")).alias("micros"))
 
 
 _AGES = (
@@ -532,8 +567,9 @@ aged AS (SELECT *, CASE WHEN regexp_full_match(rkey, '[234567abcdefghij][234567a
 
 
 def aged(spark, folder):
-    rows = R.fields(archive(spark, folder))
-    return rows.withColumn("written", M.record_time(F.col("rkey"), F.col("doc.createdAt"), F.col("doc.addedAt")))
+    doc = F.from_json("record", "struct<createdAt string, addedAt string>")
+    rows = A.state(events(spark, folder).withColumn("stated", doc), ("stated",))
+    return rows.withColumn("written", M.record_time(F.col("rkey"), F.col("stated.createdAt"), F.col("stated.addedAt")))
 
 
 @query(
@@ -599,7 +635,7 @@ def accepted_events(spark, folder):
 AND EXISTS (SELECT 1 FROM controls c WHERE c.did = a.did AND c.seq > a.updated_seq AND c.control = 'opt_out')"""
 )
 def optout_purge(spark, folder):
-    return U.purged(archive(spark, folder), controls(spark, folder)).where("purged").select("at_uri")
+    return U.purged(slim(spark, folder), controls(spark, folder)).where("purged").select("at_uri")
 
 
 @query(
@@ -618,7 +654,7 @@ def profile_state(spark, folder):
     f"""WITH {_A} SELECT collection, op, deleted, count(*) AS n, sum(length(rkey)) AS key_chars FROM archive GROUP BY CUBE (collection, op, deleted)"""
 )
 def archive_cube(spark, folder):
-    return archive(spark, folder).cube("collection", "op", "deleted").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("rkey")).alias("key_chars"))
+    return slim(spark, folder).cube("collection", "op", "deleted").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("rkey")).alias("key_chars"))
 
 
 @query(
