@@ -38,7 +38,7 @@ def rows(spark, folder, name):
 
 
 def test_latest(spark, folder):
-    assert rows(spark, folder, "pair_latest_work") == sorted(
+    assert rows(spark, folder, "pair_latest") == sorted(
         [
             ("did:a", "movie:tmdbId-7", "review/film", None, None),
             ("did:a", "tv_show:tmdbId-7", "review/series", None, None),
@@ -50,6 +50,9 @@ def test_latest(spark, folder):
 
 
 def test_holders(spark, folder):
-    assert rows(spark, folder, "other_holder_work") == [("listItem/game",), ("listItem/half",), ("review/both",), ("review/game",)]
-    found = {r.work: r.holders for r in entry.queries()["pair_holder_work"](spark, folder).collect()}
+    assert rows(spark, folder, "other_holder") == [("listItem/game",), ("listItem/half",), ("review/both",), ("review/game",)]
+    found = {r.work: r.holders for r in entry.queries()["pair_holder"](spark, folder).collect()}
     assert found == {"movie:tmdbId-7": 1, "tv_show:tmdbId-7": 1, "video_game:igdbId-5": 2, "album:mbId-x": 1, "movie:imdbId-tt1": 2}
+    # of two the newer one
+    assert {r.work: r.anchor.split("/")[-1] for r in entry.queries()["pair_holder"](spark, folder).collect()}["video_game:igdbId-5"] == "game"
+    assert {r.work: r.anchor.split(".")[-1] for r in entry.queries()["pair_holder"](spark, folder).collect()}["movie:imdbId-tt1"] == "listItem/half"

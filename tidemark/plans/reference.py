@@ -360,95 +360,100 @@ def activity_by_day(spark, folder):
 
 # --- pairs --------------------------------------------------------------------
 
-_PAIR = (
+_PREFERRED = ", ".join(f"'{n}'" for n in R.PREFERRED_IDS)
+
+
+def works_sql(source: str) -> str:
+    """``works``: the rows of a table of events with the work each is about, its identifiers and the names of these."""
+    return f"""
+parsed AS (SELECT seq, did, collection, rkey, operation, record, json_extract_string(record, '$."$type"') AS t, json_extract_string(record, '$.hiveId') AS hive, json_extract_string(record, '$.creativeWorkType') AS cw,
+  json_extract_string(record, '$.title') AS title, json_extract_string(record, '$.posterUrl') AS poster_url FROM {source}),
+entries AS (SELECT seq, list({{'k': e.key, 'v': json_extract_string(e.value, '$')}} ORDER BY e.id) AS raw FROM parsed, json_each(record, '$.identifiers') e
+  WHERE json_type(record, '$.identifiers') = 'OBJECT' AND e.type <> 'NULL' AND json_extract_string(e.value, '$') <> '' GROUP BY seq),
+typed AS (SELECT p.*, coalesce(raw, []) AS raw, coalesce(t = 'buzz.bookhive.book', hive IS NOT NULL) AS is_book FROM parsed p LEFT JOIN entries USING (seq)),
+named AS (SELECT *, list_filter(raw, lambda e: e.k = 'tmdbTvSeriesId')[1].v AS series, list_filter(raw, lambda e: e.k = 'seasonNumber')[1].v AS season FROM typed),
+kinds AS (SELECT *, coalesce(NOT is_book AND cw = 'tv_episode' AND t LIKE '%feed.listItem' AND series IS NOT NULL AND season IS NOT NULL, false) AS of_season FROM named),
+shaped AS (SELECT *, CASE WHEN is_book THEN 'book' WHEN of_season THEN 'tv_season' ELSE coalesce(nullif(cw, ''), 'unknown') END AS work_type,
+  CASE WHEN is_book AND hive <> '' AND len(list_filter(raw, lambda e: e.k = 'hiveId')) = 0 THEN list_append(raw, {{'k': 'hiveId', 'v': hive}})
+       WHEN of_season THEN list_filter(raw, lambda e: e.k IN ('tmdbTvSeriesId', 'seasonNumber')) ELSE raw END AS ids FROM kinds),
+picks AS (SELECT *, list_filter(ids, lambda e: e.k NOT IN ('episodeNumber', 'seasonNumber', 'tmdbTvSeriesId')) AS own,
+  CASE WHEN work_type = 'tv_season' AND series IS NOT NULL AND season IS NOT NULL THEN [{{'k': 'tmdbId', 'v': series || '-season-' || season}}] ELSE [] END AS compound FROM shaped),
+keyed AS (SELECT *, coalesce(list_filter(list_transform([{_PREFERRED}],
+    lambda n: list_filter(ids, lambda e: e.k = n)[1]), lambda x: x IS NOT NULL)[1], own[1], compound[1]) AS pick, list_concat(own, list_filter(compound, lambda c: NOT list_contains(own, c))) AS all_ids FROM picks),
+works AS (SELECT *, work_type || ':' || pick.k || '-' || pick.v AS work_key, list_transform(all_ids, lambda e: to_json([work_type, e.k, e.v])::VARCHAR) AS aliases FROM keyed)"""
+
+
+# the ordered fold over all first occurrences, one a turn; # and the turn name the key that an occurrence joined
+MINT_SQL = """
+firsts AS (SELECT work_key, aliases, min(seq) AS seq FROM works WHERE work_key IS NOT NULL GROUP BY ALL),
+turns AS (SELECT *, row_number() OVER (ORDER BY seq) AS turn FROM firsts),
+owner(alias, key, turn) USING KEY (alias) AS (
+  SELECT '' AS alias, '' AS key, 0::BIGINT AS turn
+  UNION
+  SELECT n.alias, n.key, n.turn FROM (
+    WITH now AS (SELECT t.* FROM turns t JOIN (SELECT turn FROM recurring.owner WHERE alias = '') c ON t.turn = c.turn + 1),
+    held AS (SELECT a.alias, a.place, o.key FROM (SELECT unnest(aliases) AS alias, generate_subscripts(aliases, 1) AS place FROM now) a LEFT JOIN recurring.owner o ON o.alias = a.alias),
+    joined AS (SELECT coalesce((SELECT arg_min(key, place) FROM held WHERE key IS NOT NULL), work_key) AS key, turn FROM now)
+    SELECT alias, joined.key, joined.turn FROM held, joined WHERE held.key IS NULL
+    UNION ALL SELECT '', '', turn FROM joined
+    UNION ALL SELECT '#' || turn, key, turn FROM joined) n
+),
+minted AS (SELECT w.seq, o.key AS minted_key FROM works w JOIN turns t ON t.work_key = w.work_key AND t.aliases = w.aliases JOIN owner o ON o.alias = '#' || t.turn)"""
+_PAIRS = (
     _P
-    + """,
-paired AS (SELECT *, coalesce(json_extract_string(record, '$.identifiers.tmdbId'), json_extract_string(record, '$.identifiers.isbn13')) AS work
-           FROM posts WHERE NOT deleted AND collection IN ('social.popfeed.feed.review', 'social.popfeed.feed.listItem'))"""
+    + f""",
+kept AS (SELECT * FROM events_in WHERE operation <> 'delete' AND collection IN ('social.popfeed.feed.review', 'social.popfeed.feed.listItem')),
+{works_sql("kept")},
+{MINT_SQL},
+paired AS (SELECT p.*, m.minted_key AS work FROM posts p JOIN minted m ON m.seq = p.updated_seq
+           WHERE NOT deleted AND collection IN ('social.popfeed.feed.review', 'social.popfeed.feed.listItem'))"""
 )
 
 
 def paired(spark, folder):
-    """Active reviews and list items with the work they name (by film or book number)."""
-    rows = published(archive(spark, folder)).where(~F.col("deleted") & F.col("collection").isin(R.REVIEW, R.LIST_ITEM))
-    ids = F.from_json(F.col("doc.identifiers"), "struct<tmdbId string, isbn13 string>")
-    return rows.withColumn("work", F.coalesce(ids["tmdbId"], ids["isbn13"])).where(F.col("work").isNotNull())
-
-
-def paired_works(spark, folder):
-    """All active reviews and list items that name a work, by any identifier, with the key of the work they joined."""
+    """All active reviews and list items that name a work, with the key of the work they joined."""
     kept = events(spark, folder).where(F.col("collection").isin(R.REVIEW, R.LIST_ITEM))
     minted = W.mint(R.with_work(R.fields(kept.where(F.col("operation") != "delete"))))
-    live = published(A.state(kept)).where(~F.col("deleted"))
+    live = A.state(with_shelf(kept), ("shelf",)).where(~F.col("deleted"))
+    live = live.withColumn("is_published", (F.col("collection") == R.REVIEW) | F.col("shelf").isNotNull())
     # the last event of an active record is the one that its content is from
     return live.join(minted.select(F.col("seq").alias("updated_seq"), F.col("minted_key").alias("work")), "updated_seq")
 
 
-def latest_of_pairs(rows):
-    order = F.struct("created_at", "at_uri")
-    is_review, has_shelf = F.col("collection") == R.REVIEW, F.col("shelf").isNotNull()
-    return rows.groupBy("did", "work").agg(
-        F.max_by("at_uri", F.when(is_review, order)).alias("review"),
-        F.max_by("at_uri", F.when(has_shelf, order)).alias("item"),
-        F.max_by("shelf", F.when(has_shelf, order)).alias("shelf"),
-    ).withColumns({
-        "review": F.when(F.rlike("review", F.lit(r"/social\.popfeed\.feed\.review/")), F.col("review")),
-        "item": F.when(F.col("shelf").isNotNull(), F.col("item")),
-    })
-
-
-def holders_of_pairs(rows):
-    rows = rows.where("is_published")
-    return rows.groupBy("did", "work").agg(F.min_by("at_uri", F.struct("created_at", "at_uri")).alias("anchor"), F.count(F.lit(1)).alias("holders"))
-
-
-def with_other_holder(rows):
-    rows = stage_table(rows.where("is_published").select("did", "work", "at_uri"), "holders")
-    count = rows.groupBy("did", "work").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    return rows.join(count, ["did", "work"], "left_semi").select("at_uri")
-
-
 @query(
-    f"""WITH {_PAIR} SELECT did, work, arg_max(at_uri, (created_at, at_uri)) FILTER (collection LIKE '%review') AS review,
-arg_max(at_uri, (created_at, at_uri)) FILTER (shelf IS NOT NULL) AS item, arg_max(shelf, (created_at, at_uri)) FILTER (shelf IS NOT NULL) AS shelf
-FROM paired WHERE work IS NOT NULL GROUP BY did, work"""
+    f"""WITH RECURSIVE {_PAIRS} SELECT did, work, arg_max(at_uri, (created_at, created_seq)) FILTER (collection LIKE '%review') AS review,
+arg_max(at_uri, (created_at, created_seq)) FILTER (shelf IS NOT NULL) AS item, arg_max(shelf, (created_at, created_seq)) FILTER (shelf IS NOT NULL) AS shelf
+FROM paired GROUP BY did, work"""
 )
 def pair_latest(spark, folder):
-    return latest_of_pairs(paired(spark, folder))
+    """Newest review and newest list item with a shelf of each author and work."""
+    at = F.struct("created_at", "created_seq", "at_uri", "shelf")
+    newest = lambda condition: F.max(F.when(condition, at))
+    found = paired(spark, folder).groupBy("did", "work").agg(
+        newest(F.col("collection") == R.REVIEW).alias("review"), newest(F.col("shelf").isNotNull()).alias("item")
+    )
+    return found.select("did", "work", F.col("review.at_uri").alias("review"), F.col("item.at_uri").alias("item"), F.col("item.shelf").alias("shelf"))
 
 
 @query(
-    f"""WITH {_PAIR} SELECT did, work, arg_min(at_uri, (created_at, at_uri)) FILTER (is_published) AS anchor, count(*) FILTER (is_published) AS holders
-FROM paired WHERE work IS NOT NULL GROUP BY did, work HAVING count(*) FILTER (is_published) > 0"""
+    f"""WITH RECURSIVE {_PAIRS} SELECT did, work, arg_max(at_uri, (created_at, created_seq)) AS anchor, count(*) AS holders
+FROM paired WHERE is_published GROUP BY did, work"""
 )
 def pair_holder(spark, folder):
-    return holders_of_pairs(paired(spark, folder))
+    """The newest published record of each author and work, and how many there are."""
+    rows = paired(spark, folder).where("is_published")
+    return rows.groupBy("did", "work").agg(F.max_by("at_uri", F.struct("created_at", "created_seq")).alias("anchor"), F.count(F.lit(1)).alias("holders"))
 
 
 @query(
-    f"""WITH {_PAIR} SELECT at_uri FROM paired p WHERE work IS NOT NULL AND is_published AND EXISTS (SELECT 1 FROM paired q WHERE q.did = p.did AND q.work = p.work
+    f"""WITH RECURSIVE {_PAIRS} SELECT at_uri FROM paired p WHERE is_published AND EXISTS (SELECT 1 FROM paired q WHERE q.did = p.did AND q.work = p.work
 AND q.is_published AND q.at_uri <> p.at_uri)"""
 )
 def other_holder(spark, folder):
-    return with_other_holder(paired(spark, folder))
-
-
-@query()
-def pair_latest_work(spark, folder):
-    """As ``pair_latest``, for works of any type and identifier; rests on the ordered fold, tested on a small stream."""
-    return latest_of_pairs(paired_works(spark, folder))
-
-
-@query()
-def pair_holder_work(spark, folder):
-    """As ``pair_holder``, for works of any type and identifier."""
-    return holders_of_pairs(paired_works(spark, folder))
-
-
-@query()
-def other_holder_work(spark, folder):
-    """As ``other_holder``, for works of any type and identifier."""
-    return with_other_holder(paired_works(spark, folder))
+    """Published records beside which the author has another one of the same work."""
+    rows = stage_table(paired(spark, folder).where("is_published").select("did", "work", "at_uri"), "holders")
+    count = rows.groupBy("did", "work").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    return rows.join(count, ["did", "work"], "left_semi").select("at_uri")
 
 
 # --- delivery -----------------------------------------------------------------
@@ -670,8 +675,14 @@ def delivery_summary(spark, folder):
     )
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_C}, source AS (SELECT * FROM events_in WHERE operation <> 'delete' AND collection IN ('social.popfeed.feed.review', 'social.popfeed.feed.listItem', 'buzz.bookhive.book')),
+{works_sql("source")},
+{MINT_SQL},
+each AS (SELECT minted_key, e.k AS k, arg_max(e.v, seq) AS v FROM (SELECT seq, unnest(ids) AS e FROM works) JOIN minted USING (seq) GROUP BY ALL)
+SELECT minted_key AS work_key, '{{' || string_agg(to_json(k) || ':' || to_json(v), ',' ORDER BY k) || '}}' AS ids FROM each GROUP BY 1"""
+)
 def work_identifiers(spark, folder):
-    """Merged identifiers of each work; rests on the ordered fold, tested on a small stream."""
+    """Merged identifiers of each work; rests on the ordered fold."""
     rows = R.with_work(R.fields(events(spark, folder).where((F.col("operation") != "delete") & F.col("collection").isin(R.REVIEW, R.LIST_ITEM, R.BOOK))))
     return U.merged_identifiers(rows, W.mint(rows)).select("work_key", F.to_json("ids").alias("ids"))

@@ -15,8 +15,8 @@ from tidemark.operators import archive as A
 from tidemark.operators import pairing as P
 from tidemark.operators import works as W
 from tidemark.plans.problems import commit_rows, table
+from tidemark.plans.reference import _A, _C, _H, _WORDS, BASE, MARKER, MINT_SQL, NOW, works_sql, _shelf_sql, actors, archive, events, published
 from tidemark.session import stage_table
-from tidemark.plans.reference import _A, _C, _H, _WORDS, BASE, MARKER, NOW, _shelf_sql, actors, archive, events, published
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -267,19 +267,46 @@ def alias_register(spark, folder):
     return found.where(F.col("id_key").isNotNull())
 
 
-@query()
+_ALL_WORKS = f"""source AS (SELECT seq, did, commit.collection AS collection, commit.rkey AS rkey, 'create' AS operation, commit.record AS record FROM jetstream_sample
+  WHERE kind = 'commit' AND coalesce(commit.operation, 'create') <> 'delete' AND commit.collection IN ('social.popfeed.feed.review', 'social.popfeed.feed.listItem', 'buzz.bookhive.book')),
+{works_sql("source")}"""
+
+
+@query(f"WITH RECURSIVE {_ALL_WORKS}, {MINT_SQL} SELECT seq, minted_key FROM minted")
 def work_mint(spark, folder):
-    """Which work each record joins; ordered fold, tested against a plain loop."""
+    """Which work each record joins."""
     return W.mint(works_of(spark, folder))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_ALL_WORKS},
+groups AS (SELECT DISTINCT aliases FROM works WHERE len(aliases) > 0 AND pick IS NOT NULL),
+links AS (SELECT DISTINCT x AS a, aliases[1] AS b FROM (SELECT aliases, unnest(aliases) AS x FROM groups) UNION SELECT aliases[1], x FROM (SELECT aliases, unnest(aliases) AS x FROM groups)),
+label(node, component) USING KEY (node) AS (
+  SELECT a AS node, a AS component FROM links
+  UNION
+  SELECT l.b, min(n.component) FROM label n JOIN links l ON l.a = n.node JOIN recurring.label r ON r.node = l.b GROUP BY l.b, r.component HAVING min(n.component) < r.component)
+SELECT node, component FROM label"""
+)
 def work_components(spark, folder):
     named = works_of(spark, folder).select(F.transform("aliases", lambda a: F.to_json(F.array(F.col("work_type"), a["key"], a["id"]))).alias("nodes"))
     return W.components(stage_table(named.distinct(), "aliases").where("size(nodes) > 0"))
 
 
-@query()
+_EPISODE = r"'^(.+?)\s+-\s+S(\d+)E\d+\b'"
+
+
+@query(
+    f"""WITH RECURSIVE {_ALL_WORKS}, {MINT_SQL},
+titled AS (SELECT seq, title, work_type, CASE WHEN NOT is_book THEN poster_url END AS poster, regexp_matches(title, {_EPISODE}) AS episodic, regexp_extract(title, {_EPISODE}, 1) AS series_title,
+  regexp_extract(title, {_EPISODE}, 2) AS number, trim(coalesce(season, '')) AS given FROM works),
+called AS (SELECT seq, poster, CASE WHEN title IS NULL OR title = '' THEN title WHEN work_type = 'tv_show' THEN CASE WHEN episodic THEN series_title ELSE title END
+  WHEN work_type = 'tv_season' THEN CASE WHEN episodic THEN series_title || ' - Season ' || CAST(CAST(CASE WHEN regexp_full_match(given, '\\d+') THEN given ELSE number END AS HUGEINT) AS VARCHAR)
+    WHEN regexp_matches(title, '(?i)\\bSeason\\s+\\d+\\b') THEN title WHEN regexp_full_match(given, '\\d+') THEN title || ' - Season ' || CAST(CAST(given AS HUGEINT) AS VARCHAR) ELSE title END
+  ELSE title END AS title FROM titled)
+SELECT minted_key AS work_key, arg_min(title, seq) FILTER (title <> '') AS title, arg_min(poster, seq) FILTER (poster <> '') AS poster, count(*) AS records, min(seq) AS first_seq
+FROM called JOIN minted USING (seq) GROUP BY 1"""
+)
 def work_titles(spark, folder):
     rows = works_of(spark, folder)
     return W.catalog(rows, W.mint(rows))
