@@ -134,3 +134,16 @@ def post_state(row_found: Column, published: Column, deleted: Column) -> Column:
     return F.when(~row_found | ~F.coalesce(published | deleted, F.lit(False)), F.lit("absent")).when(deleted & published, F.lit("tombstone")).when(
         ~published, F.lit("absent")
     ).otherwise(F.lit("note"))
+
+
+def actor_lookup(idents: DataFrame, authors: DataFrame) -> DataFrame:
+    """(ident, did, shown) of each ``ident``, a handle or did of ``authors`` (did, handle, opted_out).
+
+    ``shown`` is found, gone (opted out) or none; of accounts that share a handle
+    the smallest did counts.
+    """
+    by_did = authors.select(F.col("did").alias("ident"), "did", "opted_out")
+    least = authors.groupBy("handle").agg(F.min(F.struct("did", "opted_out")).alias("a"))
+    by_handle = least.where(~F.startswith("handle", F.lit("did:"))).select(F.col("handle").alias("ident"), "a.did", "a.opted_out")
+    shown = F.when(F.col("did").isNull(), "none").when(F.col("opted_out"), "gone").otherwise("found")
+    return idents.join(by_did.unionByName(by_handle), "ident", "left").select("ident", "did", shown.alias("shown"))

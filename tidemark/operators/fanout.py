@@ -20,19 +20,39 @@ def distinct_inboxes(follows: DataFrame, order: str = "seq") -> DataFrame:
     return follows.groupBy("did", recipient(F.col("shared_inbox"), F.col("inbox")).alias("inbox")).agg(F.min(order).alias("first"))
 
 
-def plan(activities: DataFrame, relays: DataFrame, inboxes: DataFrame, max_relays: int = 1000) -> DataFrame:
-    """(activity, did, path, inbox): relay targets and then follower targets, an inbox in both twice.
-
-    Relays are configuration: every activity goes to each of them. They are read
-    with a checked bound and joined as an array in the row, so no row is paired
-    with another table's.
-    """
+def relay_targets(relays: DataFrame, max_relays: int = 1000) -> list[str]:
+    """Inboxes of the relays in order; they are configuration and read with a checked bound."""
     targets = [r["inbox"] for r in relays.select("inbox").distinct().limit(max_relays + 1).collect()]
     if len(targets) > max_relays:
         raise ValueError(f"more than {max_relays} relays")
-    to_relays = activities.select("activity", "did", F.lit("relay").alias("path"), F.explode(F.array(*map(F.lit, sorted(targets))) if targets else F.expr("cast(array() as array<string>)")).alias("inbox"))
-    to_followers = activities.join(inboxes.select("did", "inbox"), "did").select("activity", "did", F.lit("direct").alias("path"), "inbox")
-    return to_relays.unionByName(to_followers)
+    return sorted(targets)
+
+
+def to_relays(activities: DataFrame, relays: DataFrame, max_relays: int = 1000) -> DataFrame:
+    """``activities`` with each relay's ``inbox``: an array in the row, so no row is paired with another table's."""
+    targets = relay_targets(relays, max_relays)
+    return activities.select(*activities.columns, F.explode(F.array(*map(F.lit, targets)) if targets else F.expr("cast(array() as array<string>)")).alias("inbox"))
+
+
+def to_followers(activities: DataFrame, inboxes: DataFrame) -> DataFrame:
+    """``activities`` with each ``inbox`` of the followers of their author (``did``)."""
+    return activities.join(inboxes.select("did", "inbox"), "did")
+
+
+def plan(activities: DataFrame, relays: DataFrame, inboxes: DataFrame, max_relays: int = 1000) -> DataFrame:
+    """(activity, did, path, inbox): relay targets and then follower targets, an inbox in both twice."""
+    rows, order = activities.select("activity", "did"), ("activity", "did", "path", "inbox")
+    relayed = to_relays(rows, relays, max_relays).withColumn("path", F.lit("relay"))
+    return relayed.select(*order).unionByName(to_followers(rows, inboxes).withColumn("path", F.lit("direct")).select(*order))
+
+
+def counts(activities: DataFrame, keys: DataFrame, relays: DataFrame, inboxes: DataFrame) -> DataFrame:
+    """(activity, did, relays, direct): how many deliveries of each kind; none for authors without a key (did)."""
+    n = len(relay_targets(relays))
+    direct = inboxes.groupBy("did").agg(F.count(F.lit(1)).alias("n"))
+    rows = activities.join(keys.select("did", F.lit(True).alias("_key")).distinct(), "did", "left").join(direct, "did", "left")
+    if_known = lambda c: F.when(F.col("_key"), c).otherwise(F.lit(0)).cast("bigint")
+    return rows.select("activity", "did", if_known(F.lit(n)).alias("relays"), if_known(F.coalesce("n", F.lit(0))).alias("direct"))
 
 
 def delivery_log(attempts: DataFrame) -> DataFrame:
