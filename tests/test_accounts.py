@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import accounts as U
@@ -33,3 +35,19 @@ def test_answers(spark):
     assert got == [(400, None), (202, None), (404, None), (202, "Accept"), (202, "Reject"), (202, "Reject"), (202, "Accept")]
     kinds = spark.createDataFrame([("Follow", "1"), ("Like", "1"), (None, "1"), ("Note", "1"), (None, None)], "t string, i string")
     assert [r.k for r in kinds.select(U.undo_kind(F.col("t"), F.col("i")).alias("k")).collect()] == ["follow", "like", "like", "ignored", "ignored"]
+
+
+def test_buckets_change_nothing(spark, monkeypatch):
+    rng = random.Random(8)
+    controls = [(rng.choice("ab"), rng.randint(0, 60), rng.choice([U.OPT_OUT, U.OPT_IN])) for _ in range(30)]
+    events = [(rng.choice("abc"), i) for i in range(0, 70, 2)]
+    want = set()
+    for did, seq in events:
+        past = sorted((s, c) for d, s, c in controls if d == did and s < seq)
+        if not past or past[-1][1] != U.OPT_OUT:
+            want.add((did, seq))
+    frames = spark.createDataFrame(events, "did string, seq bigint"), spark.createDataFrame(controls, "did string, seq bigint, control string")
+    for span in (1, 5, 1 << 16):
+        monkeypatch.setattr(U, "SPAN", span)
+        assert {tuple(r) for r in U.accepted(*frames).collect()} == want
+    assert U.accepted(frames[0].limit(0), frames[1]).count() == 0 and U.accepted(frames[0], frames[1].limit(0)).count() == len(events)

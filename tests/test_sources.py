@@ -32,6 +32,45 @@ def test_lines(spark, folder):
     assert E.read_events(spark, f"{folder}/in").where(E.wanted(["d"])).count() == 1
 
 
+def test_order_of_files(spark, tmp_path):
+    """Arrival is by name and line, whatever the sizes of the files and the splits Spark makes of them."""
+    sizes = {"1-old": 1, "2-new": 50, "3-last": 7}
+    for name, n in sizes.items():
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(line("a", "create", f"{name}-{i:02}", record={"pad": "x" * 200}) for i in range(n)))
+    want = [f"{name}-{i:02}" for name, n in sizes.items() for i in range(n)]
+    for size in ("1000b", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = E.read_events(spark, str(tmp_path)).orderBy("seq").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [r.commit.rkey for r in rows] == want and [r.seq for r in rows] == list(range(58))
+
+
+def test_stream_of_files_is_read_by_the_operators(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.jsonl").write_text("\n".join([line("a", "create", "k"), line("a", "update", "k", "3"), line("a", "create", "l")]))
+    (tmp_path / "in/2.jsonl").write_text("\n".join([line("a", "delete", "l", "4"), line("a", "update", "k", "3"), "{broken"]))
+    table = ChangeTable(spark, f"file://{tmp_path}/state", RECORD)
+    ingest.keep_state(E.stream_events(spark, f"{tmp_path}/in", 1), table, F.col("cid"), f"{tmp_path}/c1").awaitTermination()
+    assert [(r.rkey, r.payload) for r in table.live().collect()] == [("k", "k-3")]
+    store = SeenStore(spark, f"file://{tmp_path}/seen")
+    ingest.drop_redundant(E.stream_events(spark, f"{tmp_path}/in", 1), store, f"{tmp_path}/out", f"{tmp_path}/c2").awaitTermination()
+    kept = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.rkey, r.rev) for r in kept) == [("k", "1"), ("k", "3"), ("l", "1"), ("l", "4")]
+    assert {r.seq // E.BATCH_ROWS for r in kept} == {0, 1} and all(r.batch_no == r.seq // E.BATCH_ROWS for r in kept)
+
+
+def test_replay(spark, tmp_path):
+    review, item = "social.popfeed.feed.review", "social.popfeed.feed.listItem"
+    film = {"creativeWorkType": "movie", "identifiers": {"tmdbId": "7"}}
+    lines = [line("did:a", "create", "r", record=film, collection=review), line("did:a", "create", "i", "2", film | {"listType": "finished"}, item), line("did:a", "delete", "r", "3", collection=review)]
+    (tmp_path / "1.jsonl").write_text("\n".join(lines[:2]))
+    (tmp_path / "2.jsonl").write_text(lines[2])
+    got = [(r.seq, r.kind, r.anchor.split("/")[-1], r.shelf) for r in ingest.replay(spark, str(tmp_path)).orderBy("seq", "step").collect()]
+    assert got == [(0, "create", "r", None), (1, "update", "r", "complete"), (2, "delete", "r", None)]
+
+
 def test_malformed_line(spark, folder):
     (folder / "in/2.jsonl").write_text("{broken")
     assert E.read_events(spark, f"{folder}/in", strict=False).where("kind IS NULL").count() == 1

@@ -1,33 +1,46 @@
 """Accounts over time: opting out and in, and what their profiles say.
 
-An account's control events are few, so its history travels as one array to its
-rows; rows are never grouped by account, and an account that holds a third of
-all rows is split by the join like any skewed key.
+Which control event stands when an event arrives is an as-of join. Arrivals are
+cut into buckets: one row for each account and bucket with events carries what
+stood at its start and the changes inside it, so that only these rows are ever
+put in order by account, and an account that holds a third of all rows, or
+changes its mind all the time, is spread over many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPT_OUT, OPT_IN = "opt_out", "opt_in"
+SPAN = 1 << 16  # arrivals of one bucket
 
 
-def history(controls: DataFrame) -> DataFrame:
-    """(did, controls): the control events (did, seq, control) of each account in order."""
-    return controls.groupBy("did").agg(F.array_sort(F.collect_set(F.struct("seq", "control"))).alias("controls"))
+def standing(events: DataFrame, controls: DataFrame) -> DataFrame:
+    """(did, bucket, control, turns) for each account with controls and bucket of its events.
 
-
-def _standing(seq: Column) -> Column:
-    """The last control before a point of the stream, null where there is none."""
-    before = F.filter(F.coalesce("controls", F.array().cast("array<struct<seq:bigint,control:string>>")), lambda c: c["seq"] < seq)
-    return F.try_element_at(before, F.lit(-1))["control"]
+    ``control`` is the last one before the bucket, ``turns`` (seq, control) are
+    those inside it, without repeats of the one before.
+    """
+    bucket = F.floor(F.col("seq") / SPAN).alias("bucket")
+    order = Window.partitionBy("did", "bucket").orderBy("seq", "control")
+    # of several control events with one number the last as they sort decides
+    inside = controls.select("did", "seq", "control", bucket).withColumn("_before", F.lag("control").over(order))
+    inside = inside.where(F.col("_before").isNull() | (F.col("_before") != F.col("control")))
+    inside = inside.groupBy("did", "bucket").agg(F.array_sort(F.collect_list(F.struct("seq", "control"))).alias("turns"))
+    met = events.select("did", bucket).distinct().join(controls.select("did").distinct(), "did", "left_semi")
+    rows = met.join(inside, ["did", "bucket"], "full_outer")
+    before = Window.partitionBy("did").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.try_element_at("turns", F.lit(-1))["control"], ignorenulls=True).over(before)
+    return rows.select("did", "bucket", last.alias("control"), "turns")
 
 
 def accepted(events: DataFrame, controls: DataFrame) -> DataFrame:
     """Events of accounts that had not opted out when they arrived."""
-    joined = events.join(history(controls), "did", "left")
-    return joined.where(F.coalesce(_standing(F.col("seq")) != OPT_OUT, F.lit(True))).select(*events.columns)
+    known = standing(events, controls).select("did", F.col("bucket").alias("_bucket"), F.col("control").alias("_control"), F.col("turns").alias("_turns"))
+    joined = events.withColumn("_bucket", F.floor(F.col("seq") / SPAN)).join(known, ["did", "_bucket"], "left")
+    here = F.try_element_at(F.filter("_turns", lambda t: t["seq"] < F.col("seq")), F.lit(-1))["control"]
+    return joined.where(F.coalesce(here, F.col("_control"), F.lit(OPT_IN)) != OPT_OUT).select(*events.columns)
 
 
 def purged(archive: DataFrame, controls: DataFrame) -> DataFrame:
@@ -35,10 +48,10 @@ def purged(archive: DataFrame, controls: DataFrame) -> DataFrame:
 
     ``purged`` tells those; opting in again does not revive them.
     """
-    joined = archive.join(history(controls), "did", "left")
-    later = F.exists(F.coalesce("controls", F.array().cast("array<struct<seq:bigint,control:string>>")), lambda c: (c["seq"] > F.col("updated_seq")) & (c["control"] == OPT_OUT))
-    gone = ~F.col("deleted") & later
-    return joined.withColumn("purged", gone).withColumn("deleted", F.col("deleted") | gone).drop("controls")
+    last = controls.where(F.col("control") == OPT_OUT).groupBy("did").agg(F.max("seq").alias("_out"))
+    joined = archive.join(last, "did", "left")
+    gone = ~F.col("deleted") & F.coalesce(F.col("_out") > F.col("updated_seq"), F.lit(False))
+    return joined.withColumn("purged", gone).withColumn("deleted", F.col("deleted") | gone).drop("_out")
 
 
 def profile_state(rows: DataFrame, name: Column, avatar: Column) -> DataFrame:

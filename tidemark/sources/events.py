@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import StructType
@@ -24,16 +24,53 @@ def parse_lines(lines: DataFrame, strict: bool = True) -> DataFrame:
     return kept.withColumn("event", F.from_json("value", COMMIT_EVENT, mode)).select(*(c for c in lines.columns if c != "value"), "event.*")
 
 
+PLACE = ("file", "block")  # where a line was read: the file, and the first byte of the split
+
+
+def in_order(rows: DataFrame, first: int = 0) -> DataFrame:
+    """``rows`` with ``seq`` in place of PLACE: numbers without gaps in order of file name and place in the file.
+
+    Lines of a split are read one after the other, so a split's numbers begin at
+    the count of lines before it; only one row for each split is added up.
+    """
+    numbered = rows.withColumn("_line", F.monotonically_increasing_id())
+    splits = numbered.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("_lines"), F.min("_line").alias("_from"))
+    # in two steps, files and the splits of each, so that no task sums up more than the files or one file's splits
+    inside = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    files = splits.groupBy("file").agg(F.sum("_lines").alias("_sum"))
+    files = files.select("file", F.coalesce(F.sum("_sum").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_skip"))
+    starts = splits.withColumn("_before", F.coalesce(F.sum("_lines").over(inside), F.lit(0))).join(files, "file")
+    starts = starts.select(*PLACE, (F.col("_before") + F.col("_skip") - F.col("_from") + first).alias("_shift"))
+    return numbered.join(starts, list(PLACE)).withColumn("seq", F.col("_line") + F.col("_shift")).drop(*PLACE, "_line", "_shift")
+
+
+def _lines(reader, path: str) -> DataFrame:
+    lines = reader.text(path)
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
 def read_events(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Events of JSON-lines files, with ``seq`` increasing along each file and from split to split."""
-    lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
-    return parse_lines(lines, strict)
+    """Events of JSON-lines files with ``seq``, the order of arrival: by file name, then by line (blank lines count)."""
+    events = parse_lines(in_order(_lines(spark.read, path)), strict)
+    return events.withColumn("batch_no", F.lit(0).cast("bigint")).withColumn("received_at", F.lit(None).cast("timestamp_ntz"))
 
 
 def stream_events(spark: SparkSession, folder: str, files_per_batch: int = 8) -> DataFrame:
-    """The same as a stream of files that arrive in a folder."""
-    lines = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_batch).text(folder)
-    return parse_lines(lines.withColumn("received_at", F.current_timestamp()), strict=False)
+    """The same as a stream of files that arrive in a folder.
+
+    A stream cannot number its rows: they carry PLACE, and ``arrived`` numbers
+    them batch by batch.
+    """
+    lines = _lines(spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_batch), folder)
+    return parse_lines(lines, strict=False).withColumn("received_at", F.current_timestamp().cast("timestamp_ntz"))
+
+
+BATCH_ROWS = 1 << 40  # numbers kept for each micro-batch
+
+
+def arrived(batch: DataFrame, number: int) -> DataFrame:
+    """A micro-batch of ``stream_events`` with ``seq`` and ``batch_no``; the same again if the batch is run again."""
+    return in_order(batch, number * BATCH_ROWS).withColumn("batch_no", F.lit(number).cast("bigint"))
 
 
 def from_repository(records: DataFrame) -> DataFrame:
