@@ -136,10 +136,14 @@ def test_unify_keeps_every_value(spark):
         (5, "c", without("kind", sort="movie", more="m")),  # renamed and added
         (6, "c", None),
         (7, "c", "broken"),
+        (8, "c", '{"kind": "book", "n": 1, "x": 1, "n": 2, "x": null, "y": 1, "y": 3}'),  # of repeated keys the last
+        (9, "c", GOOD | {"x": ["🎮\\uD83C\\uDFAE", "é"], "y": "🎮"}),
     ]
     df, lexicon = run(spark, records)
     rows = {r.seq // 3: r for r in D.unify(df, lexicon, D.departures(df, lexicon)).collect()}
-    assert sorted(rows) == [0, 1, 2, 3, 4, 5, 7]
+    assert sorted(rows) == [0, 1, 2, 3, 4, 5, 7, 8, 9]
+    assert json.loads(rows[9].added) == {"x": '["🎮\\\\uD83C\\\\uDFAE","é"]', "y": "🎮"}
+    assert rows[8].f_n == "2" and json.loads(rows[8].added) == {"y": "3"}
     added = {i: json.loads(r.added or "{}") for i, r in rows.items()}
     assert added[0] == {"x": '[1,{"y":"z"}]', "empty": ""} and rows[0].f_kind == "book"
     assert rows[1].f_at == "2022-01-11T00:00:00Z" and added[1] == {"when": "2022-01-10T00:00:00Z"}

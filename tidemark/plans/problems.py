@@ -163,6 +163,32 @@ missing AS (
 )"""
 )
 
+# the names of lexicon_field (fixed values)
+_COLUMNS = (
+    "$type", "addedAt", "authors", "avatar", "backdropUrl", "containsSpoilers", "createdAt", "creativeWorkType", "crossPosts", "description", "displayName",
+    "facets", "genres", "hiveId", "identifiers", "isRevisit", "listType", "listUri", "mainCredit", "mainCreditRole", "name", "ordered", "posterUrl", "rating",
+    "releaseDate", "review", "stars", "status", "tags", "text", "title", "watchedEpisodes",
+)
+_UNIFIED = (
+    _FIELDS
+    + f""",
+texts AS (SELECT * FROM commits WHERE record IS NOT NULL),
+vals AS (
+  SELECT seq, key AS name, last(text ORDER BY id) AS text, max(id) AS id FROM (
+    SELECT t.seq, e.key, e.id, CASE e.type WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN json_extract_string(e.value, '$') ELSE CAST(e.value AS VARCHAR) END AS text
+    FROM texts t, json_each(t.record) e WHERE json_type(t.record) = 'OBJECT') GROUP BY seq, key
+),
+filled AS (SELECT * FROM vals WHERE text IS NOT NULL),
+taken AS (
+  SELECT t.seq, p.f, min(p.g) AS g FROM texts t JOIN pairs p ON p.batch_no = t.batch_no AND p.collection = t.collection JOIN filled v ON v.seq = t.seq AND v.name = p.g
+  WHERE NOT EXISTS (SELECT 1 FROM filled o WHERE o.seq = t.seq AND o.name = p.f) GROUP BY t.seq, p.f
+),
+columned AS (SELECT seq, name, text FROM filled UNION ALL SELECT k.seq, k.f, v.text FROM taken k JOIN filled v ON v.seq = k.seq AND v.name = k.g),
+wide AS (SELECT seq, {", ".join(f"max(text) FILTER (name = '{n}') AS f_{n.replace('$', '')}" for n in _COLUMNS)} FROM columned GROUP BY seq),
+more AS (SELECT seq, '{{' || string_agg(to_json(name) || ':' || to_json(text), ',' ORDER BY id) || '}}' AS added FROM filled f
+  WHERE name NOT IN ({", ".join(f"'{n}'" for n in _COLUMNS)}) AND NOT EXISTS (SELECT 1 FROM taken k WHERE k.seq = f.seq AND k.g = f.name) GROUP BY seq)"""
+)
+
 SQL: dict[str, str] = {
     "p1_found": f"WITH {_LIVE} SELECT at_uri, cid FROM live",
     "p2_found": f"WITH {_ORPHANS} SELECT src_table, src_key, target_uri FROM found",
@@ -190,6 +216,10 @@ UNION SELECT batch_no, collection, '', name FROM unlisted u
 UNION SELECT batch_no, collection, f, '' FROM missing m
   WHERE NOT EXISTS (SELECT 1 FROM pairs p JOIN fields x ON x.seq = m.seq AND x.name = p.g
                     WHERE p.batch_no = m.batch_no AND p.collection = m.collection AND p.f = m.f)""",
+    "p4_unified": f"""WITH {_UNIFIED}
+SELECT t.seq, batch_no, did, collection, rkey, {", ".join(f"f_{n.replace('$', '')}" for n in _COLUMNS)},
+  CASE WHEN json_type(t.record) = 'OBJECT' THEN coalesce(added, '{{}}') END AS added
+FROM texts t LEFT JOIN wide w ON w.seq = t.seq LEFT JOIN more m ON m.seq = t.seq""",
     "p5_found": f"""WITH {_COMMITS},
 lists AS (
   SELECT seq, child, CASE WHEN json_type(v) = 'VARCHAR' THEN json_array(v) ELSE v END AS v FROM (
