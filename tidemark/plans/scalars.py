@@ -15,7 +15,7 @@ from tidemark.operators import archive as A
 from tidemark.operators import pairing as P
 from tidemark.operators import works as W
 from tidemark.plans.problems import commit_rows, table
-from tidemark.plans.reference import _A, _C, _H, _WORDS, BASE, MARKER, MINT_SQL, NOW, works_sql, _shelf_sql, actors, archive, events, published
+from tidemark.plans.reference import _A, _C, _H, _PAIRS, _WORDS, BASE, MARKER, MINT_SQL, NOW, works_sql, _shelf_sql, actors, archive, events, published
 from tidemark.session import stage_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -322,11 +322,56 @@ def facet_render(spark, folder):
 # --- pairs and documents ------------------------------------------------------
 
 
-@query()
+# The ordered fold, one turn of every author at once. Rows of st: records by address, ! the turn of an author, # what was emitted.
+_FOLD = f"""
+ev AS (SELECT e.did, e.seq, 'at://' || e.did || '/' || e.collection || '/' || e.rkey AS uri, e.collection = 'social.popfeed.feed.review' AS is_review, e.operation,
+  m.minted_key AS work, CASE WHEN e.operation <> 'delete' AND e.collection = 'social.popfeed.feed.listItem' THEN
+    CASE WHEN base IS NOT NULL AND json_extract_string(e.record, '$.creativeWorkType') = 'tv_episode' THEN 'progress' ELSE base END END AS shelf,
+  row_number() OVER (PARTITION BY e.did ORDER BY e.seq) AS turn
+  FROM events_in e LEFT JOIN minted m ON m.seq = e.seq LEFT JOIN shelves ON lt = lower(coalesce(json_extract_string(e.record, '$.listType'), ''))
+  WHERE e.collection IN ('social.popfeed.feed.review', 'social.popfeed.feed.listItem')),
+st(k, did, turn, is_review, created, work, shelf, note, pending, deleted, seq, step, kind, anchor, source) USING KEY (k) AS (
+  SELECT DISTINCT '!' || did, did, 0::BIGINT, false, 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, false, false, false, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM ev
+  UNION
+  SELECT * FROM (
+    WITH now AS (SELECT e.* FROM ev e JOIN recurring.st c ON c.k = '!' || e.did AND e.turn = c.turn + 1),
+    have AS (SELECT s.* FROM recurring.st s JOIN now n ON n.did = s.did WHERE s.k LIKE 'at://%'),
+    met AS (SELECT n.*, h.k IS NOT NULL AS known, coalesce(h.note, false) AS r_note, coalesce(h.pending, false) AS r_pending, coalesce(h.deleted, false) AS r_deleted,
+      h.work AS r_work, h.shelf AS r_shelf, coalesce(h.created, n.seq) AS r_created FROM now n LEFT JOIN have h ON h.k = n.uri),
+    sorted AS (SELECT *, r_note AND NOT r_deleted AS had_note, r_pending AND NOT r_deleted AS was_pending, CASE WHEN NOT r_deleted THEN r_work END AS old,
+      CASE WHEN operation = 'delete' THEN CASE WHEN NOT known THEN 'unknown' WHEN r_note THEN 'gone' WHEN NOT r_deleted AND r_work IS NOT NULL AND (is_review OR r_shelf IS NOT NULL) THEN 'part' ELSE 'plain' END
+        WHEN work LIKE 'tv_episode:%' THEN 'episode' WHEN NOT is_review AND (work IS NULL OR shelf IS NULL) THEN 'silent' WHEN work IS NULL THEN 'alone' ELSE 'pair' END AS way FROM met),
+    moved AS (SELECT *, way = 'pair' AND had_note AND old IS DISTINCT FROM work AND EXISTS (SELECT 1 FROM have h WHERE h.did = sorted.did AND h.work = sorted.work AND NOT h.deleted
+        AND (h.is_review OR h.shelf IS NOT NULL) AND h.note AND h.k <> sorted.uri) AS leaves FROM sorted),
+    me AS (SELECT uri AS k, did, is_review, r_created AS created, CASE WHEN operation = 'delete' THEN r_work ELSE work END AS work, CASE WHEN operation = 'delete' THEN r_shelf ELSE shelf END AS shelf,
+      CASE WHEN operation = 'delete' THEN r_note WHEN way IN ('episode', 'silent') OR leaves THEN false WHEN way = 'alone' THEN true ELSE had_note END AS note,
+      CASE WHEN operation = 'delete' THEN r_pending WHEN way = 'silent' THEN false WHEN (way = 'episode' AND had_note) OR leaves THEN true ELSE was_pending END AS pending,
+      operation = 'delete' AS deleted FROM moved WHERE way <> 'unknown'),
+    cur AS (SELECT * FROM me UNION ALL SELECT h.k, h.did, h.is_review, h.created, h.work, h.shelf, h.note, h.pending, h.deleted FROM have h WHERE h.k NOT IN (SELECT uri FROM now)),
+    said AS (SELECT did, seq, CASE WHEN way = 'alone' THEN operation ELSE 'delete' END AS kind, uri AS anchor, CASE WHEN way = 'alone' THEN uri END AS source
+      FROM moved WHERE way IN ('unknown', 'gone', 'alone') OR (way = 'episode' AND had_note) OR leaves),
+    asked AS (SELECT did, seq, work, uri AS trigger, 1 AS place FROM moved WHERE way = 'pair' UNION ALL SELECT did, seq, r_work, uri, 1 FROM moved WHERE way = 'part'
+      UNION ALL SELECT did, seq, old, NULL, 2 FROM moved WHERE way IN ('pair', 'episode') AND old IS NOT NULL AND old IS DISTINCT FROM work),
+    summed AS (SELECT a.did, a.seq, a.work, a.place, coalesce(a.trigger, arg_min(c.k, c.created)) AS trigger, arg_max(c.k, c.created) FILTER (c.is_review) AS review, arg_max(c.k, c.created) FILTER (NOT c.is_review) AS item,
+      arg_max(c.shelf, c.created) FILTER (NOT c.is_review) AS shelf, arg_max(c.k, c.created) FILTER (c.note) AS holder
+      FROM asked a JOIN cur c ON c.did = a.did AND c.work = a.work AND NOT c.deleted AND (c.is_review OR c.shelf IS NOT NULL) WHERE a.work NOT LIKE 'tv_episode:%' GROUP BY a.did, a.seq, a.work, a.place, a.trigger),
+    derived AS (SELECT s.*, CASE WHEN holder IS NULL THEN 'create' ELSE 'update' END AS kind, coalesce(holder, CASE WHEN NOT t.pending THEN trigger WHEN NOT r.pending THEN review WHEN NOT i.pending THEN item ELSE trigger END) AS anchor
+      FROM summed s LEFT JOIN cur t ON t.k = trigger LEFT JOIN cur r ON r.k = review LEFT JOIN cur i ON i.k = item),
+    out AS (SELECT did, seq, 0 AS place, kind, anchor, source, NULL AS shelf, NULL AS work FROM said
+      UNION ALL SELECT did, seq, place, kind, anchor, coalesce(review, item), shelf, work FROM derived)
+    SELECT '!' || did, did, turn, false, 0, NULL, NULL, false, false, false, NULL, NULL, NULL, NULL, NULL FROM now
+    UNION ALL SELECT c.k, c.did, 0, c.is_review, c.created, c.work, c.shelf, c.note OR c.k IN (SELECT anchor FROM derived), c.pending AND c.k NOT IN (SELECT anchor FROM derived), c.deleted, NULL, NULL, NULL, NULL, NULL
+      FROM cur c WHERE c.k IN (SELECT uri FROM now) OR c.k IN (SELECT anchor FROM derived)
+    UNION ALL SELECT '#' || seq || '#' || row_number() OVER (PARTITION BY seq ORDER BY place), did, 0, false, 0, work, shelf, false, false, false, seq, row_number() OVER (PARTITION BY seq ORDER BY place) - 1, kind, anchor, source FROM out)
+)"""
+
+
+@query(f"WITH RECURSIVE {_PAIRS}, {_FOLD} SELECT did, seq, step, kind, anchor, source, shelf, work AS work_key FROM st WHERE k LIKE '#%'")
 def pair_activities(spark, folder):
-    """Every activity that reviews and list items cause; ordered fold, tested by scenarios."""
+    """Every activity that reviews and list items cause."""
     rows = R.with_work(R.fields(events(spark, folder).where(F.col("collection").isin(R.REVIEW, R.LIST_ITEM))))
-    return P.activities(rows, W.mint(rows.where(F.col("operation") != "delete")))
+    made = P.activities(rows, W.mint(rows.where(F.col("operation") != "delete")))
+    return made.withColumn("step", F.col("step").cast("bigint"))
 
 
 def notes_of(spark, folder):
