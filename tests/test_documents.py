@@ -49,3 +49,15 @@ def test_activities(spark):
     assert (rows["create"]["id"], rows["create"]["type"]) == ("https://b/1#create", "Create")
     assert rows["update"]["id"] == "https://b/1#updates/1000000"
     assert rows["delete"]["tombstone"] == {"id": "https://b/1", "type": "Tombstone", "formerType": "Note"} and "note" not in rows["delete"]
+
+
+def test_post_page(spark):
+    rows = [(R.REVIEW, {"title": "A", "text": "so <good>", "tags": ["x", "y"], "creativeWorkType": "movie", "identifiers": {"imdbId": "tt1"}, "posterUrl": "https://p"}, "create", None, None), (R.REVIEW, {"text": "", "containsSpoilers": True}, "create", None, None)]
+    data = [("did:a", c, f"k{i}", json.dumps(r), 5, op, label, shelf, "ann.test") for i, (c, r, op, label, shelf) in enumerate(rows)]
+    df = R.with_work(R.fields(spark.createDataFrame(data, SCHEMA))).withColumn("text_html", F.concat(F.lit('<a href="javascript:x">'), F.coalesce("doc.text", F.lit("")), F.lit("</a>")))
+    made = df.withColumn("n", D.note("https://b", F.lit("2022-01-01T00:00:00Z"), "~neodb~")).select("rkey", D.post_page(F.col("n"), F.col("handle")).alias("p"), D.shown_json(F.struct("rkey")).alias("j")).orderBy("rkey").collect()
+    a, b = made[0].p, made[1].p
+    assert a.hashtags == ["#x", "#y", "#movie"] and (a.work.type, a.work.image) == ("Movie", "https://p") and "javascript" not in a.content
+    assert a.og_title == "Post by @ann.test" and a.url == "https://b/users/ann.test/posts/k0" and "<" not in a.description
+    assert b.description == "Spoilers: a work" and b.work is None and b.hashtags == []
+    assert made[0].j == '{\n  "rkey" : "k0"\n}'

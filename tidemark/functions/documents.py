@@ -188,6 +188,39 @@ def person(handle: Column, name: Column, avatar: Column, base: str) -> Column:
     )
 
 
+def person_update(handle: Column, name: Column, avatar: Column, time_us: Column, base: str) -> Column:
+    """The Update that tells an account's followers about its new profile."""
+    own = actor_url(handle, base)
+    return F.struct(
+        F.concat(own, F.lit("#updates/"), time_us.cast("string")).alias("id"),
+        F.lit("Update").alias("type"),
+        own.alias("actor"),
+        F.array(F.lit(PUBLIC)).alias("to"),
+        F.array(F.concat(own, F.lit("/followers"))).alias("cc"),
+        person(handle, name, avatar, base).alias("object"),
+    )
+
+
+def post_page(made: Column, handle: Column) -> Column:
+    """What the page of a post shows: the first tag that leads to a work, the names of the others, cleaned content."""
+    none = F.array().cast("array<struct<type:string,href:string,name:string,image:string>>")
+    tags, content = F.coalesce(made["tag"], none), T.scrub_links(F.coalesce(made["content"], F.lit("")))
+    is_hashtag = lambda t: F.coalesce(t["type"] == "Hashtag", F.lit(False))
+    return F.struct(
+        F.concat(F.lit("Post by @"), handle).alias("og_title"),
+        content.alias("content"),
+        T.description(content, F.coalesce(made["sensitive"], F.lit(False)), made["summary"]).alias("description"),
+        F.transform(F.filter(tags, is_hashtag), lambda t: F.coalesce(t["name"], F.lit(""))).alias("hashtags"),
+        F.get(F.filter(tags, lambda t: ~is_hashtag(t) & F.nullif(t["href"], F.lit("")).isNotNull()), F.lit(0)).alias("work"),
+        made["id"].alias("url"),
+    )
+
+
+def shown_json(value: Column) -> Column:
+    """JSON for the reader's eye, two blanks an indent."""
+    return F.to_json(value, {"pretty": "true"})
+
+
 def discovery(handle: Column, host: str, base: str) -> Column:
     """The discovery document of an account."""
     return F.struct(

@@ -147,3 +147,13 @@ def actor_lookup(idents: DataFrame, authors: DataFrame) -> DataFrame:
     by_handle = least.where(~F.startswith("handle", F.lit("did:"))).select(F.col("handle").alias("ident"), "a.did", "a.opted_out")
     shown = F.when(F.col("did").isNull(), "none").when(F.col("opted_out"), "gone").otherwise("found")
     return idents.join(by_did.unionByName(by_handle), "ident", "left").select("ident", "did", shown.alias("shown"))
+
+
+def with_forms(archive: DataFrame, activities: DataFrame) -> DataFrame:
+    """``archive`` with ``form`` and ``form_seq``, kind and arrival of the last activity that each record carries.
+
+    Only these two columns are replaced where a record is written again; the
+    others keep what the record's own events say.
+    """
+    last = activities.groupBy(F.col("anchor").alias("at_uri")).agg(F.max(F.struct("seq", "step", "kind")).alias("f"))
+    return archive.join(last, "at_uri", "left").withColumn("form", F.col("f.kind")).withColumn("form_seq", F.col("f.seq")).drop("f")
