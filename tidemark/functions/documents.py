@@ -120,7 +120,7 @@ def note(base: str, clock: Column, marker: str) -> Column:
     published = published_at(doc["createdAt"], doc["addedAt"], R.json_kind(value, "$.createdAt"), c("time_us"), clock)
     updated = F.when(c("operation") != "create", clock)
     spoilers = is_review & F.coalesce(F.try_variant_get(value, "$.containsSpoilers", "boolean"), F.lit(False))
-    own_tags = F.when(is_review, F.transform(F.from_json(doc["tags"], "array<string>"), lambda t: hashtag(t)))
+    own_tags = F.when(is_review, F.transform(F.from_json(doc["tags"], "array<string>"), lambda t: hashtag(T.plain_json(t))))
     tags = F.concat(
         F.coalesce(own_tags, F.array().cast("array<struct<type:string,href:string,name:string,image:string>>")),
         F.array_compact(

@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tidemark.functions.text import plain_json
 from tidemark.operators.jsontree import parse, type_name
 from tidemark.session import ship, stage_table
 
@@ -508,17 +509,6 @@ def nested_departures(rows: DataFrame) -> DataFrame:
 # --- one consistent table -----------------------------------------------------
 
 
-_PAIR = r"(?<!\\)\\uD[89AB][0-9A-F]{2}\\uD[C-F][0-9A-F]{2}"
-
-
-def _plain_text(value: Column) -> Column:
-    """JSON of an array or object with the characters that Spark's parser writes as two escapes as themselves."""
-    pieces = F.split(value, f"(?={_PAIR})")
-    decode = lambda p: F.decode(F.unhex(F.concat(F.substr(p, F.lit(3), F.lit(4)), F.substr(p, F.lit(9), F.lit(4)))), "UTF-16BE")
-    joined = F.transform(pieces, lambda p: F.when(F.rlike(p, F.lit(f"^{_PAIR}")), F.concat(decode(p), F.substr(p, F.lit(13)))).otherwise(p))
-    return F.when(F.rlike(value, F.lit(r"^[\[{]")), F.array_join(joined, "")).otherwise(value)
-
-
 def unify(rows: DataFrame, lexicon: DataFrame, found: DataFrame) -> DataFrame:
     """All records of all collections with the published fields as columns, renamed fields put back in their place.
 
@@ -544,7 +534,7 @@ def unify(rows: DataFrame, lexicon: DataFrame, found: DataFrame) -> DataFrame:
     last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(F.map_keys("doc"), i + 2, F.size("doc")), e["key"]))
     doc = doc.withColumn("doc", F.when(F.size(F.array_distinct(keys)) < F.size(keys), F.map_from_entries(last)).otherwise(F.col("doc")))
     beyond = F.rlike("record", F.lit(r"[\x{10000}-\x{10FFFF}]|\\u[dD][89abAB]"))
-    doc = doc.withColumn("doc", F.when(beyond, F.transform_values("doc", lambda _, v: _plain_text(v))).otherwise(F.col("doc"))).drop("record")
+    doc = doc.withColumn("doc", F.when(beyond, F.transform_values("doc", lambda _, v: plain_json(v))).otherwise(F.col("doc"))).drop("record")
     joined = doc.join(scripts, ["batch_no", "collection"], "left")
     # the renames that the record needs and has a value for, then the first of each published field; sorted by it
     value = F.col("doc")

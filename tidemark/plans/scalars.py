@@ -15,7 +15,7 @@ from tidemark.operators import archive as A
 from tidemark.operators import pairing as P
 from tidemark.operators import works as W
 from tidemark.plans.problems import commit_rows, table
-from tidemark.plans.reference import _A, _C, _H, _PAIRS, _WORDS, BASE, MARKER, MINT_SQL, NOW, works_sql, _shelf_sql, actors, archive, events, published
+from tidemark.plans.reference import _A, _C, _H, _P, _PAIRS, _WORDS, BASE, MARKER, MINT_SQL, NOW, works_sql, _shelf_sql, actors, archive, events, published
 from tidemark.session import stage_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -296,14 +296,18 @@ def work_components(spark, folder):
 _EPISODE = r"'^(.+?)\s+-\s+S(\d+)E\d+\b'"
 
 
-@query(
-    f"""WITH RECURSIVE {_ALL_WORKS}, {MINT_SQL},
+_TITLED = f"""
 titled AS (SELECT seq, title, work_type, CASE WHEN NOT is_book THEN poster_url END AS poster, regexp_matches(title, {_EPISODE}) AS episodic, regexp_extract(title, {_EPISODE}, 1) AS series_title,
   regexp_extract(title, {_EPISODE}, 2) AS number, trim(coalesce(season, '')) AS given FROM works),
 called AS (SELECT seq, poster, CASE WHEN title IS NULL OR title = '' THEN title WHEN work_type = 'tv_show' THEN CASE WHEN episodic THEN series_title ELSE title END
   WHEN work_type = 'tv_season' THEN CASE WHEN episodic THEN series_title || ' - Season ' || CAST(CAST(CASE WHEN regexp_full_match(given, '\\d+') THEN given ELSE number END AS HUGEINT) AS VARCHAR)
     WHEN regexp_matches(title, '(?i)\\bSeason\\s+\\d+\\b') THEN title WHEN regexp_full_match(given, '\\d+') THEN title || ' - Season ' || CAST(CAST(given AS HUGEINT) AS VARCHAR) ELSE title END
-  ELSE title END AS title FROM titled)
+  ELSE title END AS title FROM titled)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_ALL_WORKS}, {MINT_SQL},
+{_TITLED}
 SELECT minted_key AS work_key, arg_min(title, seq) FILTER (title <> '') AS title, arg_min(poster, seq) FILTER (poster <> '') AS poster, count(*) AS records, min(seq) AS first_seq
 FROM called JOIN minted USING (seq) GROUP BY 1"""
 )
@@ -312,9 +316,28 @@ def work_titles(spark, folder):
     return W.catalog(rows, W.mint(rows))
 
 
-@query()
+def _rendered_sql(source: str) -> str:
+    """``rendered`` (at_uri, text_html): rich text by byte ranges, one facet a turn, of a table (at_uri, record)."""
+    part = lambda low, high: f"coalesce(decode(unhex(substr(hexed, (2 * ({low}) + 1)::BIGINT, (2 * greatest(({high}) - ({low}), 0))::BIGINT)), 'ignore'), '')"
+    return f"""
+rich AS (SELECT at_uri, hex(encode(coalesce(json_extract_string(record, '$.text'), ''))) AS hexed, CASE WHEN json_type(record, '$.facets') = 'ARRAY' THEN json_extract(record, '$.facets') END AS facets FROM {source}),
+single AS (SELECT at_uri, i, json_extract(facets, '$[' || (i - 1) || ']') AS f FROM rich, unnest(range(1, CAST(json_array_length(facets) AS BIGINT) + 1)) r(i)),
+spans AS (SELECT at_uri, i, try_cast(json_extract_string(f, '$.index.byteStart') AS BIGINT) AS low, try_cast(json_extract_string(f, '$.index.byteEnd') AS BIGINT) AS high,
+  list_filter(list_transform(CASE WHEN json_type(f, '$.features') = 'ARRAY' THEN json_extract(f, '$.features[*]') ELSE [] END, lambda x: CASE WHEN json_extract_string(x, '$."$type"') LIKE '%#link' THEN nullif(json_extract_string(x, '$.uri'), '') END), lambda u: u IS NOT NULL)[1] AS uri
+  FROM single WHERE json_type(f) = 'OBJECT'),
+turns_of AS (SELECT *, row_number() OVER (PARTITION BY at_uri ORDER BY coalesce(low, 0), i) AS turn FROM spans),
+walk(at_uri, turn, till, html) AS (
+  SELECT at_uri, 0::BIGINT, 0::BIGINT, '' FROM rich
+  UNION ALL
+  SELECT w.at_uri, t.turn, CASE WHEN low IS NULL OR high IS NULL OR low < till THEN till ELSE high END, CASE WHEN low IS NULL OR high IS NULL OR low < till THEN html ELSE html || {_escape_sql(part("till", "low"))} ||
+    CASE WHEN uri LIKE 'http://%' OR uri LIKE 'https://%' THEN '<a href="' || {_escape_sql("uri")} || '" rel="nofollow noopener">' || {_escape_sql(part("low", "high"))} || '</a>' ELSE {_escape_sql(part("low", "high"))} END END
+  FROM walk w JOIN turns_of t ON t.at_uri = w.at_uri AND t.turn = w.turn + 1 JOIN rich r ON r.at_uri = w.at_uri),
+rendered AS (SELECT r.at_uri, '<p>' || arg_max(html, turn) || {_escape_sql(part("arg_max(till, turn)", "length(hexed) // 2"))} || '</p>' AS text_html FROM walk w JOIN rich r ON r.at_uri = w.at_uri GROUP BY r.at_uri, hexed)"""
+
+
+@query(f"WITH RECURSIVE {_A}, reviews AS (SELECT * FROM archive WHERE collection = 'social.popfeed.feed.review'), {_rendered_sql('reviews')} SELECT at_uri, text_html AS made FROM rendered")
 def facet_render(spark, folder):
-    """Rich text of reviews as HTML; byte offsets, tested against examples."""
+    """Rich text of reviews as HTML, by byte offsets."""
     rows = R.fields(archive(spark, folder).where(F.col("collection") == R.REVIEW))
     return rows.select("at_uri", T.render_facets(F.coalesce(F.col("doc.text"), F.lit("")), F.col("doc.facets")).alias("made"))
 
@@ -384,7 +407,81 @@ def notes_of(spark, folder):
     return live.withColumn("text_html", T.render_facets(F.coalesce(F.col("doc.text"), F.lit("")), F.col("doc.facets")))
 
 
-@query()
+_CLOCK = f"'{NOW}'"
+_PARA_SQL = """array_to_string(list_transform(list_filter(
+  regexp_split_to_array(regexp_replace({0}, '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g'), '\\n{{2,}}'),
+  lambda p: trim(regexp_replace(p, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) <> ''),
+  lambda p: '<p>' || replace({1}, chr(10), '<br/>') || '</p>'), '')"""
+_ACTOR = f"'{BASE}/users/' || handle"
+
+
+def _json_sql(*members: tuple[str, str]) -> str:
+    """A JSON object of (name, JSON text or null); null members are left out."""
+    return "'{' || array_to_string(list_filter([" + ", ".join(f"'\"{n}\":' || {v}" for n, v in members) + "], lambda m: m IS NOT NULL), ',') || '}'"
+
+
+def _text_sql(value: str) -> str:
+    return f"to_json({value})::VARCHAR"
+
+
+def _facet_sql(kind: str, *extra: tuple[str, str]) -> str:
+    own = f"note_id || '#{kind.lower()}'"
+    return _json_sql(
+        ("id", _text_sql(own)), ("type", f"'\"{kind}\"'"), ("withRegardTo", _text_sql("work_url")), ("attributedTo", _text_sql("actor")), ("href", _text_sql(own)),
+        ("published", _text_sql("published")), ("updated", _text_sql("coalesce(updated, published)")), *extra,
+    )
+
+
+_NOTES = f"""
+live AS (SELECT p.*, handle FROM posts p JOIN actors a ON a.did = p.did WHERE is_published AND NOT deleted),
+source AS (SELECT updated_seq AS seq, did, collection, rkey, op AS operation, record FROM live),
+{works_sql("source")},
+{_rendered_sql("live")},
+{_TITLED},
+told AS (SELECT l.at_uri, l.op, l.collection = 'buzz.bookhive.book' AS is_book, l.collection = 'social.popfeed.feed.review' AS is_review, w.work_type, w.work_key,
+  {_ACTOR} AS actor, {_ACTOR} || '/posts/' || l.rkey AS note_id, '{BASE}/catalog/' || split_part(w.work_key, ':', 1) || '/' || substr(w.work_key, length(split_part(w.work_key, ':', 1)) + 2) AS work_url,
+  substr(w.work_key, length(split_part(w.work_key, ':', 1)) + 2) AS work_name, nullif(c.title, '') AS work_title, nullif(c.poster, '') AS poster, nullif(w.title, '') AS own_title, text_html, l.record, l.updated_at,
+  CASE WHEN l.collection = 'buzz.bookhive.book' THEN CASE WHEN json_type(l.record, '$.stars') IN ('BIGINT', 'UBIGINT') THEN CAST(json_extract_string(l.record, '$.stars') AS DOUBLE) END
+    WHEN l.collection = 'social.popfeed.feed.review' THEN CASE WHEN json_type(l.record, '$.rating') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(json_extract_string(l.record, '$.rating') AS DOUBLE) END END AS rating,
+  nullif(CASE WHEN l.collection = 'buzz.bookhive.book' THEN CASE WHEN json_type(l.record, '$.review') = 'VARCHAR' THEN json_extract_string(l.record, '$.review') END
+    WHEN l.collection = 'social.popfeed.feed.review' THEN json_extract_string(l.record, '$.text') END, '') AS body,
+  CASE WHEN l.collection = 'buzz.bookhive.book' THEN CASE lower(split_part(json_extract_string(l.record, '$.status'), '#', -1)) WHEN 'wanttoread' THEN 'wishlist' WHEN 'reading' THEN 'progress'
+    WHEN 'finished' THEN 'complete' WHEN 'abandoned' THEN 'dropped' END ELSE l.shelf END AS shelf,
+  (SELECT nullif(trim(coalesce(nullif(json_extract_string(x.record, '$.name'), ''), json_extract_string(x.record, '$.description'))), '') FROM archive x
+    WHERE x.at_uri = json_extract_string(l.record, '$.listUri') AND x.collection = 'social.popfeed.feed.list') AS label,
+  json_type(l.record, '$.createdAt') AS created_kind, json_extract_string(l.record, '$.createdAt') AS created, nullif(json_extract_string(l.record, '$.addedAt'), '') AS added,
+  l.collection = 'social.popfeed.feed.review' AND coalesce(try_cast(json_extract_string(l.record, '$.containsSpoilers') AS BOOLEAN), false) AS spoilers
+  FROM live l JOIN works w ON w.seq = l.updated_seq JOIN called c ON c.seq = l.updated_seq JOIN rendered r ON r.at_uri = l.at_uri),
+dated AS (SELECT *, coalesce(work_title, own_title, CASE WHEN is_book THEN 'a book' ELSE 'a work' END) AS title,
+  coalesce(CASE WHEN nullif(created, '') IS NOT NULL AND NOT (created_kind = 'OBJECT' AND created = '{{}}') THEN CASE WHEN created_kind = 'VARCHAR' THEN created END ELSE added END,
+    strftime(updated_at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(updated_at) % 1000000 > 0 THEN '.' || lpad((epoch_us(updated_at) % 1000000)::VARCHAR, 6, '0') ELSE '' END || '+00:00', {_CLOCK}) AS published,
+  CASE WHEN op <> 'create' THEN {_CLOCK} END AS updated,
+  CASE WHEN body IS NULL THEN '' WHEN is_book THEN {_PARA_SQL.format("body", _escape_sql("p"))} ELSE text_html END AS body_html FROM told),
+worded AS (SELECT *, '<p>' || CASE WHEN rating IS NOT NULL THEN 'Rated' WHEN is_review OR body IS NOT NULL THEN 'Reviewed' WHEN is_book AND shelf IS NOT NULL THEN {_case(D.BOOK_LEAD, 'shelf')} ELSE 'Added' END || ' ' ||
+  coalesce('<a href="' || {_escape_sql(f"regexp_replace(work_url, '^([^:/]+://[^/]*)', '\\1/{MARKER}')")} || '">' || {_escape_sql("title")} || '</a>', '<strong>' || {_escape_sql("title")} || '</strong>') ||
+  CASE WHEN is_book OR is_review THEN CASE WHEN rating IS NOT NULL THEN ' ' || regexp_replace(rating::VARCHAR, '\\.0$', '') || '/{D.BEST}' ELSE '' END
+    ELSE coalesce(' to <strong>' || {_escape_sql("label")} || '</strong>', ' to a list') END || '</p>' AS lead FROM dated),
+tagged AS (SELECT *,
+  list_concat(CASE WHEN is_review AND json_type(record, '$.tags') = 'ARRAY' THEN list_transform(json_extract(record, '$.tags[*]'), lambda t: CASE WHEN json_type(t) = 'NULL' THEN '{{"type":"Hashtag"}}'
+      ELSE '{{"type":"Hashtag","name":' || {_text_sql("('#' || json_extract_string(t, '$'))")} || '}}' END) ELSE [] END,
+    CASE WHEN work_key IS NOT NULL THEN [{_json_sql(("type", _text_sql(f"coalesce({_case(R.ITEM_TYPE, 'work_type')}, 'Link')")), ("href", _text_sql("work_url")), ("name", _text_sql("coalesce(work_title, work_name)")), ("image", _text_sql("poster")))},
+      '{{"type":"Hashtag","name":' || {_text_sql(f"('#' || coalesce({_case(R.CATEGORY, 'work_type')}, 'item'))")} || '}}'] ELSE [] END) AS tags,
+  list_filter(CASE WHEN work_key IS NOT NULL THEN [
+    CASE WHEN rating IS NOT NULL THEN {_facet_sql("Rating", ("value", _text_sql("rating")), ("best", f"'{D.BEST}'"), ("worst", f"'{D.WORST}'"))} END,
+    CASE WHEN body IS NOT NULL THEN {_facet_sql("Comment", ("content", _text_sql("body_html")))} END,
+    CASE WHEN shelf IS NOT NULL THEN {_facet_sql("Status", ("status", _text_sql("shelf")))} END] ELSE [] END, lambda f: f IS NOT NULL) AS related FROM worded)"""
+_NOTE_SQL = _json_sql(
+    ("id", _text_sql("note_id")), ("type", "'\"Note\"'"), ("attributedTo", _text_sql("actor")), ("published", _text_sql("published")), ("to", f"'[\"{D.PUBLIC}\"]'"),
+    ("cc", "'[' || " + _text_sql("(actor || '/followers')") + " || ']'"), ("url", _text_sql("note_id")), ("content", _text_sql("(lead || body_html)")), ("updated", _text_sql("updated")),
+    ("sensitive", "CASE WHEN spoilers THEN 'true' END"), ("summary", "CASE WHEN spoilers THEN " + _text_sql("('Spoilers: ' || title)") + " END"),
+    ("tag", "CASE WHEN len(tags) > 0 THEN '[' || array_to_string(tags, ',') || ']' END"), ("relatedWith", "CASE WHEN len(related) > 0 THEN '[' || array_to_string(related, ',') || ']' END"),
+)
+
+
+@query(
+    f"""WITH RECURSIVE {_P}, {_H}, {_NOTES} SELECT at_uri, {_NOTE_SQL} AS note, note_id || CASE WHEN op = 'create' THEN '#create' ELSE '#updates/' || epoch_us(TIMESTAMP {_CLOCK}) END AS activity_id,
+  CASE WHEN op = 'create' THEN 'Create' ELSE 'Update' END AS activity FROM tagged"""
+)
 def note_documents(spark, folder):
     """The note of each published record as JSON, and the activity around it."""
     clock = F.lit(NOW)
