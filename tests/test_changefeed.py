@@ -1,5 +1,6 @@
 import itertools
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -72,3 +73,23 @@ def test_batches_in_any_order_give_one_table(spark, tmp_path):
             table.apply(versioned(batch, RECORD, commit_rank(), F.col("operation") == "delete", F.col("cid")))
         results.append({(f"at://{r.did}/{r.collection}/{r.rkey}", r.payload) for r in table.live().collect()})
     assert all(r == expected(ROWS) for r in results)
+
+
+def test_a_batch_writes_its_buckets_only(spark, tmp_path):
+    table = ChangeTable(spark, f"file://{tmp_path}/t", RECORD, buckets=16)
+    apply = lambda rows: table.apply(versioned(commits(frame(spark, rows)), RECORD, commit_rank(), F.col("operation") == "delete", F.col("cid")))
+    with pytest.raises(LookupError):
+        table.live()
+    apply([])
+    assert table.version() == 1 and table.state() is None
+    apply([(i, "did:a", "1", "create", "c", f"k{i}", None, "x") for i in range(60)])
+    before = table._versions()
+    assert 8 < len(before) <= 16 and set(map(tuple, before.values())) == {(2,)}
+    apply([(60, "did:a", "2", "delete", "c", "k7", None, None)])
+    after = table._versions()
+    assert sum(v[-1] == 3 for v in after.values()) == 1 and sum(v[-1] == 2 for v in after.values()) == len(before) - 1
+    assert table.live().count() == 59 and table.state().count() == 60
+    apply([])
+    apply([(61, "did:a", "3", "update", "c", "k7", None, "y")])
+    # of the changed bucket the version before last is gone
+    assert max(map(len, table._versions().values())) <= 2 and table.live().count() == 60

@@ -15,12 +15,12 @@ gives an empty state; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import hadoop_fs
+from tidemark.session import hadoop_fs, stage_table
 
 VERSION = "version"
 
@@ -94,35 +94,61 @@ def live_records(rows: DataFrame) -> DataFrame:
 
 
 class ChangeTable:
-    """A table kept on disk as state snapshots, for change feeds that come in batches.
-
-    Each ``apply`` folds a batch into the current snapshot, writes the next one
-    and then swaps the pointer file, so a failed or repeated batch leaves a
-    readable table and the result depends on the set of changes alone.
+    """A table kept on disk for change feeds that come in batches.
+
+    Keys are hashed into ``buckets``; a version holds the buckets that its batch
+    has touched, and the state is the last version of each bucket, so a batch
+    reads and writes no more than its buckets. A version counts once its commit
+    file exists: a failed or repeated batch leaves a readable table, and the
+    result depends on the set of changes alone. The number of buckets belongs to
+    the table; choose it so that one bucket is a task's work.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: Sequence[str]):
-        self.spark, self.path, self.key = spark, path.rstrip("/"), tuple(key)
+    def __init__(self, spark: SparkSession, path: str, key: Sequence[str], buckets: int = 64):
+        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), tuple(key), buckets
+
+    def _listed(self, folder: str) -> list[str]:
+        fs, at = hadoop_fs(self.spark, f"{self.path}/{folder}")
+        return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
 
     def version(self) -> int:
-        fs, folder = hadoop_fs(self.spark, f"{self.path}/commits")
-        if not fs.exists(folder):
-            return 0
-        return max((int(x.getPath().getName()) for x in fs.listStatus(folder)), default=0)
+        return max(map(int, self._listed("commits")), default=0)
+
+    def _versions(self) -> dict[str, list[int]]:
+        """Committed versions of each bucket, by its folder's name, in order."""
+        now, found = self.version(), {}
+        for v in sorted(v for v in map(int, self._listed("state")) if v <= now):
+            for name in self._listed(f"state/{v}"):
+                if name.startswith("bucket="):
+                    found.setdefault(name, []).append(v)
+        return found
+
+    def _read(self, names: Iterable[str]) -> DataFrame | None:
+        versions = self._versions()
+        paths = [f"{self.path}/state/{versions[n][-1]}/{n}" for n in names if n in versions]
+        return self.spark.read.parquet(*paths) if paths else None
 
     def state(self) -> DataFrame | None:
-        now = self.version()
-        return self.spark.read.parquet(f"{self.path}/state/{now}") if now else None
+        return self._read(self._versions())
 
     def apply(self, changes: DataFrame) -> int:
         """Fold a batch (a result of ``versioned``) in; returns the new version."""
         now = self.version()
-        fold(changes, self.key, self.state()).write.mode("overwrite").parquet(f"{self.path}/state/{now + 1}")
-        fs, mark = hadoop_fs(self.spark, f"{self.path}/commits/{now + 1}")
-        if not fs.createNewFile(mark):
+        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).alias("bucket")
+        batch = stage_table(changes.select(*changes.columns, bucket), "changes")
+        touched = [f"bucket={r['bucket']}" for r in batch.select("bucket").distinct().collect()]  # at most as many as buckets
+        fs, left = hadoop_fs(self.spark, f"{self.path}/state/{now + 1}")
+        fs.delete(left, True)  # what a failed batch may have left
+        if touched:
+            after = fold(batch.drop("bucket"), self.key, self._read(touched)).select("*", bucket)
+            # partitions of even size, of few buckets each
+            after.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/state/{now + 1}")
+        if not fs.createNewFile(hadoop_fs(self.spark, f"{self.path}/commits/{now + 1}")[1]):
             raise RuntimeError(f"version {now + 1} of {self.path} was committed by another writer")
-        if now > 1:  # readers of the version before may still be running
-            fs.delete(hadoop_fs(self.spark, f"{self.path}/state/{now - 1}")[1], True)
+        for name, versions in self._versions().items():
+            # readers of the version before may still be running
+            for v in [v for v in versions if v <= now][:-1]:
+                fs.delete(hadoop_fs(self.spark, f"{self.path}/state/{v}/{name}")[1], True)
         return now + 1
 
     def live(self) -> DataFrame:
