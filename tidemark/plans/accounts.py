@@ -144,7 +144,7 @@ _ADDRESS = f"""given AS (SELECT id, record_uri, target_inbox, split_part(record_
 @query(
     f"""WITH {_ADDRESS} SELECT id, CASE id % 5 WHEN 0 THEN name WHEN 1 THEN name WHEN 3 THEN name WHEN 4 THEN CASE WHEN resource LIKE 'http%' THEN nullif(name, '') END END AS account,
   CASE WHEN id % 5 = 3 THEN name END AS local, '/' || ltrim(CASE WHEN id % 2 = 0 THEN '//' ELSE '\\' END || target_inbox, '/\\') AS redirect,
-  [split_part(target_inbox, '/', 3), name] AS words, url_encode(record_uri) AS encoded, url_decode(url_encode(record_uri)) = record_uri AS round_trip,
+  split_part(target_inbox, '/', 3) || '|' || name AS words, url_encode(record_uri) AS encoded, url_decode(url_encode(record_uri)) = record_uri AS round_trip,
   '<a href="' || regexp_replace(target_inbox, '^([^:/]+://[^/]*)', '\\1/{MARKER}') || '">' || activity_type || '</a>' AS link, CAST(created_at AS DATE)::VARCHAR AS day, strftime(created_at, '%H:%M:%S') AS clock
 FROM given JOIN (SELECT id AS i, activity_type, created_at FROM delivery_log) ON i = id"""
 )
@@ -162,7 +162,7 @@ def address_functions(spark, folder):
         T.account_name(resource, "bridge.example").alias("account"),
         T.local_handle(resource, BASE).alias("local"),
         T.redirect_target(path).alias("redirect"),
-        T.words_of_list(F.concat(host, F.lit(", "), name, F.lit("  "), host)).alias("words"),
+        F.array_join(T.words_of_list(F.concat(host, F.lit(", "), name, F.lit("  "), host)), "|").alias("words"),
         # blanks are %20 here, and + where forms are meant
         F.replace(F.url_encode("record_uri"), F.lit("+"), F.lit("%20")).alias("encoded"),
         (F.url_decode(F.url_encode("record_uri")) == F.col("record_uri")).alias("round_trip"),
