@@ -79,8 +79,7 @@ def test_malformed_line(spark, folder):
 
 
 def test_data_source(spark, folder):
-    spark.dataSource.register(E.CommitLog)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    E.register(spark)
     rows = spark.read.format("commitlog").option("path", f"{folder}/in").load()
     assert rows.count() == 3
     assert [r.rkey for r in rows.where("collection = 'd'").collect()] == ["l"]

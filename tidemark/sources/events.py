@@ -127,15 +127,15 @@ class CommitLogReader(DataSourceReader):
                 record = commit.get("record")
                 yield (
                     event.get("did"), event.get("time_us"), commit.get("rev"), commit.get("operation"), commit.get("collection"),
-                    commit.get("rkey"), json.dumps(record, ensure_ascii=False) if record is not None else None, commit.get("cid"),
+                    commit.get("rkey"), record if record is None or isinstance(record, str) else json.dumps(record, ensure_ascii=False), commit.get("cid"),
                 )
 
 
 class CommitLog(DataSource):
     """``spark.read.format("commitlog").load(folder)``: commits of JSON-lines files, flat.
 
-    Option ``path``: a file or a folder that all executors can read. Set
-    ``spark.sql.python.filterPushdown.enabled`` to have filters pushed down.
+    Option ``path``: a file or a folder that all executors can read. ``register``
+    makes it known to a session and has filters pushed down to it.
     """
 
     @classmethod
@@ -150,5 +150,11 @@ class CommitLog(DataSource):
         import os
 
         path = self.options["path"]
-        paths = sorted(glob.glob(os.path.join(path, "*.jsonl"))) if os.path.isdir(path) else [path]
+        paths = sorted(p for kind in ("*.jsonl", "*.txt") for p in glob.glob(os.path.join(path, kind))) if os.path.isdir(path) else [path]
         return CommitLogReader(paths)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes ``commitlog`` known to a session; its filters need the setting that lets Python sources take them over."""
+    spark.dataSource.register(CommitLog)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
