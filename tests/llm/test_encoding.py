@@ -32,3 +32,11 @@ def test_lengths_of_all_kinds_of_vocabularies(spark):
     assert [r.tokens for r in rows if r.doc_id == 1 and r.tokenizer == "piece_bpe_32k"] == [exact]
     with pytest.raises(FileNotFoundError):
         E.counter("none_such")
+
+
+def test_portions(monkeypatch):
+    monkeypatch.setattr(E, "PORTION_TEXTS", 3)
+    monkeypatch.setattr(E, "PORTION_CHARS", 10)
+    texts = ["a" * n if n is not None else None for n in (1, None, 0, 1, 30, 9, 2, 8)]
+    assert list(E.portions(texts)) == [(0, 3), (3, 4), (4, 5), (5, 6), (6, 8)]
+    assert list(E.portions([])) == []

@@ -75,6 +75,22 @@ def counter(name: str, folder: str | None = None) -> Callable[[Sequence[str | No
     raise FileNotFoundError(f"no tokenizer {name} in {folder}")
 
 
+PORTION_TEXTS, PORTION_CHARS = 1000, 4_000_000  # bounds what a worker holds; a longer text is a portion of its own
+
+
+def portions(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs of texts that are worked on together."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        length = len(text) if text else 0
+        if i > start and (i - start >= PORTION_TEXTS or size + length > PORTION_CHARS):
+            yield start, i
+            start, size = i, 0
+        size += length
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def encode(documents: DataFrame, tokenizer: str = "byte_bpe_50k", key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """(key, ids) of every document."""
     ship(documents.sparkSession)
@@ -85,11 +101,11 @@ def encode(documents: DataFrame, tokenizer: str = "byte_bpe_50k", key: str = "do
 
         bpe = _loaded(path, ByteBPE)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                ids, offsets = bpe.encode_batch(part.column(1).to_pylist())
+            texts = batch.column(1).to_pylist()
+            for start, stop in portions(texts):
+                ids, offsets = bpe.encode_batch(texts[start:stop])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[key, "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), lists], names=[key, "ids"])
 
     kind = documents.schema[key].dataType.simpleString()
     return documents.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>")
@@ -104,14 +120,12 @@ def lengths(documents: DataFrame, tokenizers: Sequence[str], key: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = {name: counter(name, folder) for name in names}
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                texts = part.column(1).to_pylist()
+            texts = batch.column(1).to_pylist()
+            for start, stop in portions(texts):
+                keys = batch.column(0).slice(start, stop - start)
                 for name in names:
-                    tokens = pa.array(count[name](texts), pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0), pa.array([name] * part.num_rows), tokens], names=[key, "tokenizer", "tokens"]
-                    )
+                    tokens = pa.array(count[name](texts[start:stop]), pa.int64())
+                    yield pa.RecordBatch.from_arrays([keys, pa.array([name] * len(keys)), tokens], names=[key, "tokenizer", "tokens"])
 
     kind = documents.schema[key].dataType.simpleString()
     return documents.select(key, text).mapInArrow(run, f"{key} {kind}, tokenizer string, tokens bigint")

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tidemark.llm.encoding import portions
 from tidemark.llm.prose import Measured, Reader, ended_lines, entry_lines, lines_of, solid
 from tidemark.session import ship, stage_table
 
@@ -43,7 +44,6 @@ MAX_COMMON = 1_000_000  # common words read by the driver; a vocabulary, not dat
 MAX_LANGUAGES = 10_000  # languages of that vocabulary
 ALL, JAPANESE = "*", "ja"
 HALF = 0.5
-BATCH = 1000  # texts read together
 
 #: Statistics of a text, read beside its segments.
 TEXT_STATISTICS = (
@@ -125,9 +125,9 @@ def read(documents: DataFrame, common_words: DataFrame, key: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(common)
         for batch in batches:
-            for start in range(0, batch.num_rows, BATCH):
-                part = batch.slice(start, BATCH)
-                texts = part.column(1).to_pylist()
+            every = batch.column(1).to_pylist()
+            for start, stop in portions(every):
+                texts, keys = every[start:stop], batch.column(0).slice(start, stop - start)
                 wholes = [solid(t) if t else 0 for t in texts]
                 some = [i for i, n in enumerate(wholes) if n]
                 if not some:
@@ -138,7 +138,7 @@ def read(documents: DataFrame, common_words: DataFrame, key: str = "doc_id", tex
                 described = _described(reader, lines, sizes) if names else {}
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0).take(pa.array(some)).cast(arrow[0].type),
+                        keys.take(pa.array(some)).cast(arrow[0].type),
                         pa.array(m.language, pa.string()),
                         pa.array(sizes, pa.int64()),
                         *(pa.array(described[n], pa.float64()) for n in names),
