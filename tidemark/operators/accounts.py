@@ -69,6 +69,12 @@ def merged_identifiers(rows: DataFrame, minted: DataFrame) -> DataFrame:
     return last.groupBy("work_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("ids"))
 
 
+def servers(did_dim: DataFrame) -> DataFrame:
+    """(did, pds): the server that holds each account's records; of several the first as text, none where it is not told."""
+    rows = did_dim.select("did", F.explode("service").alias("s")).where(F.endswith("s.id", F.lit("#atproto_pds")))
+    return rows.groupBy("did").agg(F.min("s.serviceendpoint").alias("pds"))
+
+
 def follow_answer(actor_ok: Column, resolved: Column, handle: Column, known: Column, opted_out: Column, own_inbox: Column) -> Column:
     """struct(status, response) to a follow: accepted at the author's own inbox or by name, rejected where it may not be."""
     say = lambda code, text=None: F.struct(F.lit(code).alias("status"), F.lit(text).cast("string").alias("response"))

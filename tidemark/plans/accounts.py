@@ -15,8 +15,8 @@ from tidemark.operators import archive as A
 from tidemark.operators import backfill as B
 from tidemark.operators import pairing as P
 from tidemark.operators import works as W
-from tidemark.plans.problems import commit_rows, table
-from tidemark.plans.reference import _BUDGET, _C, _CONTROLS, _H, _P, _PAIRS, BASE, MARKER, actors, controls, events, imported, log, posts, slim
+from tidemark.plans.problems import table
+from tidemark.plans.reference import _BUDGET, _C, _CONTROLS, _H, _P, _PAIRS, BASE, MARKER, actors, controls, events, imported, log, paired, posts, slim
 from tidemark.plans.scalars import _ALL_WORKS, _FOLD, works_of
 from tidemark.session import stage_table
 
@@ -170,3 +170,65 @@ def address_functions(spark, folder):
         F.date_format("created_at", "yyyy-MM-dd").alias("day"),
         F.date_format("created_at", "HH:mm:ss").alias("clock"),
     )
+
+
+# --- what is fetched and kept for a while -------------------------------------------------
+
+
+@query(
+    f"""WITH {_P}, wanted_lists AS (SELECT DISTINCT json_extract_string(record, '$.listUri') AS list_uri FROM archive WHERE collection = 'social.popfeed.feed.listItem' AND NOT deleted),
+hosts AS (SELECT did, min(s.serviceendpoint) AS pds FROM (SELECT did, unnest(service) AS s FROM did_dim) WHERE s.id LIKE '%#atproto_pds' GROUP BY did)
+SELECT list_uri, pds, CASE WHEN pds IS NULL THEN 'failed' ELSE 'fetch' END AS outcome FROM wanted_lists LEFT JOIN hosts ON did = split_part(list_uri, '/', 3)
+WHERE regexp_full_match(list_uri, 'at://[^/]+/social\\.popfeed\\.feed\\.list/[^/]*') AND list_uri NOT IN (SELECT at_uri FROM archive)"""
+)
+def lists_to_fetch(spark, folder):
+    """Lists that live items name but the archive lacks: each once, from its author's server; without one it counts as failed."""
+    doc = F.from_json("record", "struct<listUri string>")
+    rows = stage_table(A.state(events(spark, folder).withColumn("list_uri", doc["listUri"]), ("list_uri",)).select("at_uri", "collection", "deleted", "list_uri"), "named")
+    named = rows.where((F.col("collection") == R.LIST_ITEM) & ~F.col("deleted") & T.is_list_uri(F.col("list_uri"))).select("list_uri").distinct()
+    missing = named.join(rows.select(F.col("at_uri").alias("list_uri")), "list_uri", "left_anti")
+    hosts = U.servers(table(spark, folder, "did_dim")).withColumnRenamed("did", "_did")
+    found = missing.join(hosts, F.get(F.split("list_uri", "/"), F.lit(2)) == F.col("_did"), "left")
+    return found.select("list_uri", "pds", F.when(F.col("pds").isNull(), "failed").otherwise("fetch").alias("outcome"))
+
+
+@query(f"WITH {_C} SELECT seq, did, collection, rkey FROM events_in ORDER BY seq LIMIT 500")
+def first_processed(spark, folder):
+    """A stream that stops after so many processed events; events that are skipped do not count."""
+    return events(spark, folder).select("seq", "did", "collection", "rkey").orderBy("seq").limit(500)
+
+
+@query(
+    f"WITH {_C} SELECT did, min(seq) AS started, count(*) - 1 AS refused FROM jetstream_sample WHERE kind = 'identity' AND did NOT IN (SELECT did FROM outs) GROUP BY did"
+)
+def import_requests(spark, folder):
+    """Identity events as requests to import: one runs for each account, none for accounts that opted out."""
+    rows = table(spark, folder, "jetstream_sample").where(F.col("kind") == "identity").select("did", "seq")
+    rows = A.without_opted_out(rows, A.opted_out(table(spark, folder, "did_dim")))
+    return rows.groupBy("did").agg(F.min("seq").alias("started"), (F.count(F.lit(1)) - 1).alias("refused"))
+
+
+@query(
+    f"""WITH RECURSIVE {_PAIRS} SELECT at_uri, work, title, poster_url AS poster FROM paired LEFT JOIN work_catalog ON work_key = work"""
+)
+def record_catalog(spark, folder):
+    """Each paired record with the catalog's entry of the work it joined."""
+    catalog = table(spark, folder, "work_catalog").select(F.col("work_key").alias("work"), "title", F.col("poster_url").alias("poster"))
+    return paired(spark, folder).select("at_uri", "work").join(catalog, "work", "left").select("at_uri", "work", "title", "poster")
+
+
+@query(
+    """WITH signed AS (SELECT did, max(received_at) AS since FROM jetstream_sample WHERE kind = 'identity' GROUP BY did), turns AS (SELECT did, received_at FROM jetstream_sample WHERE kind = 'commit')
+SELECT s.did, since + INTERVAL 30 MINUTE AS expires, count(t.did) AS used FROM signed s LEFT JOIN turns t ON t.did = s.did AND t.received_at >= since AND t.received_at <= since + INTERVAL 30 MINUTE GROUP BY ALL"""
+)
+def sessions_used(spark, folder):
+    """Identity events as sign-ins that last half an hour: the last of each account, and how many events fall into it."""
+    rows = table(spark, folder, "jetstream_sample")
+    signed = rows.where(F.col("kind") == "identity").groupBy("did").agg(F.max("received_at").alias("at"))
+    signed = signed.withColumn("expires", F.col("at") + F.expr("INTERVAL 30 MINUTES"))
+    turns = rows.where(F.col("kind") == "commit").select("did", "received_at")
+    # counted before the join: one row for each account and moment
+    turns = turns.groupBy("did", "received_at").agg(F.count(F.lit(1)).alias("n"))
+    inside = (F.col("received_at") >= F.col("at")) & (F.col("received_at") <= F.col("expires"))
+    joined = signed.join(turns, "did", "left")
+    return joined.groupBy("did", "expires").agg(F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0)).alias("used"))
