@@ -30,6 +30,20 @@ def test_cases(pair, text):
     assert own.encode(text) == other.encode_ordinary(text)
 
 
+def test_both_patterns_split_alike(pair):
+    own, _ = pair
+    for c in map(chr, [*range(0x600), *range(0x2000, 0x2100), 0x1F600, 0xD7FF]):
+        for text in (f"a{c}a{c} {c}1_", f"1{c}{c} {c}", f" {c}'s_{c}\n{c}", f"_{c}  {c}.{c}"):
+            assert own.split_words(text) == own._split(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("aé²¼1_' ’.\n\t\x1c\u00a0\u2009½Я", max_size=30))
+def test_any_near_text_splits_alike(pair, text):
+    own, _ = pair
+    assert own.split_words(text) == own._split(text)
+
+
 def test_null(pair):
     assert pair[0].encode(None) == []
 
