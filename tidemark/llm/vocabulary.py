@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 from itertools import chain
 
 import numpy as np
@@ -30,6 +30,7 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _NEAR = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_²³¹¼-¾]+| ?[\d²³¹¼-¾]+| ?(?:_|[^\s\w])+|\s+(?!\S)|\s+"""
 #: Beyond Latin, Greek, Cyrillic and general punctuation, and separators that only one of both takes for blanks.
 _FAR = re.compile("[\x1c-\x1f" + chr(0x500) + "-" + chr(0x1FFF) + chr(0x2070) + "-" + chr(0x10FFFF) + "]")
+_BLANK_WORDS = re.compile(" +[^ ]+| +").findall
 CACHED_WORDS = 200_000  # the cache is emptied beyond that
 
 
@@ -212,7 +213,6 @@ class WordPieces:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.by_word = self._is_by_word()
-        self.split_words: Callable[[str], list[str]] = regex.compile(" +[^ ]+| +").findall
         self.size: dict[str, int] = {}
 
     def _is_by_word(self) -> bool:
@@ -229,18 +229,24 @@ class WordPieces:
     def _whole(self, text: str) -> int:
         return len(self.model.encode(text, num_threads=1))
 
+    @staticmethod
+    def split_words(text: str) -> list[str]:
+        """Words with the blanks before them but one, which the model itself puts before each text."""
+        if "  " in text or text[0] == " " or text[-1] == " ":
+            return [x[1:] for x in _BLANK_WORDS(f" {text}")]
+        return text.split(" ")
+
     def count_batch(self, texts: Sequence[str | None]) -> np.ndarray:
         """Number of tokens of each text, 0 for null and empty ones."""
         if not self.by_word:
             return np.array([self._whole(t) if t else 0 for t in texts], np.int64)
-        # the model puts a blank before a text, here it stands before each first word
-        split = [self.split_words(f" {t}") if t and self.BLANK not in t else () for t in texts]
+        split = [self.split_words(t) if t and self.BLANK not in t else () for t in texts]
         words = list(chain.from_iterable(split))
         if len(self.size) > CACHED_WORDS:
             self.size.clear()
         new = list(set(words).difference(self.size))
-        self.size.update(zip(new, (len(x) for x in self.model.encode([w[1:] for w in new], num_threads=1))))
-        self.size[" "] = 1  # a blank of its own, where the model would see no text
+        self.size.update(zip(new, map(len, self.model.encode(new, num_threads=1))))
+        self.size[""] = 1  # a blank of its own, where the model would see no text
         sums = np.concatenate([[0], np.cumsum(np.fromiter(map(self.size.__getitem__, words), np.int64, len(words)))])
         counts = np.diff(sums[np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])])
         for i, t in enumerate(texts):
