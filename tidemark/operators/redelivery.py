@@ -31,7 +31,7 @@ batch commits a version without new bits; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +43,16 @@ TASK_BITS, ROW_BITS = 30, 33  # of a code
 IDENTITY = ("strong", "did", "mark", "collection", "rkey")
 
 
+#: What the store writes; told to every reader, so that none has to look into the files for it.
+WRITTEN = {
+    "dictionary": "strong boolean, did string, mark string, collection string, rkey string, first bigint, is_marked boolean, code bigint, is_new boolean",
+    "accepted": "code bigint, seq bigint",
+    "accepted-all": "code bigint, seq bigint",
+    "overtaken": "seq bigint",
+    "bitmaps": "bucket bigint, seen binary, marked binary",
+}
+
+
 def claims(rows: DataFrame) -> DataFrame:
     """(identity..., seq, own): own is null-free and false where the row only leaves a mark."""
     strong = F.col("rev").isNotNull()
@@ -98,7 +108,7 @@ class SeenStore:
         return max(self._numbers("commits"), default=0)
 
     def _read(self, what: str, numbers: list[int]) -> DataFrame | None:
-        return self.spark.read.parquet(*(f"{self.path}/{what}/{n}" for n in numbers)) if numbers else None
+        return self.spark.read.schema(WRITTEN[what]).parquet(*(f"{self.path}/{what}/{n}" for n in numbers)) if numbers else None
 
     def _dictionary_parts(self) -> list[int]:
         """Complete parts of the dictionary, from the last one that holds all before it."""
@@ -138,10 +148,10 @@ class SeenStore:
     def _write(self, df: DataFrame, what: str, number: int) -> DataFrame:
         path = f"{self.path}/{what}/{number}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self._read(what, [number])
 
-    def _encode(self, rows: DataFrame) -> DataFrame:
-        """One row per distinct identity of the batch: first own arrival, marked, code."""
+    def _encode(self, rows: DataFrame) -> tuple[DataFrame, int]:
+        """One row per distinct identity of the batch: first own arrival, marked, code; and the part of the dictionary they are."""
         arrivals = claims(rows).groupBy(*IDENTITY).agg(
             F.min(F.when(F.col("own"), F.col("seq"))).alias("first"), F.max(~F.col("own")).alias("is_marked")
         )
@@ -158,12 +168,14 @@ class SeenStore:
                 .withColumn("is_new", F.col("code").isNull())
                 .withColumn("code", F.coalesce("code", fresh))
             )
-        written = self._write(encoded, "dictionary", part)
+        return self._write(encoded, "dictionary", part), part
+
+    def _close(self, written: DataFrame, part: int) -> None:
+        """Makes a written part of the dictionary count, if its codes are in bounds."""
         last, least = written.where("is_new").agg(F.max(F.shiftright("code", ROW_BITS)), F.min("code")).first()
         if last is not None and (last >= 1 << TASK_BITS or least < 0):
             raise OverflowError(f"{self.path} has given out the codes of 2^{TASK_BITS} tasks")
         self._finish(part, self._next_task() if last is None else last + 1)
-        return written
 
     def accept(self, rows: DataFrame, batch: int | None = None) -> DataFrame:
         """Take one batch in; returns (seq) of the rows that are redundant from now on.
@@ -174,7 +186,8 @@ class SeenStore:
         now = self.version()
         if batch is not None and batch < now:
             return self._result(rows, batch + 1)
-        encoded = self._encode(rows).select("code", "first", "is_marked", "is_new")
+        written, part = self._encode(rows)
+        encoded = written.select("code", "first", "is_marked", "is_new")
         bucket = F.bitmap_bucket_number("code").alias("bucket")
         old = self.bitmaps()
         if old is None:
@@ -187,12 +200,6 @@ class SeenStore:
             new = encoded.where("is_new").withColumn("was_seen", F.lit(False)).withColumn("was_marked", F.lit(False))
             probed = met.select(*new.columns).unionByName(new)
         unseen = probed.where(~F.col("was_seen") & ~F.col("is_marked") & F.col("first").isNotNull())
-        self._write(unseen.select("code", F.col("first").alias("seq")), "accepted", now + 1)
-        if now:
-            late = probed.where("is_marked AND was_seen AND NOT was_marked").select("code")
-            before = self._accepted_before(now)
-            self._write(before.join(late, "code", "left_semi").select("seq"), "overtaken", now + 1)
-
         position = F.bitmap_bit_position("code")
         here = encoded.groupBy(bucket).agg(
             F.bitmap_construct_agg(position).alias("seen"),
@@ -202,7 +209,19 @@ class SeenStore:
             here = old.unionByName(here).groupBy("bucket").agg(
                 F.bitmap_or_agg("seen").alias("seen"), F.bitmap_or_agg("marked").alias("marked")
             )
-        self._write(here, "bitmaps", now + 1)
+        jobs = [
+            lambda: self._close(written, part),
+            lambda: self._write(unseen.select("code", F.col("first").alias("seq")), "accepted", now + 1),
+            lambda: self._write(here, "bitmaps", now + 1),
+        ]
+        if now:
+            late = probed.where("is_marked AND was_seen AND NOT was_marked").select("code")
+            overtaken = self._accepted_before(now).join(late, "code", "left_semi").select("seq")
+            jobs.append(lambda: self._write(overtaken, "overtaken", now + 1))
+        # they read what is written already and not each other; the commit waits for all
+        with ThreadPoolExecutor(len(jobs)) as pool:
+            for job in [pool.submit(x) for x in jobs]:
+                job.result()
         if not self._mark("commits", now + 1):
             raise RuntimeError(f"version {now + 1} of {self.path} was committed by another writer")
         return self._result(rows, now + 1)
@@ -222,6 +241,12 @@ class SeenStore:
         self._write(self._accepted_before(now), "accepted-all", now)
         self._mark("accepted-whole", now)
 
+    def kept(self) -> DataFrame:
+        """(seq) of all rows accepted so far that no later one has overtaken."""
+        now = self.version()
+        accepted, overtaken = self._accepted_before(now).select("seq"), self._read("overtaken", list(range(2, now + 1)))
+        return accepted if overtaken is None else accepted.join(overtaken, "seq", "left_anti")
+
     def _result(self, rows: DataFrame, version: int) -> DataFrame:
         """Redundant after a committed version: its batch but for the selected rows, and rows overtaken by it."""
         redundant = rows.select("seq").join(self._read("accepted", [version]).select("seq"), "seq", "left_anti")
@@ -239,8 +264,10 @@ def redundant_rows(rows: DataFrame, path: str | None = None) -> DataFrame:
     if low is None:
         return store.accept(rows)
     cuts = [low + (high - low + 1) * i // GROUPS for i in range(GROUPS)] + [high + 1]
-    runs = [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
-    return reduce(DataFrame.unionByName, [store.accept(rows.where(F.col("seq").between(a, b - 1))) for a, b in runs])
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            store.accept(rows.where(F.col("seq").between(a, b - 1)))
+    return rows.select("seq").join(store.kept(), "seq", "left_anti")
 
 
 def exactly_once(rows: DataFrame, path: str | None = None) -> DataFrame:
